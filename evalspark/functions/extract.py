@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.strings import ColumnOrName, as_col, bind, lines_of, strip
 
-# The text patterns of the extractors and of the path cleaner.
-FENCED_BLOCK = r"(?sU)```[ ]*(\w*)\s*(.*?)\s*```"
-MODULE_BODY = r"(?sU)\bmodule\b(.*?)\bendmodule\b"
+# The marks of a fenced block and of a module, and the anchor of clean paths.
+FENCE = "```"
+LANGUAGE_TAG = r"(?U)^ *\w*"
+# the literal look-aheads keep the slow Unicode word-boundary test off most characters
+MODULE_BODY = r"(?sU)(?=module)\bmodule\b(.*?)(?=endmodule)\bendmodule\b"
 PROJECT_FOLDER = "project"
 
 # A path is a run of segments without quotes, parentheses, semicolons or line breaks, in which no
@@ -21,22 +23,39 @@ _PROJECT_PATH = (
 _PROJECT_HINT = r"[\\/]" + PROJECT_FOLDER + r"[\\/]"
 
 
-def _joined_bodies(text: Column, pattern: str, group: int) -> Column:
-    bodies = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _joined(bodies: Column) -> Column:
+    """Stripped bodies with a blank line between them; null when there is none."""
     return bind(
-        F.transform(F.filter(bodies, lambda b: F.length(b) > 5), strip),
+        F.transform(bodies, strip),
         lambda kept: F.when(F.size(kept) > 0, F.array_join(kept, "\n\n")),
     )
 
 
 def fenced_code(text: ColumnOrName) -> Column:
-    """Bodies of all fenced blocks longer than five characters, joined by a blank line."""
-    return _joined_bodies(as_col(text), FENCED_BLOCK, 2)
+    """Bodies of all fenced blocks longer than five characters, joined by a blank line.
+
+    Splitting at the fences leaves block contents at the odd places; a last one without a closing
+    fence does not count.
+    """
+    text = as_col(text)
+
+    def bodies(pieces: Column) -> Column:
+        closed = F.filter(pieces, lambda _, i: (i % 2 == 1) & (i < F.size(pieces) - 1))
+        untagged = F.transform(
+            closed, lambda piece: strip(F.regexp_replace(piece, LANGUAGE_TAG, ""))
+        )
+        return _joined(F.filter(untagged, lambda body: F.length(body) > 5))
+
+    return F.when(text.contains(FENCE), bind(F.split(text, FENCE, -1), bodies))
 
 
 def module_code(text: ColumnOrName) -> Column:
     """Bodies between ``module`` and ``endmodule`` (keywords dropped), joined likewise."""
-    return _joined_bodies(as_col(text), MODULE_BODY, 1)
+    text = as_col(text)
+    found = F.regexp_extract_all(text, F.lit(MODULE_BODY), F.lit(1))
+    return F.when(
+        text.contains("endmodule"), _joined(F.filter(found, lambda body: F.length(body) > 5))
+    )
 
 
 def extract_code(text: ColumnOrName, code_type: str = "verilog_module") -> Column:
@@ -82,15 +101,17 @@ def chunk_spans(lines: Column, min_lines: int, max_lines: int | None = None) ->
     count = F.size(lines)
     blank = F.transform(lines, lambda line: strip(line) == "")
     # positions of lines that are blank and followed by a blank line
-    breaks = F.filter(
-        F.transform(
-            F.arrays_zip(
-                blank.alias("here"),
-                F.slice(blank, F.lit(2), F.greatest(count - 1, F.lit(0))).alias("next"),
+    breaks = bind(
+        blank,
+        lambda is_blank: F.filter(
+            F.transform(
+                is_blank,
+                lambda here, i: F.when(
+                    here & F.coalesce(F.get(is_blank, i + 1), F.lit(False)), i
+                ),
             ),
-            lambda pair, i: F.when(pair["here"] & pair["next"], i),
+            lambda i: i.isNotNull(),
         ),
-        lambda i: i.isNotNull(),
     )
     starts = F.aggregate(
         breaks,

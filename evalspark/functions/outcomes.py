@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalspark.functions.strings import ColumnOrName, as_col
+from evalspark.functions.strings import ColumnOrName, as_col, bind
 
 
 def failed(return_code: ColumnOrName) -> Column:
@@ -95,14 +95,17 @@ def failure_words(
 
 def bug_verdict(response: ColumnOrName) -> Column:
     """Verdict of a review answer; both phrases or neither give UNKNOWN."""
-    text = F.lower(as_col(response))
-    found, not_found = text.contains("bug found"), text.contains("bug not found")
-    return (
-        F.when(found & not_found, "UNKNOWN")
-        .when(not_found, "BUG NOT FOUND")
-        .when(found, "BUG FOUND")
-        .otherwise("UNKNOWN")
-    )
+
+    def verdict(text: Column) -> Column:
+        found, not_found = text.contains("bug found"), text.contains("bug not found")
+        return (
+            F.when(found & not_found, "UNKNOWN")
+            .when(not_found, "BUG NOT FOUND")
+            .when(found, "BUG FOUND")
+            .otherwise("UNKNOWN")
+        )
+
+    return bind(F.lower(as_col(response)), verdict)
 
 
 def tool_status(compile_code: ColumnOrName, execute_code: ColumnOrName) -> Column:

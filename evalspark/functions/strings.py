@@ -23,9 +23,17 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# Fixed value: the characters Python counts as whitespace.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
-    """Remove leading and trailing whitespace of every kind, not only spaces."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Remove leading and trailing whitespace of every kind; looks at the two ends only."""
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:

@@ -46,16 +46,23 @@ def parquet(spark, sf_dir):
 
 @query(
     "src_source_tree",
-    "select page_id, html || chr(10) as contents from pages",
+    "select source, unnest(string_split(text, chr(10))) as line from documents",
 )
 def source_tree(spark, sf_dir):
-    """Pages written as a tree of single files, found again by extension."""
+    """Documents written as a tree of text files, one folder per source; all lines of all files.
+
+    A task writes its own files, so that no file outgrows a task's share, whatever the source.
+    """
     folder = fresh_path(spark, "tree")
-    pages = src.table(spark, sf_dir, "pages").select("page_id", "html")
-    pages.write.partitionBy("page_id").text(folder)
+    documents = src.table(spark, sf_dir, "documents").select("text", "source")
+    documents.write.partitionBy("source").option("maxRecordsPerFile", 1000).text(folder)
     files = readers.read_source_tree(spark, folder, extensions=("txt", "sv"))
-    page_id = F.regexp_extract("file_path", r"page_id=(\d+)/", 1).cast("bigint")
-    return files.select(page_id.alias("page_id"), "contents")
+    # a file ends with a line break, which starts no further line
+    lines = F.split(F.regexp_replace("contents", r"\n\z", ""), "\n", -1)
+    return files.select(
+        F.regexp_extract("file_path", "source=([^/]+)/", 1).alias("source"),
+        F.explode(lines).alias("line"),
+    )
 
 
 @query(

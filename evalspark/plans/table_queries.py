@@ -324,10 +324,11 @@ def cross_variants(spark, sf_dir):
 )
 def cycle_experiment(spark, sf_dir):
     kept = history.until_first_pass(src.cycles(spark, sf_dir), src.MAX_CYCLES)
-    experiments = src.experiments(spark, sf_dir)
+    # both sides come out partitioned by experiment, so the join itself shuffles nothing
+    experiments = summary.rollup_cycles(src.cycles(spark, sf_dir), src.MAX_CYCLES)
     return joins.attach_experiments(
         kept.select("experiment_execution_uuid", "cycle_num", "value", "exit_stage"),
-        experiments.select("experiment_execution_uuid", "used_cycle_count", "latest_exit_stage"),
+        experiments.drop("was_testbench_passed"),
     )
 
 
