@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalspark.functions.strings import ColumnOrName, as_col, json_fields
+from evalspark.functions.strings import ColumnOrName, as_col, int_div, json_fields
 from evalspark.functions.times import iso_timestamp
 
 ASSISTANT = "assistant"
@@ -22,13 +22,13 @@ def header_line(
         raise ValueError("fill must be a single character")
     label = as_col(label)
     room = F.lit(width - 2) - F.length(label)
-    left = F.floor(room / 2).cast("int")
+    left = int_div(room, 2).cast("int")
     line = F.concat(
         F.repeat(F.lit(fill), left),
         F.lit(" "),
         label,
         F.lit(" "),
-        F.repeat(F.lit(fill), room - left),
+        F.repeat(F.lit(fill), (room - left).cast("int")),
     )
     if not strict:
         return F.when(room > 0, line)

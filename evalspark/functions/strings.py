@@ -41,6 +41,12 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def int_div(value: Column, divisor: int | Column) -> Column:
+    """Integer division; unlike floor(a / b) it is exact for every bigint."""
+    by = F.lit(divisor) if isinstance(divisor, int) else divisor
+    return F.call_function("div", value.cast("bigint"), by.cast("bigint"))
+
+
 def lines_of(text: Column) -> Column:
     """Lines without carriage returns; trailing empty lines are kept."""
     return F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n", -1)

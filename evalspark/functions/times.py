@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalspark.functions.strings import ColumnOrName, as_col
+from evalspark.functions.strings import ColumnOrName, as_col, int_div
 
 _STAMP = {
     "date": "yyyy-MM-dd",
@@ -45,13 +45,12 @@ def duration_seconds(micros: Column) -> Column:
 
 def duration_text(micros: Column) -> Column:
     """``[D day[s], ]H:MM:SS[.ffffff]``."""
-    day = F.lit(86_400_000_000)
-    in_day = F.pmod(micros, day)
-    days = F.floor((micros - in_day) / day).cast("bigint")
-    seconds = F.floor(in_day / F.lit(1_000_000)).cast("bigint")
+    in_day = F.pmod(micros, F.lit(86_400_000_000))
+    days = int_div(micros - in_day, 86_400_000_000)
+    seconds = int_div(in_day, 1_000_000)
     fraction = F.pmod(in_day, F.lit(1_000_000))
-    minutes = F.floor(seconds / 60).cast("bigint")
-    hours = F.floor(minutes / 60).cast("bigint")
+    minutes = int_div(seconds, 60)
+    hours = int_div(minutes, 60)
     return F.concat(
         F.when(days == 0, "")
         .when(F.abs(days) == 1, F.concat(days.cast("string"), F.lit(" day, ")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.functions.strings import ColumnOrName, as_col
+from evalspark.functions.strings import ColumnOrName, as_col, int_div
 from evalspark.schemas import PASS_STAGE
 
 EXPERIMENT = "experiment_execution_uuid"
@@ -33,7 +33,7 @@ def order_by_all(df: DataFrame) -> DataFrame:
 
 
 def _block(seq: str, size: int) -> Column:
-    return F.floor(F.col(seq) / size).cast("bigint")
+    return int_div(F.col(seq), size)
 
 
 def _message() -> Column:
@@ -113,17 +113,18 @@ def with_offsets(
     totals = sized.groupBy(*keys, "block_no").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("size").alias("_size"),
-        F.min(F.struct(F.col(seq), F.col("role"), F.col("size"))).alias("_first"),
+        F.min_by(F.col("role") == "system", F.col(seq)).alias("_opens_with_system"),
+        F.min_by("size", seq).alias("_first_size"),
     )
     in_conversation = Window.partitionBy(*keys).orderBy("block_no")
     before = in_conversation.rowsBetween(Window.unboundedPreceding, -1)
-    first = F.first("_first").over(in_conversation)
+    has_lead = F.first("_opens_with_system").over(in_conversation)
     starts = totals.select(
         *keys,
         "block_no",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_before"),
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_size_before"),
-        F.when(first["role"] == "system", first["size"]).alias("lead_size"),
+        F.when(has_lead, F.first("_first_size").over(in_conversation)).alias("lead_size"),
     )
     in_block = Window.partitionBy(*keys, "block_no").orderBy(seq)
     inner_before = in_block.rowsBetween(Window.unboundedPreceding, -1)
@@ -177,7 +178,7 @@ def truncate_context(
     )
 
     def bucket(offset: Column) -> Column:
-        return F.floor(offset / F.lit(budget)).cast("bigint")
+        return int_div(offset, budget)
 
     # Each message stands in the list as a candidate; a user prompt stands there once more to ask.
     # Its question is sorted behind the candidates with the same or a larger offset.

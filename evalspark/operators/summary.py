@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.strings import int_div
 from evalspark.schemas import CYCLE_STAGES, PASS_STAGE
 
 MODEL_KEYS = ["llm_provider_name", "configured_llm_name"]
@@ -91,7 +92,7 @@ def rollup_cycles(
     last_stage = F.get(
         F.array(*[F.lit(s) for s in stages]), F.pmod(F.col("_last"), F.lit(base)).cast("int")
     )
-    last_cycle = F.floor(F.col("_last") / base).cast("bigint")
+    last_cycle = int_div(F.col("_last"), base)
     return rolled.select(
         *keys,
         (F.coalesce(F.col("_first_pass"), last_cycle) + 1).alias("used_cycle_count"),

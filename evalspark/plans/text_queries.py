@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.functions import extract, messages as msg, times, toolout
+from evalspark.functions.strings import int_div
 from evalspark.operators import history
 from evalspark.plans import inputs as src
 from evalspark.plans import oracle_text as ora
-from evalspark.plans.inputs import big, quoted
+from evalspark.plans.inputs import quoted
 from evalspark.plans.registry import query
 
 
@@ -411,7 +412,7 @@ def state_snapshot(spark, sf_dir):
     cycle_rows = (
         src.messages(spark, sf_dir)
         .where("agent_name is not null")
-        .withColumn("cycle_num", big(F.floor(F.col("seq") / 2)))
+        .withColumn("cycle_num", int_div(F.col("seq"), 2))
         .where(F.col("cycle_num") < src.MAX_CYCLES)
         .groupBy("conv_id", "cycle_num")
         .agg(
