@@ -12,28 +12,26 @@ ASSISTANT = "assistant"
 
 
 def header_line(
-    label: ColumnOrName, width: int = 80, fill: str = "=", strict: bool = True
+    label: ColumnOrName, width: int = 80, fill: str | Column = "=", strict: bool = True
 ) -> Column:
     """A label centred in a line of fill characters; an odd remainder goes to the right.
 
     A label too long for the line raises, or gives null when not strict.
     """
-    if len(fill) != 1:
-        raise ValueError("fill must be a single character")
+    if isinstance(fill, str):
+        if len(fill) != 1:
+            raise ValueError("fill must be a single character")
+        fill = F.lit(fill)
     label = as_col(label)
     room = F.lit(width - 2) - F.length(label)
     left = int_div(room, 2).cast("int")
     line = F.concat(
-        F.repeat(F.lit(fill), left),
-        F.lit(" "),
-        label,
-        F.lit(" "),
-        F.repeat(F.lit(fill), (room - left).cast("int")),
+        F.repeat(fill, left), F.lit(" "), label, F.lit(" "), F.repeat(fill, room - left)
     )
     if not strict:
         return F.when(room > 0, line)
     problem = F.concat(F.lit("label is too long for its line: "), label)
-    return F.when((room <= 0), F.raise_error(problem).cast("string")).otherwise(line)
+    return F.when(room > 0, line).otherwise(F.raise_error(problem).cast("string"))
 
 
 def render_message(
@@ -53,22 +51,22 @@ def render_message(
         F.lit(")"),
     )
     is_answer = role == ASSISTANT
-
-    def banner(label: Column) -> Column:
-        return F.when(is_answer, header_line(label, fill="<", strict=strict)).otherwise(
-            header_line(label, fill=">", strict=strict)
-        )
-
+    fill = F.when(is_answer, "<").otherwise(">")
     kind = F.when(is_answer, "Response").otherwise(
         F.concat(F.lit("Prompt ("), F.initcap(role), F.lit(")"))
     )
+
+    def banner(label: Column) -> Column:
+        return header_line(label, fill=fill, strict=strict)
+
+    line_break = F.lit("\n")
     return F.concat(
         banner(F.concat(F.lit("Start "), kind)),
-        F.lit("\n"),
+        line_break,
         banner(who),
-        F.lit("\n"),
+        line_break,
         text,
-        F.lit("\n"),
+        line_break,
         banner(F.concat(F.lit("End "), kind)),
     )
 

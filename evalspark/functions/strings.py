@@ -59,4 +59,4 @@ def blank_to_null(text: Column) -> Column:
 def json_fields(*fields: Column) -> Column:
     """The members of a JSON object without the braces; nulls are kept as ``null``."""
     whole = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    return whole.substr(F.lit(2), F.length(whole) - 2)
+    return bind(whole, lambda json: json.substr(F.lit(2), F.length(json) - 2))

@@ -19,6 +19,24 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("row_count")).where("row_count > 1")
 
 
+def key_report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row on both inputs of a join: row counts, and a key that repeats on either side.
+
+    Reads the key columns only and counts them before its one shuffle by key, so that a key with
+    many repeats costs no more than any other. Null keys count as rows but never as repeats.
+    """
+    both = left.select(F.col(key), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(F.col(key), F.lit(0).alias("l"), F.lit(1).alias("r"))
+    )
+    per_key = both.groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    return per_key.agg(
+        F.coalesce(F.sum("l"), F.lit(0)).alias("left_count"),
+        F.coalesce(F.sum("r"), F.lit(0)).alias("right_count"),
+        F.min(F.when(F.col("l") > 1, F.col(key))).alias("left_repeat"),
+        F.min(F.when(F.col("r") > 1, F.col(key))).alias("right_repeat"),
+    )
+
+
 def row_parity(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: both counts and whether they agree, from one aggregate over both inputs."""
     sides = left.select(F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.outcomes import failed
-from evalspark.operators.checks import duplicate_keys
+from evalspark.operators.checks import key_report
 
 # A configured list (models, prompt strategies) is written into the plan; a longer one is a table
 # of its own and does not belong in a grid.
@@ -17,18 +17,21 @@ MAX_GRID_SIDE = 10_000
 
 
 def join_one_to_one(
-    left: DataFrame, right: DataFrame, key: str, validate: bool = True
+    left: DataFrame, right: DataFrame, key: str, same_count: bool = False
 ) -> DataFrame:
     """Inner join that first checks that no key repeats on either side.
 
-    The check reads the key columns only. With it passed, no key can be hot and the join cannot
-    multiply rows.
+    ``same_count`` also demands equal row counts. All is checked in one job over the key columns.
+    With it passed, no key can be hot and the join cannot multiply rows.
     """
-    if validate:
-        for name, side in (("left", left), ("right", right)):
-            repeated = duplicate_keys(side.where(F.col(key).isNotNull()), key).head(1)
-            if repeated:
-                raise ValueError(f"key {key} repeats on the {name} side: {repeated[0][key]!r}")
+    report = key_report(left, right, key).first()
+    for side in ("left", "right"):
+        if report[f"{side}_repeat"] is not None:
+            raise ValueError(f"key {key} repeats on the {side} side: {report[f'{side}_repeat']!r}")
+    if same_count and report["left_count"] != report["right_count"]:
+        raise ValueError(
+            f"row counts differ: {report['left_count']} and {report['right_count']}"
+        )
     return left.join(right, key, "inner")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.toolout import parameter_count
-from evalspark.operators.checks import assert_columns, assert_row_parity
+from evalspark.operators.checks import assert_columns
 from evalspark.operators.joins import join_one_to_one
 from evalspark.operators.projections import build_problems
 from evalspark.schemas import (
@@ -145,8 +145,7 @@ def read_problems(spark: SparkSession, descriptions: str, solutions: str) -> Dat
 def problems_from(described: DataFrame, solved: DataFrame) -> DataFrame:
     assert_columns(described, PROBLEM_DESCRIPTIONS.fieldNames())
     assert_columns(solved, PROBLEM_SOLUTIONS.fieldNames())
-    assert_row_parity(described, solved)
-    return build_problems(join_one_to_one(described, solved, "task_id"))
+    return build_problems(join_one_to_one(described, solved, "task_id", same_count=True))
 
 
 def sibling(path: str, extension: str) -> str:

@@ -158,7 +158,7 @@ def test_chunk_limits_are_checked():
 
 # -- paths -----------------------------------------------------------------------------------
 
-RUN = "working/llm_code_gen_retries_2024-05-13/experiments_x/verilog-eval_e8508505-0538/cycle_002"
+RUN = "working/run_2024-05-13_04-16-53L/experiments_x-3.5/problem_e8508505-0538-4398/cycle_002"
 
 
 @pytest.mark.parametrize(
