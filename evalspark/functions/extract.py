@@ -11,7 +11,8 @@ from evalspark.functions.strings import ColumnOrName, as_col, bind, lines_of, st
 FENCE = "```"
 LANGUAGE_TAG = r"(?U)^ *\w*"
 # the literal look-aheads keep the slow Unicode word-boundary test off most characters
-MODULE_BODY = r"(?sU)(?=module)\bmodule\b(.*?)(?=endmodule)\bendmodule\b"
+MODULE_END = r"(?U)(?=endmodule)\bendmodule\b"
+MODULE_REST = r"(?sU)(?=module)\bmodule\b(.*)"
 PROJECT_FOLDER = "project"
 
 # A path is a run of segments without quotes, parentheses, semicolons or line breaks, in which no
@@ -50,12 +51,19 @@ def fenced_code(text: ColumnOrName) -> Column:
 
 
 def module_code(text: ColumnOrName) -> Column:
-    """Bodies between ``module`` and ``endmodule`` (keywords dropped), joined likewise."""
+    """Bodies between ``module`` and ``endmodule`` (keywords dropped), joined likewise.
+
+    In each piece that an ``endmodule`` closes, the body starts behind the first ``module``. Unlike
+    one search for both keywords this passes over the text once, however often they occur.
+    """
     text = as_col(text)
-    found = F.regexp_extract_all(text, F.lit(MODULE_BODY), F.lit(1))
-    return F.when(
-        text.contains("endmodule"), _joined(F.filter(found, lambda body: F.length(body) > 5))
-    )
+
+    def bodies(pieces: Column) -> Column:
+        closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+        rests = F.transform(closed, lambda piece: F.regexp_extract(piece, MODULE_REST, 1))
+        return _joined(F.filter(rests, lambda body: F.length(body) > 5))
+
+    return F.when(text.contains("endmodule"), bind(F.split(text, MODULE_END, -1), bodies))
 
 
 def extract_code(text: ColumnOrName, code_type: str = "verilog_module") -> Column:

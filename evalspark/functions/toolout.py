@@ -66,8 +66,12 @@ def read_stats(stats: ColumnOrName) -> Column:
 
 def tool_versions(stdout: ColumnOrName) -> Column:
     """Array of (tool_name, version_num, full_version_id), one per banner line."""
+    stdout = as_col(stdout)
+    found = F.when(
+        stdout.contains("Icarus"), F.regexp_extract_all(stdout, F.lit(TOOL_BANNER), F.lit(0))
+    ).otherwise(F.array().cast("array<string>"))
     return F.transform(
-        F.regexp_extract_all(as_col(stdout), F.lit(TOOL_BANNER), F.lit(0)),
+        found,
         lambda line: F.struct(
             F.regexp_extract(line, TOOL_BANNER, 1).alias("tool_name"),
             F.regexp_extract(line, TOOL_BANNER, 4).alias("version_num"),

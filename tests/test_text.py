@@ -96,6 +96,14 @@ def test_extraction_equals_python_on_random_text(values):
     assert values(texts, extract.extract_code) == both
 
 
+def test_extraction_time_grows_with_the_text_only(values):
+    """Many openings without an end would make a search for whole blocks quadratic."""
+    long = "module m; endmodule " + "module x; " * 200_000
+    assert values([long], extract.module_code) == [None]
+    assert values([long + "endmodule"], extract.module_code) == [("x; " + "module x; " * 199_999).strip()]
+    assert values([FENCE + " abc " * 200_000], extract.fenced_code) == [None]
+
+
 def test_strip_equals_python(values):
     texts = random_texts([" ", "\t", "\n", "\x0b", "\x1c", "\x85", "\u3000", "a", "é "], 500, 3)
     assert values(texts, lambda c: strip(F.col(c))) == [t.strip() for t in texts]
