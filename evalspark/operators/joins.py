@@ -79,22 +79,27 @@ def attach_experiments(cycles: DataFrame, experiments: DataFrame) -> DataFrame:
 def attach_results(cycles: DataFrame, results: DataFrame) -> DataFrame:
     """Cycle rows with their compile and execute results as prefixed columns.
 
-    Both joins use the full key (experiment, cycle), unique per step, so the cycles are shuffled
-    once and evenly.
+    The results are read once and brought to one row per cycle before their only shuffle, which
+    the join then uses as it is. A result logged again therefore neither multiplies a cycle nor
+    makes its key hot (of differing ones the greatest counts).
     """
     key = ["experiment_execution_uuid", "cycle_num"]
+    steps = ("compile", "execute")
+    outcome = F.struct("return_code", "stdout", "stderr")
+    per_cycle = results.groupBy(*key).agg(
+        *[F.max(F.when(F.col("step") == step, outcome)).alias(f"_{step}") for step in steps]
+    )
 
-    def of_step(step: str) -> DataFrame:
-        ran = F.col("step") == step
-        return results.where(ran).select(
-            *key,
-            F.col("return_code").alias(f"{step}_result_return_code"),
-            F.col("stdout").alias(f"{step}_result_stdout"),
-            F.col("stderr").alias(f"{step}_result_stderr"),
-            (~failed("return_code")).alias(f"was_{step}_success"),
-        )
+    def columns_of(step: str) -> list[Column]:
+        found = F.col(f"_{step}")
+        fields = ("return_code", "stdout", "stderr")
+        return [found[f].alias(f"{step}_result_{f}") for f in fields] + [
+            F.when(found.isNotNull(), ~failed(found["return_code"])).alias(f"was_{step}_success")
+        ]
 
-    return cycles.join(of_step("compile"), key, "left").join(of_step("execute"), key, "left")
+    return cycles.join(per_cycle, key, "left").select(
+        *cycles.columns, *[column for step in steps for column in columns_of(step)]
+    )
 
 
 def union_ragged(first: DataFrame, *others: DataFrame) -> DataFrame:

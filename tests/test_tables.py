@@ -160,7 +160,7 @@ def test_attach_results(spark):
         [("a", 0, "compile", 0, "o", ""), ("a", 0, "execute", None, "p", "q"), ("b", 0, "compile", 1, "", "e")],
         key + ", step string, return_code int, stdout string, stderr string",
     )
-    got = joins.attach_results(cycles, results)
+    got = joins.attach_results(cycles, results.unionAll(results))
     assert rows_of(
         got.select(
             "experiment_execution_uuid", "cycle_num", "was_compile_success", "was_execute_success",
