@@ -16,10 +16,12 @@ MODULE_REST = r"(?sU)(?=module)\bmodule\b(.*)"
 PROJECT_FOLDER = "project"
 
 # A path is a run of segments without quotes, parentheses, semicolons or line breaks, in which no
-# two separators touch. Written as one flat character loop: a loop over whole segments nests one
-# stack frame per segment in Java and overflows on long slash-separated text.
-_PROJECT_PATH = (
-    r'[\\/](?:[^"();\n](?<![\\/][\\/]))+(?<![\\/])[\\/]' + PROJECT_FOLDER + r"[\\/]"
+# two separators touch. It is looked for from its end, in the reversed text: there it starts at the
+# project folder, so that other slashes start no search. And it is one flat character loop: a loop
+# over whole segments would nest a stack frame per segment in Java and overflow on long paths.
+_FOLDER_BACKWARDS = PROJECT_FOLDER[::-1]
+_PATH_BACKWARDS = (
+    r"[\\/]" + _FOLDER_BACKWARDS + r'[\\/](?:[^"();\n](?<![\\/][\\/]))+(?<=[\\/])'
 )
 _PROJECT_HINT = r"[\\/]" + PROJECT_FOLDER + r"[\\/]"
 
@@ -93,9 +95,8 @@ def number_lines(
 def strip_paths(text: ColumnOrName) -> Column:
     """Shorten every absolute path that leads through the project folder to ``/project/``."""
     text = as_col(text)
-    return F.when(
-        text.rlike(_PROJECT_HINT), F.regexp_replace(text, _PROJECT_PATH, f"/{PROJECT_FOLDER}/")
-    ).otherwise(text)
+    shortened = F.regexp_replace(F.reverse(text), _PATH_BACKWARDS, f"/{_FOLDER_BACKWARDS}/")
+    return F.when(text.rlike(_PROJECT_HINT), F.reverse(shortened)).otherwise(text)
 
 
 def chunk_spans(lines: Column, min_lines: int, max_lines: int | None = None) -> Column:

@@ -118,9 +118,10 @@ def answer_passes(response: ColumnOrName, check: str) -> Column:
     raise ValueError(f"unknown check: {check}")
 
 
-# The rules of the offline responder.
-APPLE_RULE = r"^Write.*(\d+)\s*sentences.*ending.*apple"
-NUMBERS_RULE = r"^Write.*list.*numbers.*(\d+).*()"
+# The rules and answers of the offline responder. The words of a rule have to follow
+# each other in one line; atomic groups take each at its first place, which needs no way back.
+APPLE_RULE = r"^Write.*?\d\s*sentences(?>.*?ending)(?>.*?apple)"
+NUMBERS_RULE = r"^Write(?>.*?list)(?>.*?numbers).*?\d"
 APPLE_ANSWER = " ".join(f"This is sentence {i} ending with apple." for i in range(1, 11))
 NUMBERS_ANSWER = "[" + ", ".join(str(i) for i in range(1, 11)) + "]"
 ECHO_PREFIX = 'I am an "AI" "language" "model" (MockLlm). The text I was given as input was:\n'

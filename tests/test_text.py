@@ -202,10 +202,14 @@ def test_strip_paths_equals_python_on_random_text(values):
     assert values(texts, extract.strip_paths) == expected
 
 
-def test_strip_paths_survives_a_very_long_path(values):
-    """A loop over segments would overflow Java's stack here."""
-    text = "/a" * 200_000 + "/project/x"
-    assert values([text], extract.strip_paths) == ["/project/x"]
+def test_strip_paths_on_very_long_lines(values):
+    """Neither a deep path nor a slash-rich line beside one costs more than its length."""
+    deep = "/a" * 200_000 + "/project/x"
+    blob = "ab/c" * 300_000 + "\n/home/x/project/y"
+    after = "/home/x/project/y " + "ab/c" * 300_000
+    assert values([deep, blob, after], extract.strip_paths) == [
+        "/project/x", "ab/c" * 300_000 + "\n/project/y", "/project/y " + "ab/c" * 300_000,
+    ]
 
 
 # -- tool output -----------------------------------------------------------------------------
@@ -361,6 +365,28 @@ def test_mock_answers_pass_the_self_checks(values):
     ]
 
 
+def test_mock_rules_equal_python_on_random_text(values):
+    pieces = ["Write", " list ", "numbers", "7", "10 ", "sentences", "ending", "apple", "\n", " ",
+              "\u2028", "x", "10 sentences", "1\nsentences", "ending", "apple"]
+    texts = ["Write" + t for t in random_texts(pieces, 8000, seed=2, length=16)]
+    apple = re.compile(r"Write.*(\d+)\s*sentences.*ending.*apple")
+    numbers = re.compile(r"Write.*list.*numbers.*(\d+).*()")
+    expected = [
+        messages.APPLE_ANSWER if apple.match(t)
+        else messages.NUMBERS_ANSWER if numbers.match(t)
+        else messages.ECHO_PREFIX + t
+        for t in texts
+    ]
+    assert len([e for e in expected if e == messages.APPLE_ANSWER]) > 20
+    assert len([e for e in expected if e == messages.NUMBERS_ANSWER]) > 100
+    assert values(texts, messages.mock_answer) == expected
+
+
+def test_mock_rules_on_a_long_line(values):
+    text = "Write " + "list numbers sentences ending " * 30_000
+    assert values([text], messages.mock_answer) == [messages.ECHO_PREFIX + text]
+
+
 def test_count_to_ten(values):
     texts = [
         "[1,2,3,4,5,6,7,8,9,10]", " [1, 2,3,4,5,6,7,8,9 , 10.0 ]\n", "[1,2,3,4,5,6,7,8,9]",
