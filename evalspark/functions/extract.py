@@ -99,8 +99,8 @@ def strip_paths(text: ColumnOrName) -> Column:
     return F.when(text.rlike(_PROJECT_HINT), F.reverse(shortened)).otherwise(text)
 
 
-def chunk_spans(lines: Column, min_lines: int, max_lines: int | None = None) -> Column:
-    """Array of (start, stop) line offsets of the chunks of an array of lines.
+def chunk_starts(lines: Column, min_lines: int, max_lines: int | None = None) -> Column:
+    """Array of the offsets at which the chunks of an array of lines start.
 
     A chunk ends at the first pair of blank lines that leaves it at least ``min_lines`` long; a
     short tail joins the last chunk. ``max_lines`` cuts longer chunks into pieces of that length.
@@ -122,7 +122,7 @@ def chunk_spans(lines: Column, min_lines: int, max_lines: int | None = None) ->
             lambda i: i.isNotNull(),
         ),
     )
-    starts = F.aggregate(
+    cuts = F.aggregate(
         breaks,
         F.array(F.lit(0)),
         lambda cut, at: F.when(
@@ -130,37 +130,29 @@ def chunk_spans(lines: Column, min_lines: int, max_lines: int | None = None) ->
         ).otherwise(cut),
     )
 
-    def spans(found: Column) -> Column:
-        kept = F.when(
-            (F.size(found) > 1) & (count - F.element_at(found, -1) < min_lines),
-            F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))),
-        ).otherwise(found)
-        return bind(
-            kept,
-            lambda begin: F.transform(
-                begin,
-                lambda at, i: F.struct(
-                    at.alias("start"), F.coalesce(F.get(begin, i + 1), count).alias("stop")
-                ),
-            ),
-        )
+    def without_short_tail(found: Column) -> Column:
+        is_short = (F.size(found) > 1) & (count - F.element_at(found, -1) < min_lines)
+        all_but_last = F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))
+        return F.when(is_short, all_but_last).otherwise(found)
 
-    result = bind(starts, spans)
+    starts = bind(cuts, without_short_tail)
     if max_lines is None:
-        return result
-    return F.flatten(
-        F.transform(
-            result,
-            lambda span: F.transform(
-                F.sequence(span["start"], span["stop"] - 1, F.lit(max_lines)),
-                lambda at: F.struct(
-                    at.alias("start"), F.least(at + max_lines, span["stop"]).alias("stop")
-                ),
-            ),
-        )
+        return starts
+    return bind(
+        starts,
+        lambda begin: F.flatten(
+            F.transform(
+                begin,
+                lambda at, i: F.sequence(at, _next(begin, i, count) - 1, F.lit(max_lines)),
+            )
+        ),
     )
 
 
+def _next(starts: Column, i: Column, count: Column) -> Column:
+    return F.coalesce(F.get(starts, i + 1), count)
+
+
 def split_into_chunks(
     files: DataFrame, text: str, min_lines: int, max_lines: int | None = None
 ) -> DataFrame:
@@ -171,15 +163,41 @@ def split_into_chunks(
     rest = [c for c in files.columns if c != text]
     split = files.select(*rest, lines_of(F.col(text)).alias("_lines"))
     lines = F.col("_lines")
-    # the pieces are cut before the explode, so that no row carries the whole file along
-    pieces = F.transform(
-        chunk_spans(lines, min_lines, max_lines),
-        lambda span: F.struct(
-            (span["start"] + 1).cast("bigint").alias("start_line"),
-            (span["stop"] - span["start"]).cast("bigint").alias("line_count"),
-            F.array_join(
-                F.slice(lines, span["start"] + 1, span["stop"] - span["start"]), "\n"
-            ).alias("chunk_text"),
+    count = F.size(lines)
+
+    def texts(starts: Column) -> Column:
+        """All chunk texts in one pass: the lines are joined with a mark before each start, and
+        split there again. The mark is a carriage return, which no line contains any more."""
+        is_start = F.flatten(
+            F.transform(
+                starts,
+                lambda at, i: F.concat(
+                    F.array(at > 0),
+                    F.array_repeat(F.lit(False), _next(starts, i, count) - at - 1),
+                ),
+            )
+        )
+        marked = bind(
+            is_start,
+            lambda begins: F.transform(
+                lines,
+                lambda line, i: F.when(
+                    F.get(begins, i), F.concat(F.lit("\r"), line)
+                ).otherwise(line),
+            ),
+        )
+        return F.split(F.array_join(marked, "\n"), "\n\r", -1)
+
+    # the pieces are built before the explode, so that no row carries the whole file along
+    pieces = bind(
+        chunk_starts(lines, min_lines, max_lines),
+        lambda starts: F.transform(
+            texts(starts),
+            lambda chunk, i: F.struct(
+                (F.get(starts, i) + 1).cast("bigint").alias("start_line"),
+                (_next(starts, i, count) - F.get(starts, i)).cast("bigint").alias("line_count"),
+                chunk.alias("chunk_text"),
+            ),
         ),
     )
     return split.select(*rest, F.posexplode(pieces).alias("chunk_no", "_piece")).select(

@@ -159,9 +159,18 @@ def test_chunks_equal_model(spark, low, high):
         assert "\n".join(r["chunk_text"] for r in found[i]) == text.replace("\r", "")
 
 
+def test_chunks_of_a_large_file(spark):
+    text = ("some code;\n" * 9 + "\n\n") * 20_000
+    df = spark.createDataFrame([(1, text)], "i int, t string")
+    chunks = extract.split_into_chunks(df, "t", 8).collect()
+    assert len(chunks) == 20_000
+    assert sum(r["line_count"] for r in chunks) == text.count("\n") + 1
+    assert "\n".join(r["chunk_text"] for r in sorted(chunks, key=lambda r: r["chunk_no"])) == text
+
+
 def test_chunk_limits_are_checked():
     with pytest.raises(ValueError):
-        extract.chunk_spans(F.array(F.lit("a")), 0)
+        extract.chunk_starts(F.array(F.lit("a")), 0)
 
 
 # -- paths -----------------------------------------------------------------------------------
