@@ -142,25 +142,37 @@ def with_offsets(
 def truncate_context(
     messages: DataFrame,
     keys: list[str],
-    budget: int,
+    budget: int | ColumnOrName,
     seq: str = "seq",
     size: ColumnOrName | None = None,
     block: int = OFFSET_BLOCK,
+    max_budget: int | None = None,
 ) -> DataFrame:
     """For each user prompt the part of its history that fits into the budget with it.
 
     The oldest messages go first; a leading system message and the prompt itself always stay, and
-    at least one history message is tried. ``over_budget`` marks prompts that never fit.
+    at least one history message is tried. ``over_budget`` marks prompts that never fit. A budget
+    column (by model, say) needs ``max_budget``; a prompt with a larger budget raises.
 
     The first kept message is the first whose start offset reaches a threshold. Thresholds are
     looked up in buckets of one budget's width; the answer lies in the bucket of the threshold or
     the next one, so the first message of each bucket is also listed in the bucket before.
     """
-    if budget < 1:
+    if isinstance(budget, int):
+        width, own_budget = budget, F.lit(budget)
+    elif max_budget is not None:
+        width = max_budget
+        too_large = F.raise_error(F.lit("a budget is above max_budget")).cast("bigint")
+        own_budget = F.when(as_col(budget) <= width, as_col(budget)).otherwise(too_large)
+    else:
+        raise ValueError("a budget column needs max_budget")
+    if width < 1:
         raise ValueError("budget must be positive")
     size = F.length("text") if size is None else as_col(size)
     in_block = Window.partitionBy(*keys, "block_no").orderBy(seq)
-    placed = with_offsets(messages, keys, seq, size, block).select(
+    placed = with_offsets(
+        messages.withColumn("_budget", own_budget.cast("bigint")), keys, seq, size, block
+    ).select(
         *keys,
         seq,
         "role",
@@ -168,17 +180,19 @@ def truncate_context(
         "position",
         "start_offset",
         "lead_size",
+        "_budget",
         F.lag("start_offset").over(in_block).alias("_previous"),
     )
+    allowed = F.col("_budget")
     has_lead = F.col("lead_size").isNotNull() & (F.col("position") > 0)
     lead = F.when(has_lead, F.col("lead_size")).otherwise(F.lit(0))
     threshold = F.greatest(
-        F.col("start_offset") + F.col("size") + lead - F.lit(budget),
+        F.col("start_offset") + F.col("size") + lead - allowed,
         F.coalesce(F.col("lead_size"), F.lit(0)),
     )
 
     def bucket(offset: Column) -> Column:
-        return int_div(offset, budget)
+        return int_div(offset, width)
 
     # Each message stands in the list as a candidate; a user prompt stands there once more to ask.
     # Its question is sorted behind the candidates with the same or a larger offset.
@@ -222,7 +236,7 @@ def truncate_context(
         "_first_kept", F.last("found", ignorenulls=True).over(downwards)
     ).where("asks = 1")
 
-    fits = (F.col("size") + lead) <= budget
+    fits = (F.col("size") + lead) <= allowed
     first_kept = F.when(fits, F.least(F.col("_first_kept"), F.col("position")))
     has_history = F.col("position") > 0
     # without a system message one history message has to remain

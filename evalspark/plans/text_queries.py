@@ -331,7 +331,7 @@ def file_stamp(spark, sf_dir):
     from p""",
 )
 def duration_seconds(spark, sf_dir):
-    start = F.timestamp_micros(F.lit(src.EPOCH_MICROS))
+    start = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
     micros = times.duration_micros(start, F.col("ts"))
     return src.table(spark, sf_dir, "events").select(
         "event_id",

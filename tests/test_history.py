@@ -25,7 +25,7 @@ def random_messages(seed, conversations=40, longest=30):
         first = rng.choice([0, 3])
         for i in range(rng.randint(1, longest)):
             role = "system" if lead and i == 0 else rng.choice(["user", "assistant"])
-            rows.append((conv, first + i, role, "x" * rng.randint(1, 30)))
+            rows.append((conv, first + i, role, "x" * rng.randint(0, 30)))
     rng.shuffle(rows)
     return rows
 
@@ -81,18 +81,24 @@ def model_truncation(past, prompt_size, budget):
     return None
 
 
-@pytest.mark.parametrize("budget, block", [(25, 4), (60, 3), (60, 1024), (7, 2), (1000, 5)])
+@pytest.mark.parametrize(
+    "budget, block", [(25, 4), (60, 3), (60, 1024), (7, 2), (1000, 5), (None, 3)]
+)
 def test_truncation_equals_model(spark, budget, block):
-    rows = random_messages(budget + block, conversations=60)
+    rows = random_messages((budget or 0) + block, conversations=60)
     df = spark.createDataFrame(rows, SCHEMA)
     conversations = by_conversation(rows)
-    found = history.truncate_context(df, ["conv_id"], budget, block=block).collect()
+    # without one budget for all, each conversation has its own
+    limits = {conv: budget or 5 + conv * 2 for conv in conversations}
+    by_column = {"budget": F.expr("5 + conv_id * 2"), "max_budget": 130}
+    limit = {"budget": budget} if budget else by_column
+    found = history.truncate_context(df, ["conv_id"], block=block, **limit).collect()
     assert len(found) == sum(r[2] == "user" for r in rows)
     for r in found:
         said = conversations[r["conv_id"]]
         past = [m for m in said if m[1] < r["seq"]]
         prompt = next(m for m in said if m[1] == r["seq"])
-        kept = model_truncation(past, len(prompt[3]), budget)
+        kept = model_truncation(past, len(prompt[3]), limits[r["conv_id"]])
         has_system = bool(past) and past[0][2] == "system"
         assert r["history_count"] == len(past)
         assert r["keeps_system"] == has_system
@@ -109,6 +115,12 @@ def test_truncation_equals_model(spark, budget, block):
 def test_truncation_needs_a_budget(spark):
     with pytest.raises(ValueError):
         history.truncate_context(conversation(spark, [("user", "x")]), ["conv_id"], 0)
+    with pytest.raises(ValueError):
+        history.truncate_context(conversation(spark, [("user", "x")]), ["conv_id"], F.lit(1))
+    with pytest.raises(Exception, match="above max_budget"):
+        history.truncate_context(
+            conversation(spark, [("user", "x")]), ["conv_id"], F.lit(9), max_budget=8
+        ).collect()
 
 
 def test_order_breaks_ties_by_sequence(spark):
