@@ -110,19 +110,31 @@ def distinct_agents(messages: DataFrame) -> DataFrame:
 
 
 def response_stability(
-    responses: DataFrame, model: str = "configured_llm_name", prompt: str = "prompt"
+    responses: DataFrame,
+    model: str = "configured_llm_name",
+    prompt: str = "prompt",
+    is_stable: str | None = None,
 ) -> DataFrame:
     """Per model and prompt: how often asked, number of different answers, whether just one.
 
-    Answers are compared by digest, so the two-step distinct count shuffles 64 characters per
-    different answer instead of whole texts.
+    With a column that says which models are meant to be stable, ``is_as_promised`` is false where
+    such a model gave several answers. Answers are compared by digest, so the two-step distinct
+    count shuffles 64 characters per different answer instead of whole texts.
     """
-    return (
-        responses.select(model, prompt, F.sha2(F.col("response"), 256).alias("_digest"))
+    promise = F.col(is_stable) if is_stable else F.lit(False)
+    counted = (
+        responses.select(
+            model, prompt, promise.alias("_promise"), F.sha2("response", 256).alias("_digest")
+        )
         .groupBy(model, prompt)
         .agg(
             F.count(F.lit(1)).alias("query_count"),
             F.count_distinct("_digest").alias("distinct_responses"),
+            F.bool_or("_promise").alias("_promise"),
         )
         .withColumn("is_one_response", F.col("distinct_responses") == 1)
     )
+    if is_stable is None:
+        return counted.drop("_promise")
+    kept = ~F.coalesce(F.col("_promise"), F.lit(False)) | F.col("is_one_response")
+    return counted.withColumn("is_as_promised", kept).drop("_promise")

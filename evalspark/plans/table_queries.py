@@ -48,8 +48,13 @@ def flatten(spark, sf_dir):
     return projections.flatten(nested, sep="_")
 
 
-SOLUTION = "case when doc_id % 7 = 0 then null else concat(chr(10), '  ', text, chr(9), chr(10)) end"
-BENCH = "case when doc_id % 4 = 0 then null else concat('$dumpfile(\"wave_', lang, '.vcd\");', text) end"
+SOLUTION = (
+    "case when doc_id % 7 = 0 then null else concat(chr(10), '  ', text, chr(9), chr(10)) end"
+)
+BENCH = (
+    "case when doc_id % 4 = 0 then null "
+    "else concat('$dumpfile(\"wave_', lang, '.vcd\");', text) end"
+)
 
 
 def _problem_sides(spark, sf_dir):
@@ -83,7 +88,10 @@ def problem_build(spark, sf_dir):
     return readers.problems_from(*_problem_sides(spark, sf_dir)).drop("other_data")
 
 
-_OPTIONAL = f"p as (select doc_id, {SOLUTION} as canonical_solution, {BENCH} as testbench_code from documents)"
+_OPTIONAL = (
+    f"p as (select doc_id, {SOLUTION} as canonical_solution, {BENCH} as testbench_code "
+    "from documents)"
+)
 
 
 def _optional_problems(spark, sf_dir):
@@ -507,22 +515,29 @@ def distinct_agents(spark, sf_dir):
     return summary.distinct_agents(src.messages(spark, sf_dir))
 
 
+RESPONSE = {
+    "configured_llm_name": f"concat('m', {src.text_of('user_id % 3')})",
+    "prompt": "event_type",
+    "response": "case when user_id % 3 = 0 then event_type else props end",
+    "is_stable": "user_id % 3 < 2",
+}
+
+
 @query(
     "agg_response_stability",
-    """select concat('m', cast(user_id % 3 as string)) as configured_llm_name, event_type as prompt,
-        count(*) as query_count,
-        count(distinct case when user_id % 3 = 0 then event_type else props end)
-          as distinct_responses,
-        count(distinct case when user_id % 3 = 0 then event_type else props end) = 1
-          as is_one_response from events group by all""",
+    f"""with r as (select {', '.join(f'{v} as {k}' for k, v in RESPONSE.items())} from events),
+    c as (select configured_llm_name, prompt, count(*) as query_count,
+                 count(distinct response) as distinct_responses, bool_or(is_stable) as promise
+          from r group by all)
+    select configured_llm_name, prompt, query_count, distinct_responses,
+           distinct_responses = 1 as is_one_response,
+           not promise or distinct_responses = 1 as is_as_promised from c""",
 )
 def response_stability(spark, sf_dir):
     responses = src.table(spark, sf_dir, "events").selectExpr(
-        "concat('m', cast(user_id % 3 as string)) as configured_llm_name",
-        "event_type as prompt",
-        "case when user_id % 3 = 0 then event_type else props end as response",
+        *[f"{sql} as {name}" for name, sql in RESPONSE.items()]
     )
-    return summary.response_stability(responses)
+    return summary.response_stability(responses, is_stable="is_stable")
 
 
 # -- order and windows -----------------------------------------------------------------------

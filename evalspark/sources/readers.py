@@ -21,6 +21,7 @@ from evalspark.schemas import (
 )
 
 CORRUPT = "_corrupt_record"
+MAX_CONFIG_BYTES = 1_000_000
 
 
 def read_jsonl(
@@ -130,8 +131,38 @@ def require_valid_configs(configs: DataFrame) -> DataFrame:
     ).drop("problem")
 
 
+def _yaml_rows(spark: SparkSession, path: str) -> list[dict]:
+    """The objects of a YAML list. A config file is short, and anything else is refused."""
+    try:
+        import yaml
+    except ImportError as missing:
+        raise ImportError("reading YAML needs PyYAML; JSON lines need nothing") from missing
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    if size > MAX_CONFIG_BYTES:
+        raise ValueError(f"{path} has {size} bytes: not a config file")
+    rows = yaml.safe_load(spark.read.text(path, wholetext=True).first()[0])
+    unknown = {key for row in rows for key in row} - set(MODEL_CONFIGS.fieldNames())
+    if unknown:
+        raise ValueError(f"unknown config fields: {sorted(unknown)}")
+    return [_typed(row) for row in rows]
+
+
+def _typed(row: dict) -> dict:
+    """YAML writes whole numbers without a point, and options with values of any type."""
+    row = dict(row)
+    for name in ("option_temperature", "response_delay_seconds"):
+        if row.get(name) is not None:
+            row[name] = float(row[name])
+    options = row.get("other_model_file_options")
+    if options is not None:
+        row["other_model_file_options"] = {k: str(v) for k, v in options.items()}
+    return row
+
+
 def read_model_configs(spark: SparkSession, path: str) -> DataFrame:
-    """Validated model configs from a JSON-lines file (one object per line)."""
+    """Validated model configs from a YAML list or a JSON-lines file (one object per line)."""
+    if path.endswith((".yaml", ".yml")):
+        return require_valid_configs(rows_to_table(spark, _yaml_rows(spark, path), MODEL_CONFIGS))
     return require_valid_configs(read_jsonl(spark, path, MODEL_CONFIGS))
 
 

@@ -18,6 +18,18 @@ def test_shared_dir_is_the_configured_one(spark):
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
 
 
+def test_a_cluster_has_to_name_its_shared_dir():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_source_tree(spark, tmp_path):
     files = {"a.v": "module a;\nendmodule\n", "deep/er/b.sv": "x\r\n", "c.txt": "no", "d.vh": "no"}
     for name, text in files.items():
@@ -73,6 +85,24 @@ def test_model_configs(spark, tmp_path):
             readers.require_valid_configs(table).collect()
 
 
+def test_model_configs_from_yaml(spark, tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "models.yaml"
+    path.write_text(
+        '- configured_llm_name: "mock"\n  llm_class: "MockLlm"\n  response_delay_seconds: 1\n\n'
+        '- configured_llm_name: "lama"\n  llm_class: "OllamaLlm"\n  model_name: "llama2:13b"\n'
+        "  option_temperature: 0 # none\n  other_model_file_options: {num_ctx: 10}\n"
+    )
+    rows = {r["configured_llm_name"]: r for r in readers.read_model_configs(spark, str(path)).collect()}
+    assert rows["mock"]["response_delay_seconds"] == 1.0
+    assert rows["lama"]["option_temperature"] == 0.0
+    assert rows["lama"]["parameter_count_billions"] == 13.0
+    assert rows["lama"]["other_model_file_options"] == {"num_ctx": "10"}
+    path.write_text("- configured_llm_name: x\n  llm_class: MockLlm\n  colour: red\n")
+    with pytest.raises(ValueError, match="unknown config fields: \\['colour'\\]"):
+        readers.read_model_configs(spark, str(path))
+
+
 def _experiments(spark, stages):
     rows = [
         {"experiment_execution_uuid": f"e{i}", "llm_provider_name": "p",

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from evalspark.operators import history, summary
@@ -66,6 +67,34 @@ def test_conversations_are_spread_by_block(no_broadcast):
         assert len(keys) == 1 and "conv_id" in keys[0] and len(keys[0].split(",")) == 2
 
 
+@pytest.fixture
+def even_partitions(no_broadcast):
+    """As many output partitions as shuffle partitions, so that their sizes can be compared."""
+    no_broadcast.conf.set("spark.sql.adaptive.enabled", "false")
+    yield no_broadcast
+    no_broadcast.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_hot_conversation_is_spread(even_partitions):
+    """One conversation holds a third of all messages; no task gets near a third of the rows."""
+    spark = even_partitions
+    hot = spark.range(4000).selectExpr("-1L as conv_id", "id as seq")
+    cold = spark.range(8000).selectExpr("id div 8 as conv_id", "id % 8 as seq")
+    messages = hot.unionAll(cold).selectExpr(
+        "conv_id", "seq", "case when seq % 2 = 0 then 'user' else 'assistant' end as role",
+        "repeat('x', 5) as text", "seq as timestamp",
+    )
+    for made in (
+        history.chat_history(messages, ["conv_id"], block=16),
+        history.history_blocks(messages, ["conv_id"], block=16),
+        history.transcript(messages, ["conv_id"], F.col("text"), "timestamp", block=16),
+        history.truncate_context(messages, ["conv_id"], 100, block=16),
+        history.ordered_conversation(messages, ["conv_id"], "timestamp", "seq"),
+    ):
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= 7 and max(sizes) < 0.25 * sum(sizes), sizes
+
+
 def test_truncation_hands_no_conversation_to_one_task(no_broadcast):
     """The only shuffle by conversation alone is that of the block totals."""
     plan = plan_of(queries()["win_context_truncate"](no_broadcast, SF_DIR))

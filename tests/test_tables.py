@@ -248,6 +248,10 @@ def test_stability(spark):
     assert rows_of(summary.response_stability(df)) == [
         ("m", "p", 4, 1, True), ("m", "q", 2, 2, False),
     ]
+    for promise, kept in ((True, False), (False, True)):
+        flagged = df.withColumn("is_stable", F.lit(promise))
+        got = summary.response_stability(flagged, is_stable="is_stable")
+        assert rows_of(got.select("prompt", "is_as_promised")) == [("p", True), ("q", kept)]
 
 
 def test_distinct_agents(spark):
