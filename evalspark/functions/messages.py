@@ -41,7 +41,10 @@ def render_message(
     text: ColumnOrName,
     strict: bool = True,
 ) -> Column:
-    """A message between two banner lines above and one below."""
+    """A message between two banner lines above and one below.
+
+    An agent name too long for its line raises; if not strict it makes that line longer.
+    """
     role, text = as_col(role), as_col(text)
     who = F.concat(
         F.lit("(agent="),
@@ -57,7 +60,10 @@ def render_message(
     )
 
     def banner(label: Column) -> Column:
-        return header_line(label, fill=fill, strict=strict)
+        line = header_line(label, fill=fill, strict=strict)
+        if strict:
+            return line
+        return F.coalesce(line, F.concat(fill, F.lit(" "), label, F.lit(" "), fill))
 
     line_break = F.lit("\n")
     return F.concat(

@@ -61,6 +61,12 @@ def extraction_ok(extracted: Column, source: Column, ratio: float = 0.75) -> Col
     )
 
 
+def name_report(df: DataFrame, column: str = "name") -> DataFrame:
+    """How many rows each name has, and whether a lookup by that name would succeed."""
+    counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("row_count"))
+    return counted.withColumn("ok", F.col("row_count") == 1)
+
+
 def named_one(df: DataFrame, name: str, column: str = "name") -> DataFrame:
     """The single row of that name; none or several raise."""
     found = df.where(F.col(column) == name)

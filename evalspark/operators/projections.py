@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,18 +94,17 @@ def config_options(
     options: ColumnOrName, seed: ColumnOrName, temperature: ColumnOrName
 ) -> Column:
     """Free options with seed and temperature laid over them where those are set."""
-    explicit = F.map_filter(
-        F.create_map(
-            F.lit("seed"),
-            as_col(seed).cast("string"),
-            F.lit("temperature"),
-            as_col(temperature).cast("string"),
-        ),
-        lambda _, value: value.isNotNull(),
-    )
+    named = {"seed": as_col(seed).cast("string"), "temperature": as_col(temperature).cast("string")}
+
+    def is_overridden(key: Column) -> Column:
+        return functools.reduce(
+            operator.or_, [(key == name) & value.isNotNull() for name, value in named.items()]
+        )
+
     free = F.coalesce(as_col(options), F.create_map().cast("map<string,string>"))
-    kept = F.map_filter(free, lambda key, _: ~F.array_contains(F.map_keys(explicit), key))
-    return F.map_concat(kept, explicit)
+    kept = F.map_filter(free, lambda key, _: ~is_overridden(key))
+    explicit = F.create_map(*[c for name, value in named.items() for c in (F.lit(name), value)])
+    return F.map_concat(kept, F.map_filter(explicit, lambda _, value: value.isNotNull()))
 
 
 def has_solution_and_testbench(problems: DataFrame) -> DataFrame:

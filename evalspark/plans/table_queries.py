@@ -194,14 +194,18 @@ def has_solution_and_tb(spark, sf_dir):
     )
 
 
+NAME = f"concat(event_type, '-', {src.text_of('event_id % 4000')})"
+
+
 @query(
     "flt_named_one",
-    f"with {src.EXPERIMENTS_SQL} select * from experiments where experiment_execution_uuid = 'e8'",
+    f"""with n as (select {NAME} as name from events)
+    select name, count(*) as row_count, count(*) = 1 as ok from n group by name""",
 )
 def named_one(spark, sf_dir):
-    return checks.named_one(
-        src.experiments(spark, sf_dir), "e8", column="experiment_execution_uuid"
-    )
+    """Every name of the table, and whether it stands for exactly one row."""
+    names = src.table(spark, sf_dir, "events").selectExpr(f"{NAME} as name")
+    return checks.name_report(names)
 
 
 @query(

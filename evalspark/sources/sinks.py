@@ -50,7 +50,8 @@ def _log_lines(messages: DataFrame, keys: list[str], rendered: Column, agent: Co
 
 
 def _banner() -> Column:
-    return render_message("role", "agent_name", "uuid", "text")
+    # a log takes every message: one overlong agent name must not fail the whole job
+    return render_message("role", "agent_name", "uuid", "text", strict=False)
 
 
 def overwrite_conversations(messages: DataFrame, keys: list[str], folder: str) -> None:

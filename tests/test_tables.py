@@ -104,6 +104,8 @@ def test_metadata(spark):
 def test_named_one(spark):
     variants = readers.rows_to_table(spark, AGENT_VARIANT_ROWS, AGENT_VARIANTS)
     assert checks.named_one(variants, "v2").first()["phrasing"] == "be_specific"
+    assert rows_of(checks.name_report(variants.where("name = 'v2'"))) == [("v2", 1, True)]
+    assert {r["ok"] for r in checks.name_report(variants.unionAll(variants)).collect()} == {False}
     for bad in (variants.where("name <> 'v2'"), variants.unionAll(variants)):
         with pytest.raises(ValueError, match="named 'v2'"):
             checks.named_one(bad, "v2")

@@ -354,6 +354,12 @@ def test_render_message(spark):
         "Start Response", "(agent=bot, uuid=u2)", "yo", "End Response",
     ]
     assert all(len(x) == 80 for rows in got for x in (rows[0], rows[1], rows[3]))
+    long = df.limit(1).withColumn("agent", F.lit("a" * 90))
+    with pytest.raises(Exception, match="too long"):
+        long.select(messages.render_message("role", "agent", "uuid", "text")).collect()
+    lenient = messages.render_message("role", "agent", "uuid", "text", strict=False)
+    lines = long.select(lenient).first()[0].split("\n")
+    assert lines[1] == "> (agent=" + "a" * 90 + ", uuid=u1) >" and lines[2] == "hi"
 
 
 def test_mock_answers_pass_the_self_checks(values):
