@@ -76,6 +76,24 @@ def attach_experiments(cycles: DataFrame, experiments: DataFrame) -> DataFrame:
     return cycles.join(experiments, "experiment_execution_uuid", "inner")
 
 
+_STEPS = ("compile", "execute")
+_OUTCOME = ("return_code", "stdout", "stderr")
+
+
+def _step_columns(found: dict[str, Column]) -> list[Column]:
+    """The prefixed columns of each step from its outcome struct (null if it did not run)."""
+    return [
+        column
+        for step, outcome in found.items()
+        for column in (
+            *[outcome[f].alias(f"{step}_result_{f}") for f in _OUTCOME],
+            F.when(outcome.isNotNull(), ~failed(outcome["return_code"])).alias(
+                f"was_{step}_success"
+            ),
+        )
+    ]
+
+
 def attach_results(cycles: DataFrame, results: DataFrame) -> DataFrame:
     """Cycle rows with their compile and execute results as prefixed columns.
 
@@ -84,21 +102,44 @@ def attach_results(cycles: DataFrame, results: DataFrame) -> DataFrame:
     makes its key hot (of differing ones the greatest counts).
     """
     key = ["experiment_execution_uuid", "cycle_num"]
-    steps = ("compile", "execute")
-    outcome = F.struct("return_code", "stdout", "stderr")
     per_cycle = results.groupBy(*key).agg(
-        *[F.max(F.when(F.col("step") == step, outcome)).alias(f"_{step}") for step in steps]
+        *[
+            F.max(F.when(F.col("step") == step, F.struct(*_OUTCOME))).alias(f"_{step}")
+            for step in _STEPS
+        ]
     )
+    found = {step: F.col(f"_{step}") for step in _STEPS}
+    return cycles.join(per_cycle, key, "left").select(*cycles.columns, *_step_columns(found))
 
-    def columns_of(step: str) -> list[Column]:
-        found = F.col(f"_{step}")
-        fields = ("return_code", "stdout", "stderr")
-        return [found[f].alias(f"{step}_result_{f}") for f in fields] + [
-            F.when(found.isNotNull(), ~failed(found["return_code"])).alias(f"was_{step}_success")
-        ]
 
-    return cycles.join(per_cycle, key, "left").select(
-        *cycles.columns, *[column for step in steps for column in columns_of(step)]
+def attach_results_by_experiment(
+    cycles: DataFrame, results: DataFrame, max_cycles: int
+) -> DataFrame:
+    """The same for cycles below a small limit, leaving the rows partitioned by experiment.
+
+    Results become one row per experiment, with a place for each cycle. What follows by experiment
+    (cutting at the first pass, the roll-up) needs no further shuffle of the wide rows.
+    """
+    key = "experiment_execution_uuid"
+    within = F.col("cycle_num") < max_cycles
+
+    def outcome(step: str, cycle: int) -> Column:
+        here = (F.col("step") == step) & (F.col("cycle_num") == cycle)
+        return F.max(F.when(here, F.struct(*_OUTCOME))).alias(f"_{step}_{cycle}")
+
+    numbers = range(max_cycles)
+    per_experiment = (
+        results.where(within)
+        .groupBy(key)
+        .agg(*[outcome(step, n) for step in _STEPS for n in numbers])
+        .select(key, *[F.array(*[f"_{s}_{n}" for n in numbers]).alias(f"_{s}") for s in _STEPS])
+    )
+    at = F.col("cycle_num").cast("int")
+    found = {step: F.get(F.col(f"_{step}"), at) for step in _STEPS}
+    return (
+        cycles.where(within)
+        .join(per_experiment, key, "left")
+        .select(*cycles.columns, *_step_columns(found))
     )
 
 

@@ -16,7 +16,7 @@ from evalspark.functions.strings import ColumnOrName, as_col
 from evalspark.functions.toolout import testbench_result
 from evalspark.operators.checks import extraction_ok
 from evalspark.operators.history import until_first_pass
-from evalspark.operators.joins import attach_results
+from evalspark.operators.joins import attach_results_by_experiment
 from evalspark.operators.projections import has_solution_and_testbench
 from evalspark.operators.summary import rollup_cycles
 
@@ -30,9 +30,9 @@ def experiment_key(*parts: ColumnOrName) -> Column:
     return F.sha2(F.to_json(F.array(*texts)), 256)
 
 
-def _with_results(attempts: DataFrame, results: DataFrame) -> DataFrame:
+def _with_results(attempts: DataFrame, results: DataFrame, max_cycles: int) -> DataFrame:
     """Attach command results, and blank those of steps that an earlier gate keeps from running."""
-    joined = attach_results(attempts, results)
+    joined = attach_results_by_experiment(attempts, results, max_cycles)
     gates = {
         "compile": F.col("extracted_generated_code").isNotNull(),
         "execute": F.col("extracted_generated_code").isNotNull()
@@ -63,7 +63,7 @@ def single_shot(attempts: DataFrame, results: DataFrame) -> DataFrame:
         "extracted_generated_code", extract_code("llm_response")
     )
     return (
-        _with_results(extracted, results)
+        _with_results(extracted, results, 1)
         .withColumn(
             "exit_stage",
             oneshot_stage(
@@ -104,7 +104,7 @@ def validate_testbenches(problems: DataFrame, results: DataFrame) -> DataFrame:
         None, "compile_result_return_code", "execute_result_return_code", "was_testbench_passed"
     )
     return (
-        _with_results(attempts, results)
+        _with_results(attempts, results, 1)
         .withColumn("exit_stage", F.when(F.col("error").isNotNull(), "exception").otherwise(stage))
         .withColumnRenamed("extracted_generated_code", "solution_code")
         .drop("cycle_num")
@@ -122,13 +122,12 @@ def classified_cycles(
     """All cycles below the limit with their results and exit stage.
 
     ``cycles`` has the experiment key, ``cycle_num`` and ``llm_response``. The limit is applied to
-    both inputs before anything else is done.
+    both inputs before anything else is done. The result is partitioned by experiment.
     """
-    within = F.col("cycle_num") < max_cycles
-    extracted = cycles.where(within).withColumn(
+    extracted = cycles.where(F.col("cycle_num") < max_cycles).withColumn(
         "extracted_generated_code", extract_code("llm_response")
     )
-    return _with_results(extracted, results.where(within)).withColumn(
+    return _with_results(extracted, results, max_cycles).withColumn(
         "exit_stage",
         cycle_stage(
             "extracted_generated_code",

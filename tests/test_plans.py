@@ -68,6 +68,13 @@ def test_results_are_read_and_shuffled_once(no_broadcast):
     assert plan.count("FileScan") == 2
 
 
+def test_cycle_experiments_shuffle_each_input_once(no_broadcast):
+    for name in ("exp_cycle_log", "exp_cycle_loop", "exp_single_shot"):
+        plan = plan_of(queries()[name](no_broadcast, SF_DIR))
+        keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+        assert len(keys) == 2 and all("," not in k for k in keys), name
+
+
 def test_conversations_are_spread_by_block(no_broadcast):
     for name in ("win_chat_history", "txt_render_transcript"):
         plan = plan_of(queries()[name](no_broadcast, SF_DIR))

@@ -172,6 +172,27 @@ def test_attach_results(spark):
           ("b", 0, False, None, None, "e")]
 
 
+def test_both_ways_of_attaching_agree(spark):
+    rng = random.Random(9)
+    pairs = [(f"e{e}", c) for e in range(40) for c in range(rng.randint(1, 7))]
+    cycles = spark.createDataFrame(pairs, "experiment_execution_uuid string, cycle_num bigint")
+    rows = [
+        (e, c, step, rng.choice([None, 0, 1]), f"{e}{c}", rng.choice(["", "x"]))
+        for e, c in pairs
+        for step in ("compile", "execute")
+        if rng.random() < 0.7
+    ]
+    results = spark.createDataFrame(
+        rows,
+        "experiment_execution_uuid string, cycle_num bigint, step string, return_code int, "
+        "stdout string, stderr string",
+    )
+    by_cycle = joins.attach_results(cycles, results).where("cycle_num < 5")
+    by_experiment = joins.attach_results_by_experiment(cycles, results, 5)
+    assert by_cycle.columns == by_experiment.columns
+    assert rows_of(by_cycle) == rows_of(by_experiment)
+
+
 def test_ragged_union(spark):
     done = spark.createDataFrame([("a", "end")], "m string, exit_stage string")
     crashed = spark.createDataFrame([("exception", "boom")], "exit_stage string, error string")
