@@ -62,6 +62,24 @@ FEEDBACK_REQUEST = {
         "the issue(s) may be, and how they can be fixed. Be precise and detailed."
     ),
 }
+RETRY_INTRO = "Your solution is not quite right."
+RETRY_STEP = "It failed at this step: "
+RETRY_TEMPLATE_HINT = (
+    "Please make sure to follow the requested top-level module template in your response."
+)
+RETRY_REQUEST = "Please try to solve the problem again: "
+DEBUGGER_INTRO = (
+    "Your coworker, the Designer Employee, has attempted to solve the following problem: "
+)
+DEBUGGER_VERDICT = "The solution your coworker came up with is not quite right."
+DEBUGGER_CODE_INTRO = "The designer proposed the following solution:"
+DEBUGGER_STEP = "When testing the solution, it failed at this step: "
+DEBUGGER_TEMPLATE_HINT = "It is important to follow the requested top-level module template."
+DESIGNER_INTRO = "You have attempted to solve the following problem: "
+DESIGNER_VERDICT = "The solution you came up with is not quite right."
+DESIGNER_CODE_INTRO = "Recall, your previous solution was:"
+DESIGNER_FEEDBACK_INTRO = "The Debugger Employee has provided the following feedback:"
+DESIGNER_REQUEST = "Please attempt to solve the problem correctly."
 TOOL_OUTPUT_INTRO = "Here is the success/failure output from each tool:"
 TESTBENCH_FAILED = "The testbench did not pass."
 PARAGRAPH = "\n\n"
@@ -132,13 +150,11 @@ def retry_prompt(
     )
     return F.concat_ws(
         PARAGRAPH,
-        F.lit("Your solution is not quite right."),
-        F.concat(F.lit("It failed at this step: "), words, F.lit(".")),
-        F.when(has_code, TOOL_OUTPUT_INTRO).otherwise(
-            "Please make sure to follow the requested top-level module template in your response."
-        ),
+        F.lit(RETRY_INTRO),
+        F.concat(F.lit(RETRY_STEP), words, F.lit(".")),
+        F.when(has_code, TOOL_OUTPUT_INTRO).otherwise(RETRY_TEMPLATE_HINT),
         *_tool_parts(as_col(compile_text), as_col(execute_text), passed),
-        F.lit("Please try to solve the problem again: "),
+        F.lit(RETRY_REQUEST),
         _shown(as_col(description)),
         _template(as_col(header)),
     )
@@ -181,20 +197,14 @@ def debugger_prompt(
     ).otherwise(code)
     return F.concat_ws(
         PARAGRAPH,
-        F.lit(
-            "Your coworker, the Designer Employee, has attempted to solve the following problem: "
-        ),
+        F.lit(DEBUGGER_INTRO),
         _shown(as_col(description)),
-        F.lit("The solution your coworker came up with is not quite right."),
+        F.lit(DEBUGGER_VERDICT),
         F.when(location == "top", request),
-        F.when(code.isNotNull(), "The designer proposed the following solution:"),
+        F.when(code.isNotNull(), DEBUGGER_CODE_INTRO),
         shown_code,
-        F.concat(
-            F.lit("When testing the solution, it failed at this step: "), words, F.lit(".")
-        ),
-        F.when(code.isNotNull(), TOOL_OUTPUT_INTRO).otherwise(
-            "It is important to follow the requested top-level module template."
-        ),
+        F.concat(F.lit(DEBUGGER_STEP), words, F.lit(".")),
+        F.when(code.isNotNull(), TOOL_OUTPUT_INTRO).otherwise(DEBUGGER_TEMPLATE_HINT),
         *_tool_parts(as_col(compile_text), as_col(execute_text), passed),
         F.when(location == "bottom", request),
     )
@@ -211,12 +221,12 @@ def designer_prompt(
     repeated = as_col(repeat_last_attempt) & code.isNotNull()
     return F.concat_ws(
         PARAGRAPH,
-        F.lit("You have attempted to solve the following problem: "),
+        F.lit(DESIGNER_INTRO),
         _shown(as_col(description)),
-        F.lit("The solution you came up with is not quite right."),
-        F.when(repeated, "Recall, your previous solution was:"),
+        F.lit(DESIGNER_VERDICT),
+        F.when(repeated, DESIGNER_CODE_INTRO),
         F.when(repeated, code),
-        F.lit("The Debugger Employee has provided the following feedback:"),
+        F.lit(DESIGNER_FEEDBACK_INTRO),
         as_col(feedback),
-        F.lit("Please attempt to solve the problem correctly."),
+        F.lit(DESIGNER_REQUEST),
     )
