@@ -143,12 +143,15 @@ def retry_prompt(
     passed: ColumnOrName,
     strict: bool = True,
 ) -> Column:
-    """Self-debug prompt. The summaries of steps that did not run are null and left out."""
+    """Self-debug prompt. The summaries of steps that did not run are null and left out.
+
+    An attempt that did not fail raises, or gives null when not strict.
+    """
     passed = as_col(passed)
     words = failure_words(
         has_code, compile_code, execute_code, execute_timed_out, passed, "retry", strict
     )
-    return F.concat_ws(
+    text = F.concat_ws(
         PARAGRAPH,
         F.lit(RETRY_INTRO),
         F.concat(F.lit(RETRY_STEP), words, F.lit(".")),
@@ -158,6 +161,7 @@ def retry_prompt(
         _shown(as_col(description)),
         _template(as_col(header)),
     )
+    return text if strict else F.when(words.isNotNull(), text)
 
 
 def code_for_prompt(code: ColumnOrName, add_line_numbers: ColumnOrName) -> Column:
@@ -180,7 +184,10 @@ def debugger_prompt(
     wrap_in_md: ColumnOrName,
     strict: bool = True,
 ) -> Column:
-    """Prompt for the debugging agent, in all variants."""
+    """Prompt for the debugging agent, in all variants.
+
+    An attempt that did not fail raises, or gives null when not strict.
+    """
     code, passed, location = as_col(code), as_col(passed), as_col(instruction_location)
     phrasing = as_col(phrasing)
     words = failure_words(
@@ -195,7 +202,7 @@ def debugger_prompt(
     shown_code = F.when(
         as_col(wrap_in_md), F.concat(F.lit("```verilog\n"), code, F.lit("\n```"))
     ).otherwise(code)
-    return F.concat_ws(
+    text = F.concat_ws(
         PARAGRAPH,
         F.lit(DEBUGGER_INTRO),
         _shown(as_col(description)),
@@ -208,6 +215,7 @@ def debugger_prompt(
         *_tool_parts(as_col(compile_text), as_col(execute_text), passed),
         F.when(location == "bottom", request),
     )
+    return text if strict else F.when(words.isNotNull(), text)
 
 
 def designer_prompt(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.strings import bind
+
 
 def assert_columns(df: DataFrame, expected: list[str] | set[str]) -> DataFrame:
     """Check the column set at plan time, without running a job."""
@@ -56,8 +58,11 @@ def assert_row_parity(left: DataFrame, right: DataFrame) -> None:
 
 def extraction_ok(extracted: Column, source: Column, ratio: float = 0.75) -> Column:
     """Code was extracted, and is longer than the given share of its source."""
-    return F.coalesce(
-        (extracted != "") & (F.length(extracted) > F.lit(ratio) * F.length(source)), F.lit(False)
+    return bind(
+        extracted,
+        lambda code: F.coalesce(
+            (code != "") & (F.length(code) > F.lit(ratio) * F.length(source)), F.lit(False)
+        ),
     )
 
 

@@ -216,18 +216,24 @@ _STEPS = f"""{_RESULTS}, s as (select *,
     as compile_text,
   case when code is not null and compile_code = 0 then
     {ora.summary('execute_code', 'execute_late', 'stdout', "''")} end as execute_text from r),
-f as (select *, {_DEBUGGER_WORDS} as dw, {_RETRY_WORDS} as rw from s where {_RETRY_WORDS} is not null)"""
+f as (select *, {_DEBUGGER_WORDS} as dw, {_RETRY_WORDS} as rw from s)"""
 
 
-def _failed_attempts(spark, sf_dir):
+def _with_outputs(spark, sf_dir):
+    """All attempts with the summaries of their steps, and whether they failed.
+
+    There is no filter on the outcome: it would be pushed below the projection that computes it,
+    and every text would be searched twice.
+    """
     empty = F.lit("")
     has_code = F.col("code").isNotNull()
     gates = ("compile_code", "execute_code", "execute_late", "passed")
     compiled = toolout.command_summary("compile_code", "compile_late", empty, "stderr")
     executed = toolout.command_summary("execute_code", "execute_late", "stdout", empty)
+    has_failed = outcomes.failure_words(has_code, *gates, strict=False).isNotNull()
     return (
         _results(spark, sf_dir)
-        .where(outcomes.failure_words(has_code, *gates, strict=False).isNotNull())
+        .withColumn("has_failed", has_failed)
         .withColumn("compile_text", F.when(has_code, compiled))
         .withColumn("execute_text", F.when(has_code & (F.col("compile_code") == 0), executed))
     )
@@ -245,22 +251,25 @@ def _ora_tools(passed: str) -> str:
 @query(
     "pmt_retry",
     f"""{_STEPS}
-    select doc_id, {ora.join_parts(
+    select doc_id, case when rw is not null then {ora.join_parts(
         chr(10) * 2, "'Your solution is not quite right.'",
         "'It failed at this step: ' || rw || '.'",
         "case when code is null then 'Please make sure to follow the requested top-level module "
         f"template in your response.' else {_TOOL_INTRO} end",
         _ora_tools("(case when execute_text is null or execute_code is distinct from 0 "
                    "then null else passed end)"),
-        "'Please try to solve the problem again: '", "text", _TEMPLATE)} as prompt
+        "'Please try to solve the problem again: '", "text", _TEMPLATE)} end as prompt
     from f""",
 )
 def retry(spark, sf_dir):
-    """The testbench verdict is only known after a clean run."""
+    """The prompt after each attempt, null where it passed or left no verdict.
+
+    The testbench verdict is only known after a clean run.
+    """
     known = F.when(
         F.col("execute_text").isNotNull() & (F.col("execute_code") == 0), F.col("passed")
     )
-    return _failed_attempts(spark, sf_dir).select(
+    return _with_outputs(spark, sf_dir).select(
         "doc_id",
         prompts.retry_prompt(
             "text",
@@ -272,6 +281,7 @@ def retry(spark, sf_dir):
             "execute_late",
             "execute_text",
             known,
+            strict=False,
         ).alias("prompt"),
     )
 
@@ -290,7 +300,7 @@ _SHOWN = f"case when numbers then {ora.numbered('code', 3)} else code end"
       case phrasing when 'basic' then {quoted(prompts.FEEDBACK_REQUEST['basic'])}
                     else {quoted(prompts.FEEDBACK_REQUEST['be_specific'])} end as request
       from f cross join variants)
-    select doc_id, name, {ora.join_parts(
+    select doc_id, name, case when rw is not null then {ora.join_parts(
         chr(10) * 2,
         "'Your coworker, the Designer Employee, has attempted to solve the following problem: '",
         "text", "'The solution your coworker came up with is not quite right.'",
@@ -301,33 +311,30 @@ _SHOWN = f"case when numbers then {ora.numbered('code', 3)} else code end"
         "'When testing the solution, it failed at this step: ' || dw || '.'",
         "case when code is null then 'It is important to follow the requested top-level module "
         f"template.' else {_TOOL_INTRO} end",
-        _ora_tools("false"), "case when location = 'bottom' then request end")} as prompt
+        _ora_tools("false"), "case when location = 'bottom' then request end")} end as prompt
     from g""",
 )
 def debugger(spark, sf_dir):
-    """All variants of the prompt for each failed attempt.
+    """All variants of the prompt for each attempt, null where it did not fail.
 
     This loop hands over "not passed" at every failure, so the prompt says so each time.
     """
-    grid = joins.with_each(_failed_attempts(spark, sf_dir), AGENT_VARIANT_ROWS, AGENT_VARIANTS)
+    grid = joins.with_each(_with_outputs(spark, sf_dir), AGENT_VARIANT_ROWS, AGENT_VARIANTS)
     shown = grid.withColumn("shown", prompts.code_for_prompt("code", "add_line_number_prefixes"))
-    return shown.select(
-        "doc_id",
-        "name",
-        prompts.debugger_prompt(
-            "text",
-            "shown",
-            "compile_code",
-            "compile_text",
-            "execute_code",
-            "execute_late",
-            "execute_text",
-            F.lit(False),
-            "phrasing",
-            "instruction_location",
-            "wrap_in_md",
-        ).alias("prompt"),
+    prompt = prompts.debugger_prompt(
+        "text",
+        "shown",
+        "compile_code",
+        "compile_text",
+        "execute_code",
+        "execute_late",
+        "execute_text",
+        F.lit(False),
+        "phrasing",
+        "instruction_location",
+        "wrap_in_md",
     )
+    return shown.select("doc_id", "name", F.when(F.col("has_failed"), prompt).alias("prompt"))
 
 
 @query(

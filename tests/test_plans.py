@@ -118,6 +118,18 @@ def test_truncation_hands_no_conversation_to_one_task(no_broadcast):
     assert len(alone) == 1 and len(keys) == 5
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["pmt_debugger", "pmt_retry", "pmt_designer", "cls_exit_stage_cycle", "asr_extract_ratio",
+     "exp_single_shot", "exp_cycle_log", "exp_validate_testbenches"],
+)
+def test_texts_are_searched_once(no_broadcast, name):
+    """No optimizer rule copies the extraction or the log search to a second place."""
+    plan = plan_of(queries()[name](no_broadcast, SF_DIR))
+    assert plan.count(", ```, -1)") == 1
+    assert plan.count(" out of (\\d+) samples, 0)") <= 1
+
+
 def test_grid_is_narrow(no_broadcast):
     plan = plan_of(queries()["join_cross_models"](no_broadcast, SF_DIR))
     assert "Generate explode" in plan and "Exchange" not in plan and "Join" not in plan
