@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, cleaning, ring, token_counts
+from evalspark.llm import bpe, cleaning, decontaminate, line_templates, ring, token_counts
 from evalspark.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -29,6 +29,18 @@ def bpe_round_trip(spark, sf_dir):
     )
 
 
+@query("op5_line_templates")
+def line_dedup(spark, sf_dir):
+    found = line_templates.drop_recurring(table(spark, sf_dir, "documents"))
+    return found.select(
+        "kept.doc_id",
+        "out.n_lines",
+        F.size("out.dropped").alias("n_dropped"),
+        F.array_join(F.col("out.dropped").cast("array<string>"), ",").alias("dropped"),
+        F.sha2("out.text", 256).alias("text_sha256"),
+    )
+
+
 @query("op6_quality_rules")
 def quality_rules(spark, sf_dir):
     judged = cleaning.clean(table(spark, sf_dir, "documents"))
@@ -53,6 +65,14 @@ def token_count(spark, sf_dir):
     )
 
 
+@query("op9_decontamination")
+def decontamination(spark, sf_dir):
+    found = decontaminate.leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
 @query("op10_ring_sharding")
 def ring_sharding(spark, sf_dir):
     return ring.assign(table(spark, sf_dir, "documents"), SHARDS).select(
