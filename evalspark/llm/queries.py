@@ -5,7 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, cleaning, decontaminate, line_templates, ring, token_counts
+from evalspark.llm import (
+    bpe,
+    cleaning,
+    decontaminate,
+    line_templates,
+    ring,
+    setsketch,
+    token_counts,
+)
 from evalspark.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -65,6 +73,17 @@ def token_count(spark, sf_dir):
     )
 
 
+@query("op8_setsketch_near_duplicates")
+def near_duplicates(spark, sf_dir):
+    found = setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        "n_shingles",
+        F.col("component").alias("component_id"),
+        F.col("key").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
 @query("op9_decontamination")
 def decontamination(spark, sf_dir):
     found = decontaminate.leaks(
