@@ -23,6 +23,7 @@ ARROW = {
     "string": pa.string(),
     "binary": pa.binary(),
     "array<int>": pa.list_(pa.int32()),
+    "array<tinyint>": pa.list_(pa.int8()),
     "array<string>": pa.list_(pa.string()),
 }
 
