@@ -13,6 +13,7 @@ from evalspark.llm import (
     line_templates,
     ring,
     setsketch,
+    surrogates,
     token_counts,
 )
 from evalspark.llm.registry import ORACLES, QUERIES, query, table
@@ -23,6 +24,8 @@ BYTE_RANKS = "byte_bpe_50k.tiktoken"
 BYTE_MERGES = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 SHARDS = 40
+#: Key of the registered query; a user brings a secret of their own.
+SURROGATE_KEY = b"surrogates of the registered query"
 
 
 @query("op2_bpe_round_trip")
@@ -38,6 +41,12 @@ def bpe_round_trip(spark, sf_dir):
     )
 
 
+@query("op3_surrogates")
+def pii_surrogates(spark, sf_dir):
+    found = surrogates.pseudonymize(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return found.select("kept.doc_id", "out.n_entities", "out.spans", "out.text")
+
+
 @query("op4_chat_format")
 def chat_format(spark, sf_dir):
     vocabulary = bpe.load(spark, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
