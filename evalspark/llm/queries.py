@@ -12,6 +12,7 @@ from evalspark.llm import (
     decontaminate,
     line_templates,
     ring,
+    secrets_crf,
     setsketch,
     surrogates,
     token_counts,
@@ -28,6 +29,27 @@ SHARDS = 40
 SURROGATE_KEY = b"surrogates of the registered query"
 
 
+@query("op1_secrets_crf")
+def secrets(spark, sf_dir):
+    found = secrets_crf.scan(table(spark, sf_dir, "documents"), secrets_crf.fit())
+    parts = F.arrays_zip("kinds", "starts", "ends")
+
+    def written(some):
+        texts = F.transform(some, lambda s: F.concat_ws(":", s["kinds"], s["starts"], s["ends"]))
+        return F.array_join(texts, ",")
+
+    def count(kind):
+        return F.size(F.filter("kinds", lambda k: k == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in secrets_crf.KINDS[:3]],
+        F.sha2(written(F.filter(parts, lambda s: s["kinds"] != "crf")), 256).alias("base_sha256"),
+        written(parts).alias("spans"),
+        count("crf").alias("n_crf"),
+    )
+
+
 @query("op2_bpe_round_trip")
 def bpe_round_trip(spark, sf_dir):
     vocabulary = bpe.load(spark, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)

@@ -426,3 +426,16 @@ def near_duplicates(
     return joined.select(
         "key", "n_shingles", F.nullif(component, F.lit(NO_KEY)).alias("component")
     )
+
+
+def keep_first(
+    df: DataFrame, key: str = "doc_id", text: str = "text", shape: Sketch = Sketch()
+) -> DataFrame:
+    """The rows of `df` whose key is the smallest of its component; rows of one key stay together."""
+    found = near_duplicates(df, key, text, shape)
+    # written first, so that Spark knows its size when it chooses the join
+    others = _written(
+        found.where("key is not null and not key <=> component").select(F.col("key").alias("copy")),
+        "copies",
+    )
+    return df.join(others, df[f"`{key}`"] == others["copy"], "left_anti")
