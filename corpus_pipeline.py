@@ -11,17 +11,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, cleaning
+from evalspark.llm import bpe, cleaning, decontaminate, line_templates, setsketch
 from evalspark.llm.queries import BYTE_RANKS
 from evalspark.session import fresh_path
 
 
+#: A document that loses more of its text than this to recurring lines goes with them.
+MAX_LOST_PERCENT = 50
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the quality rules, without the lines that fail."""
     judged = cleaning.clean(docs, keep=docs.columns)
     return with_text(judged.where("out.kept"), docs.columns, F.col("out.cleaned"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines of recurring templates, and documents that lose most of their text with them."""
+    found = line_templates.drop_recurring(docs)
+    little = 100 * F.col("out.lost_chars") > MAX_LOST_PERCENT * F.length("kept.text")
+    left = found.where((F.size("out.dropped") == 0) | ~little)
+    return with_text(left, docs.columns, F.col("out.text"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the one of the smallest id, of each group of near duplicates."""
+    return setsketch.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that hold no item of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.remove_leaks(docs, benchmark)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of the bytes they decode to."""
     vocabulary = bpe.load(spark, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
@@ -42,6 +65,9 @@ def with_text(rows: DataFrame, columns: list[str], text) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
     ("bpe", encode),
 ]
 
