@@ -1,0 +1,55 @@
+"""Line templates against a plain version."""
+
+import random
+
+import plain
+
+from evalspark.llm import line_templates as lt
+
+
+def cleaned(df):
+    return sorted(((r.kept.doc_id, r.out.text) for r in df.collect()), key=str)
+
+
+def test_recurring_templates_go(documents):
+    rows = [
+        (1, "Session 17 opened for user anna from host alpha with status ok today\nown line of one"),
+        (2, "Session 99 opened for user anna from host alpha with status ok today\nown line of two"),
+        (3, "Session 99 opened for user carl from host alpha with status ok today\na b c d"),
+        (4, "Session 1 opened by user carl from host gamma with state bad today\na b c d"),
+    ]
+    found = dict(cleaned(lt.drop_recurring(documents(rows))))
+    assert found[1] == rows[0][1]
+    assert found[2] == "own line of two"
+    assert found[3] == "a b c d"  # one variable field
+    assert found[4] == rows[3][1]  # too different; short lines stay
+
+
+def test_equals_the_plain_version(documents):
+    rng = random.Random(3)
+    base = [" ".join(rng.choices("a b c d e f".split(), k=rng.randint(3, 14))) for _ in range(12)]
+    rows = []
+    for k in range(120):
+        lines = []
+        for _ in range(rng.randint(0, 6)):
+            words = rng.choice(base).split(" ")
+            if rng.random() < 0.5:
+                words[rng.randrange(len(words))] = rng.choice(["7", "42", "x", "", " "])
+            lines.append(rng.choice(["", " ", "\t"]) + " ".join(words))
+        rows.append((k // 2 * 2 if k % 9 == 0 else k, "\n".join(lines)))
+    rows += [(200, None), (201, ""), (202, "\n\n"), (3, rows[3][1]), (203, base[0] + "\r")]
+    found = cleaned(lt.drop_recurring(documents(rows)))
+    assert found == sorted(plain.drop_recurring(rows), key=str)
+
+
+def test_edges(documents):
+    long = "\n".join(f"line {i} of a very long text with words {i * i}" for i in range(4_000))
+    rows = [(None, "one two three four five six"), (None, "other words that nobody shares at all"),
+            (1, "one two three four five six"), (2, long), (3, "w " * 50_000)]
+    found = lt.drop_recurring(documents(rows)).collect()
+    by_key = {r.kept.doc_id: r for r in found if r.kept.doc_id is not None}
+    assert by_key[1].out.text == "" and by_key[1].out.dropped == [0]
+    assert by_key[2].out.text == long and by_key[2].out.n_lines == 4_000
+    assert sum(r.kept.doc_id is None and r.out.dropped == [] for r in found) == 2
+    assert by_key[1].kept.out == "o"
+    assert lt.drop_recurring(documents(rows).limit(0)).count() == 0

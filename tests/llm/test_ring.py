@@ -1,0 +1,88 @@
+"""Bounded loads, gapless slots and stability of the ring."""
+
+import zlib
+from collections import Counter
+
+import pytest
+
+from evalspark.llm import ring
+
+
+def simulated(nodes, counts, shards):
+    """Row by row: first what the own node's shard has room for, then clockwise."""
+    total = sum(counts.values())
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    home = {
+        slot: next((i for i, (p, _) in enumerate(nodes) if p >= slot), 0) for slot in counts
+    }
+    rows, late = {}, []
+    for slot in sorted(counts):
+        for rank in range(counts[slot]):
+            shard = nodes[home[slot]][1]
+            if room[shard]:
+                room[shard] -= 1
+                rows[slot, rank] = shard
+            else:
+                late.append((slot, rank))
+    for slot, rank in late:
+        at = home[slot]
+        while not room[nodes[at][1]]:
+            at = (at + 1) % len(nodes)
+        room[nodes[at][1]] -= 1
+        rows[slot, rank] = nodes[at][1]
+    return rows
+
+
+@pytest.mark.parametrize("shards,rows", [(1, 7), (3, 50), (7, 200), (5, 3), (4, 0)])
+def test_fill_row_by_row(shards, rows):
+    nodes = ring.nodes(shards, 6, 8)
+    counts = Counter((i * i * 31 + 7) % 256 for i in range(rows))
+    counts |= {9: rows}  # a hot slot
+    counts = {k: v for k, v in counts.items() if v}
+    places = ring.fill(nodes, counts, shards)
+    found, slots = {}, []
+    for slot, parts in places.items():
+        first = 0
+        for upto, shard, base in parts:
+            for rank in range(first, upto):
+                found[slot, rank] = shard
+                slots.append((shard, base + rank))
+            first = upto
+    assert found == simulated(nodes, counts, shards)
+    sizes = Counter(s for s, _ in slots)
+    assert sorted(slots) == [(s, i) for s in sorted(sizes) for i in range(sizes[s])]
+
+
+def test_a_row_leaves_only_a_full_shard():
+    nodes = ring.nodes(6, 16, 10)
+    counts = {i: 1 for i in range(0, 1024, 3)}
+    places = ring.fill(nodes, counts, 6)
+    sizes = Counter(p[1] for parts in places.values() for p in parts)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    home = Counter(
+        nodes[next((i for i, (p, _) in enumerate(nodes) if p >= s), 0)][1] for s in counts
+    )
+    at_home = sum(min(home[s], sizes[s]) for s in sizes)
+    stayed = sum(
+        parts[0][1] == nodes[next((i for i, (p, _) in enumerate(nodes) if p >= s), 0)][1]
+        for s, parts in places.items()
+    )
+    assert stayed == at_home
+
+
+def test_tables(documents):
+    rows = [(i, "text " * (i % 9)) for i in range(150)] + [(None, None)] * 40 + [(7, "")] * 60
+    rows += [(5, f"other {i}") for i in range(50)]
+    found = ring.assign(documents(rows), 7).collect()
+    expected = Counter(
+        (k, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for k, t in rows
+    )
+    assert Counter((r.key, r.size, r.text_crc32) for r in found) == expected
+    sizes = Counter(r.shard for r in found)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 7
+    assert sorted((r.shard, r.slot) for r in found) == [
+        (s, i) for s in range(7) for i in range(sizes[s])
+    ]
+    again = ring.assign(documents(rows).repartition(5), 7).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+    assert ring.assign(documents(rows).limit(0), 7).count() == 0
