@@ -1,0 +1,89 @@
+"""Detection, format, consistency and distinctness of surrogates."""
+
+import re
+
+import pytest
+
+from evalspark.llm import surrogates as su
+
+KEY = b"test key"
+TEXT = (
+    "Dear Mr. John Smith, call +1 (663) 555-6869 or +1 663 555 6869. Card 4465758382889437 or "
+    "4465 7583 8288 9437, IP 108.51.216.133, mail JO.12@MAIL3.EXAMPLE.COM or jo.12@mail3.example.com. "
+    "Smith and Frau Anna Müller met г-н Иван Петров. DE44 5001 0517 5407 3249 31, 123-45-6789."
+)
+
+
+def kinds(text):
+    return [(text[a:b], k) for a, b, k, _ in su.find(text)]
+
+
+def test_finds():
+    assert [k for _, k in kinds(TEXT)] == (
+        "given_m family phone phone card card ip email email family given_f family given_m family "
+        "iban ssn"
+    ).split()
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["in 2024 there were 1500 people", "version 1.2.3", "999.99.9.9", "3.14159 and 10-12", "a@b", "Mr",
+     "on 2024-01-05 at 10:30 and 5.12.2023", "Dr house", "12345", ""],
+)
+def test_leaves_alone(text):
+    assert kinds(text) == [] and su.replace(text, KEY, {}) == (text, [])
+
+
+def test_replacements():
+    new, spans = su.replace(TEXT, KEY, {})
+    assert [k for _, _, k in spans] == [k for _, k in kinds(TEXT)]
+    for (a, b, kind), (old, _) in zip(spans, kinds(TEXT)):
+        drawn = new[a:b]
+        assert drawn != old
+        if kind in ("phone", "card", "ssn", "iban"):
+            assert re.sub(r"\w", "0", drawn) == re.sub(r"\w", "0", old)
+        if kind in ("given_m", "given_f", "family"):
+            assert su.script_of(drawn) == su.script_of(old)
+    words = new.split()
+    assert words[2] in su.NAMES["latin", "m"] and words[0] == "Dear"
+    assert su.luhn([int(c) for c in new[spans[4][0] : spans[4][1]]])
+    digits = [re.sub(r"\D", "", new[a:b]) for a, b, k in spans if k in ("phone", "card")]
+    assert digits[0] == digits[1] and digits[2] == digits[3] and digits[0][0] == "1"
+    mails = [new[a:b] for a, b, k in spans if k == "email"]
+    assert mails[0] == mails[1].upper()
+    assert new[spans[1][0] : spans[1][1]] == new[spans[9][0] : spans[9][1]]  # Smith, twice
+    assert su.replace(TEXT, b"other", {})[0] != new
+
+
+def test_tables_keep_entities_apart(documents):
+    names = [f"{a}{b}son" for a in "BCDFGHKL" for b in "aeiou"]
+    rows = [(i, f"Mr {n} wrote to Mrs Keller from 10.0.0.{i}. {n} left.") for i, n in enumerate(names)]
+    rows += [(100, None), (101, ""), (None, "call +1 (200) 555-0000"), (0, rows[0][1])]
+    found = su.pseudonymize(documents(rows), KEY).collect()
+    assert len(found) == len(rows)
+    used = {}
+    for r in found:
+        text = dict(rows)[r.kept.doc_id]
+        if not text:
+            assert r.out.text == text and r.out.n_entities == 0
+            continue
+        old = su.find(text)
+        assert r.out.n_entities == len(old) and r.kept.kept == "k"
+        spans = [s.split(":") for s in r.out.spans.split(",")]
+        for (a, b, kind, value), (c, d, new_kind) in zip(old, spans):
+            assert kind == new_kind
+            used.setdefault((kind, value), set()).add(r.out.text[int(c) : int(d)])
+    assert all(len(v) == 1 for v in used.values())  # one surrogate each, in every document
+    families = [v.pop() for (k, _), v in used.items() if k == "family"]
+    assert len(set(families)) == len(families) == len(names) + 1  # 12 names in the pool only
+    assert not set(families) & {value for kind, value in used if kind == "family"}
+
+
+def test_draws_until_all_differ(spark):
+    rows = [("family", f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(120)]
+    rows += [("family", n) for n in su.NAMES["latin", ""]] + [("ssn", f"{i:09}") for i in range(30)]
+    entities = spark.createDataFrame(rows, "kind string, value string")
+    again = {(r.kind, r.value): r.draw for r in su.draw_again(entities, KEY).collect()}
+    drawn = [su.surrogate(k, v, KEY, again.get((k, v), 0)) for k, v in rows]
+    assert len(set(drawn)) == len(rows) and not set(drawn) & {v for _, v in rows}
+    assert su.draw_again(entities.limit(0), KEY).count() == 0
