@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,43 +103,35 @@ def strip_paths(text: ColumnOrName) -> Column:
     return F.when(text.rlike(_PROJECT_HINT), F.reverse(shortened)).otherwise(text)
 
 
-def chunk_starts(lines: Column, min_lines: int, max_lines: int | None = None) -> Column:
-    """Array of the offsets at which the chunks of an array of lines start.
+def _greedy_cuts(min_lines: int) -> Callable[[ColumnOrName], Column]:
+    """Where chunks end, from an array that says which lines are blank.
 
-    A chunk ends at the first pair of blank lines that leaves it at least ``min_lines`` long; a
-    short tail joins the last chunk. ``max_lines`` cuts longer chunks into pieces of that length.
+    A cut is at a blank line that is followed by another and is far enough behind the cut before. A
+    choice that depends on the one before is a loop; it runs over the flags alone, in Arrow batches,
+    and the texts stay where they are.
     """
-    if min_lines < 1 or (max_lines is not None and max_lines < 1):
-        raise ValueError("chunk limits must be positive")
-    count = F.size(lines)
-    blank = F.transform(lines, lambda line: strip(line) == "")
-    # positions of lines that are blank and followed by a blank line
-    breaks = bind(
-        blank,
-        lambda is_blank: F.filter(
-            F.transform(
-                is_blank,
-                lambda here, i: F.when(
-                    here & F.coalesce(F.get(is_blank, i + 1), F.lit(False)), i
-                ),
-            ),
-            lambda i: i.isNotNull(),
-        ),
-    )
-    cuts = F.aggregate(
-        breaks,
-        F.array(F.lit(0)),
-        lambda cut, at: F.when(
-            at - F.element_at(cut, -1) >= min_lines, F.concat(cut, F.array(at))
-        ).otherwise(cut),
-    )
 
-    def without_short_tail(found: Column) -> Column:
-        is_short = (F.size(found) > 1) & (count - F.element_at(found, -1) < min_lines)
-        all_but_last = F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))
-        return F.when(is_short, all_but_last).otherwise(found)
+    @F.pandas_udf("array<int>")
+    def cuts(blank: pd.Series) -> pd.Series:
+        def chosen(flags: np.ndarray | None) -> list[int]:
+            found = [0]
+            if flags is not None:
+                flags = np.asarray(flags, dtype=bool)
+                for i in np.flatnonzero(flags[:-1] & flags[1:]).tolist():
+                    if i - found[-1] >= min_lines:
+                        found.append(i)
+            return found
+
+        return blank.map(chosen, na_action=None)
+
+    return cuts
+
 
-    starts = bind(cuts, without_short_tail)
+def _starts(cuts: Column, count: Column, min_lines: int, max_lines: int | None) -> Column:
+    """Offsets at which chunks start, from the cuts: no short tail, and no overlong chunk."""
+    is_short = (F.size(cuts) > 1) & (count - F.element_at(cuts, -1) < min_lines)
+    all_but_last = F.slice(cuts, F.lit(1), F.greatest(F.size(cuts) - 1, F.lit(0)))
+    starts = F.when(is_short, all_but_last).otherwise(cuts)
     if max_lines is None:
         return starts
     return bind(
@@ -158,10 +154,16 @@ def split_into_chunks(
 ) -> DataFrame:
     """One row per chunk of the text column: chunk_no, start_line (from 1), line_count, chunk_text.
 
+    A chunk ends at the first pair of blank lines that leaves it at least ``min_lines`` long; a
+    short tail joins the last chunk. ``max_lines`` cuts longer chunks into pieces of that length.
     Needs no shuffle; the joined chunks of a file give back its text without carriage returns.
     """
+    if min_lines < 1 or (max_lines is not None and max_lines < 1):
+        raise ValueError("chunk limits must be positive")
     rest = [c for c in files.columns if c != text]
     split = files.select(*rest, lines_of(F.col(text)).alias("_lines"))
+    blank = F.transform("_lines", lambda line: strip(line) == "")
+    split = split.select(*rest, "_lines", _greedy_cuts(min_lines)(blank).alias("_cuts"))
     lines = F.col("_lines")
     count = F.size(lines)
 
@@ -190,7 +192,7 @@ def split_into_chunks(
 
     # the pieces are built before the explode, so that no row carries the whole file along
     pieces = bind(
-        chunk_starts(lines, min_lines, max_lines),
+        _starts(F.col("_cuts"), count, min_lines, max_lines),
         lambda starts: F.transform(
             texts(starts),
             lambda chunk, i: F.struct(

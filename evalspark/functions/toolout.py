@@ -11,9 +11,7 @@ from evalspark.schemas import TESTBENCH_STATS
 
 # The output patterns.
 MISMATCH_LINE = r"(?i)Total mismatched samples is (\d+) out of (\d+) samples"
-TOOL_BANNER = (
-    r"(?Umd)^\s*(.*Icarus.+?)\s+([vV]ersion\s+)?((\d+\.\d+(\.\d+)?).*)$"
-)
+TOOL_LINE = r"(?Ud)^\s*(.*Icarus.+?)\s+([vV]ersion\s+)?((\d+\.\d+(\.\d+)?).*)$"
 # digits with single dots between them, written as a flat loop
 SERVER_VERSION = r"(?i)version is (\d(?:[\d.](?<!\.\.))*)"
 PARAMETER_COUNT = r"(\d+(\.\d+)?)b"
@@ -65,17 +63,17 @@ def read_stats(stats: ColumnOrName) -> Column:
 
 
 def tool_versions(stdout: ColumnOrName) -> Column:
-    """Array of (tool_name, version_num, full_version_id), one per banner line."""
-    stdout = as_col(stdout)
-    found = F.when(
-        stdout.contains("Icarus"), F.regexp_extract_all(stdout, F.lit(TOOL_BANNER), F.lit(0))
-    ).otherwise(F.array().cast("array<string>"))
+    """Array of (tool_name, version_num, full_version_id), one per banner line.
+
+    The text is cut into lines first, and only lines that name the tool are matched.
+    """
+    lines = F.filter(F.split(as_col(stdout), "\n", -1), lambda line: line.contains("Icarus"))
     return F.transform(
-        found,
+        F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: x.rlike(TOOL_LINE)),
         lambda line: F.struct(
-            F.regexp_extract(line, TOOL_BANNER, 1).alias("tool_name"),
-            F.regexp_extract(line, TOOL_BANNER, 4).alias("version_num"),
-            F.regexp_extract(line, TOOL_BANNER, 3).alias("full_version_id"),
+            F.regexp_extract(line, TOOL_LINE, 1).alias("tool_name"),
+            F.regexp_extract(line, TOOL_LINE, 4).alias("version_num"),
+            F.regexp_extract(line, TOOL_LINE, 3).alias("full_version_id"),
         ),
     )
 

@@ -1,9 +1,9 @@
 """Conversation histories and cycle sequences.
 
 A conversation may be arbitrarily long. Nothing here hands a whole conversation to one task: work
-is done in blocks of consecutive messages, and only one small row per block is looked at per
-conversation. Cycles of an experiment are limited by ``max_cycles``, which is filtered on before
-any window, so windows over an experiment are small.
+is done in blocks of consecutive messages, and only one small row per block is looked at per conversation. Only what
+is asked for as one value, the history of a chosen prompt or a transcript, is put together as one.
+Windows over an experiment are small, since it has few cycles.
 """
 
 from __future__ import annotations
@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.strings import ColumnOrName, as_col, int_div
-from evalspark.schemas import PASS_STAGE
+from evalspark.operators.joins import EXPERIMENT, join_on_same
+from evalspark.schemas import END_STAGES, PASS_STAGE
+from evalspark.session import fresh_path
 
-EXPERIMENT = "experiment_execution_uuid"
-HISTORY_BLOCK = 64
-TRANSCRIPT_BLOCK = 1024
 OFFSET_BLOCK = 1024
+EMPTY_STATE = (
+    '{"phase":"init","conversation_histories":{},"last_attempted_solution_code":null,'
+    '"last_compile_result":null,"last_execute_result":null,"last_was_testbench_passed":false}'
+)
 
 
 def ordered_conversation(messages: DataFrame, keys: list[str], timestamp: str, seq: str) -> DataFrame:
@@ -40,58 +43,60 @@ def _message() -> Column:
     return F.struct(F.col("text").alias("content"), F.col("role").alias("role"))
 
 
-def chat_history(
-    messages: DataFrame, keys: list[str], seq: str = "seq", block: int = HISTORY_BLOCK
+def with_positions(
+    messages: DataFrame, keys: list[str], timestamp: str = "timestamp", seq: str = "seq"
 ) -> DataFrame:
-    """For each user prompt the messages up to and including it, as (content, role).
+    """Add ``position``: the number of messages before, in their conversation, by time and ``seq``.
 
-    ``seq`` numbers the messages of a conversation without repeats. A row holds the messages of
-    its own block; those of the blocks before it (``history_blocks`` below ``block_no``) belong in
-    front. Conversations shorter than a block have just one, and rows stay small in longer ones.
+    The messages are put in order once, in parts that also cut within a conversation, and written;
+    a position is the sum of the parts before and the place in its own part.
     """
-    window = (
-        Window.partitionBy(*keys, "block_no")
-        .orderBy(seq)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spark = messages.sparkSession
+    path = fresh_path(spark, "ordered")
+    ordered = messages.repartitionByRange(*keys, timestamp, seq)
+    ordered.withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
+    sizes = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        *keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    return (
-        messages.withColumn("block_no", _block(seq, block))
-        .withColumn("messages", F.collect_list(_message()).over(window))
-        .where(F.col("role") == "user")
-        .select(*keys, seq, "block_no", "messages")
+    in_part = Window.partitionBy(*keys, "_part").orderBy(timestamp, seq)
+    placed = parts.withColumn("_place", F.row_number().over(in_part) - 1)
+    return join_on_same(placed, starts, [*keys, "_part"]).select(
+        *messages.columns, (F.col("_before") + F.col("_place")).cast("bigint").alias("position")
     )
 
 
-def history_blocks(
-    messages: DataFrame, keys: list[str], seq: str = "seq", block: int = HISTORY_BLOCK
-) -> DataFrame:
-    """All messages, one array per block of a conversation."""
-    entry = F.struct(F.col(seq).alias("seq"), _message().alias("message"))
+def chat_history(placed: DataFrame, prompts: DataFrame, keys: list[str]) -> DataFrame:
+    """For each chosen prompt all messages up to and including it, as (content, role).
+
+    ``placed`` are messages with positions, ``prompts`` the keys and positions that are asked for.
+    A row is as long as its history, whatever that is; so choose prompts, rather than take all.
+    """
+    asked = prompts.select(*keys, F.col("position").alias("_asked"))
+    entry = F.struct("position", _message().alias("message"))
+    told = join_on_same(placed.select(*keys, "position", entry.alias("entry")), asked, keys)
     return (
-        messages.withColumn("block_no", _block(seq, block))
-        .groupBy(*keys, "block_no")
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-        .select(*keys, "block_no", F.col("entries.message").alias("messages"))
+        told.where("position <= _asked")
+        .groupBy(*keys, F.col("_asked").alias("position"))
+        .agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+        .select(*keys, "position", F.col("entries.message").alias("messages"))
     )
 
 
-def transcript(
-    messages: DataFrame,
-    keys: list[str],
-    rendered: Column,
-    timestamp: str,
-    seq: str = "seq",
-    block: int = TRANSCRIPT_BLOCK,
-) -> DataFrame:
-    """Conversation texts, messages separated by a blank line; one row per block of messages."""
-    entry = F.struct(F.col(timestamp).alias("ts"), F.col(seq).alias("seq"), rendered.alias("text"))
+def transcript(placed: DataFrame, keys: list[str], rendered: Column) -> DataFrame:
+    """The text of each conversation: its messages in order, separated by a blank line.
+
+    ``placed`` are messages with positions, which by themselves are the transcript as a table.
+    """
+    entry = F.struct(F.col("position"), rendered.alias("text"))
     return (
-        messages.select(*keys, _block(seq, block).alias("part_no"), entry.alias("entry"))
-        .groupBy(*keys, "part_no")
+        placed.select(*keys, entry.alias("entry"))
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_list("entry")).alias("entries"))
         .select(
             *keys,
-            "part_no",
             F.size("entries").cast("bigint").alias("message_count"),
             F.array_join(F.col("entries.text"), "\n\n").alias("transcript"),
         )
@@ -105,7 +110,7 @@ def with_offsets(
 
     Two levels: block totals are summed up per conversation, then messages within their block.
     Also adds ``block_no`` and ``lead_size``, the size of a leading system message (null when
-    there is none). The keys must not be null.
+    there is none).
     """
     sized = messages.withColumn("size", as_col(size).cast("bigint")).withColumn(
         "block_no", _block(seq, block)
@@ -129,7 +134,7 @@ def with_offsets(
     in_block = Window.partitionBy(*keys, "block_no").orderBy(seq)
     inner_before = in_block.rowsBetween(Window.unboundedPreceding, -1)
     return (
-        sized.join(starts, [*keys, "block_no"])
+        join_on_same(sized, starts, [*keys, "block_no"])
         .withColumn("position", F.col("_n_before") + F.row_number().over(in_block) - 1)
         .withColumn(
             "start_offset",
@@ -254,27 +259,24 @@ def truncate_context(
     )
 
 
-def last_attempts(cycles: DataFrame, columns: list[str], max_cycles: int) -> DataFrame:
+def last_attempts(cycles: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``last_<column>``: the values of the cycle before, null in the first cycle."""
     window = Window.partitionBy(EXPERIMENT).orderBy("cycle_num")
-    return cycles.where(F.col("cycle_num") < max_cycles).select(
-        "*", *[F.lag(F.col(c)).over(window).alias(f"last_{c}") for c in columns]
-    )
+    return cycles.select("*", *[F.lag(F.col(c)).over(window).alias(f"last_{c}") for c in columns])
 
 
-def until_first_pass(cycles: DataFrame, max_cycles: int) -> DataFrame:
-    """Cycles up to and including the first pass."""
+def until_end(cycles: DataFrame) -> DataFrame:
+    """Cycles up to and including the one that ends the experiment: a pass or an exception."""
     earlier = (
         Window.partitionBy(EXPERIMENT)
         .orderBy("cycle_num")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    passed = (F.col("exit_stage") == PASS_STAGE).cast("int")
+    ends = F.col("exit_stage").isin(*END_STAGES).cast("int")
     return (
-        cycles.where(F.col("cycle_num") < max_cycles)
-        .withColumn("_passed_before", F.coalesce(F.max(passed).over(earlier), F.lit(0)))
-        .where("_passed_before = 0")
-        .drop("_passed_before")
+        cycles.withColumn("_ended_before", F.coalesce(F.max(ends).over(earlier), F.lit(0)))
+        .where("_ended_before = 0")
+        .drop("_ended_before")
     )
 
 
@@ -286,12 +288,13 @@ def phase(cycle_num: ColumnOrName = "cycle_num") -> Column:
 def state_snapshots(
     cycles: DataFrame,
     agents: list[str],
-    max_cycles: int,
     last_code: str,
     last_compile: str,
     last_execute: str,
 ) -> DataFrame:
-    """State after each cycle as one JSON object.
+    """State before and after each cycle as JSON objects, ``entry_state`` and ``exit_state``.
+
+    The first cycle starts from the empty state, each other one from the state the last one left.
 
     ``cycles`` has, per agent, a column of that name with the JSON messages the cycle added (an
     array, null or empty when the agent did not speak); the last_* columns hold the code (text)
@@ -303,7 +306,7 @@ def state_snapshots(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     passed = F.col("exit_stage").eqNullSafe(F.lit(PASS_STAGE))
-    grown = cycles.where(F.col("cycle_num") < max_cycles).select(
+    grown = cycles.select(
         EXPERIMENT,
         "cycle_num",
         F.when(passed, phase()).otherwise("retry").alias("phase"),
@@ -344,4 +347,8 @@ def state_snapshots(
         ),
         F.lit("}"),
     )
-    return grown.select(EXPERIMENT, "cycle_num", state.alias("state"))
+    in_order = Window.partitionBy(EXPERIMENT).orderBy("cycle_num")
+    before = F.coalesce(F.lag("exit_state").over(in_order), F.lit(EMPTY_STATE))
+    return grown.select(EXPERIMENT, "cycle_num", state.alias("exit_state")).withColumn(
+        "entry_state", before
+    )

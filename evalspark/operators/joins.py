@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +13,15 @@ from pyspark.sql import types as T
 from evalspark.functions.outcomes import failed
 from evalspark.operators.checks import key_report
 
-# A configured list (models, prompt strategies) is written into the plan; a longer one is a table
-# of its own and does not belong in a grid.
-MAX_GRID_SIDE = 10_000
+
+def join_on_same(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
+) -> DataFrame:
+    """Join on keys that may be null; a null key meets a null key. The keys come out once."""
+    other = {k: f"_other_{i}" for i, k in enumerate(keys)}
+    renamed = right.withColumnsRenamed(other)
+    same = [left[k].eqNullSafe(renamed[o]) for k, o in other.items()]
+    return left.join(renamed, reduce(and_, same), how).drop(*other.values())
 
 
 def join_one_to_one(
@@ -46,11 +54,10 @@ def with_each(df: DataFrame, rows: Iterable[tuple | dict], schema: T.StructType)
     """Every row of ``df`` with every row of a short configured list.
 
     The list goes into the plan as an array that is exploded in place: narrow, no join and no
-    shuffle, however the rows of ``df`` are spread.
+    shuffle, however the rows of ``df`` are spread. A list too long to write into a plan is a table:
+    cross join it.
     """
     rows = list(rows)
-    if len(rows) > MAX_GRID_SIDE:
-        raise ValueError(f"a configured list of {len(rows)} rows is too long for a grid")
     names = schema.fieldNames()
     as_tuples = [tuple(r.get(n) for n in names) if isinstance(r, dict) else tuple(r) for r in rows]
     listed = F.array(
@@ -69,13 +76,14 @@ def with_each(df: DataFrame, rows: Iterable[tuple | dict], schema: T.StructType)
 
 
 def attach_experiments(cycles: DataFrame, experiments: DataFrame) -> DataFrame:
-    """Cycle rows with the columns of their experiment.
+    """Cycle rows with the columns of their experiment, null where it has no row.
 
-    An experiment has one row and at most its maximum number of cycles, so no key is hot.
+    An experiment has one row, and few cycles, so no key is hot.
     """
-    return cycles.join(experiments, "experiment_execution_uuid", "inner")
+    return cycles.join(experiments, EXPERIMENT, "left")
 
 
+EXPERIMENT = "experiment_execution_uuid"
 _STEPS = ("compile", "execute")
 _OUTCOME = ("return_code", "stdout", "stderr")
 
@@ -94,53 +102,25 @@ def _step_columns(found: dict[str, Column]) -> list[Column]:
     ]
 
 
-def attach_results(cycles: DataFrame, results: DataFrame) -> DataFrame:
-    """Cycle rows with their compile and execute results as prefixed columns.
-
-    The results are read once and brought to one row per cycle before their only shuffle, which
-    the join then uses as it is. A result logged again therefore neither multiplies a cycle nor
-    makes its key hot (of differing ones the greatest counts).
-    """
-    key = ["experiment_execution_uuid", "cycle_num"]
-    per_cycle = results.groupBy(*key).agg(
-        *[
-            F.max(F.when(F.col("step") == step, F.struct(*_OUTCOME))).alias(f"_{step}")
-            for step in _STEPS
-        ]
-    )
-    found = {step: F.col(f"_{step}") for step in _STEPS}
-    return cycles.join(per_cycle, key, "left").select(*cycles.columns, *_step_columns(found))
-
-
-def attach_results_by_experiment(
-    cycles: DataFrame, results: DataFrame, max_cycles: int
+def attach_results(
+    cycles: DataFrame, results: DataFrame, key: Sequence[str] = (EXPERIMENT, "cycle_num")
 ) -> DataFrame:
-    """The same for cycles below a small limit, leaving the rows partitioned by experiment.
+    """Rows with the compile and execute results of their key as prefixed columns.
 
-    Results become one row per experiment, with a place for each cycle. What follows by experiment
-    (cutting at the first pass, the roll-up) needs no further shuffle of the wide rows.
+    Each step is a left join of its rows as they are: nothing is aggregated, so no text is sorted
+    before it moves, and every row moves once. A step logged twice for a key raises; a job over the
+    key columns alone looks for that first.
     """
-    key = "experiment_execution_uuid"
-    within = F.col("cycle_num") < max_cycles
-
-    def outcome(step: str, cycle: int) -> Column:
-        here = (F.col("step") == step) & (F.col("cycle_num") == cycle)
-        return F.max(F.when(here, F.struct(*_OUTCOME))).alias(f"_{step}_{cycle}")
-
-    numbers = range(max_cycles)
-    per_experiment = (
-        results.where(within)
-        .groupBy(key)
-        .agg(*[outcome(step, n) for step in _STEPS for n in numbers])
-        .select(key, *[F.array(*[f"_{s}_{n}" for n in numbers]).alias(f"_{s}") for s in _STEPS])
-    )
-    at = F.col("cycle_num").cast("int")
-    found = {step: F.get(F.col(f"_{step}"), at) for step in _STEPS}
-    return (
-        cycles.where(within)
-        .join(per_experiment, key, "left")
-        .select(*cycles.columns, *_step_columns(found))
-    )
+    key = list(key)
+    steps = results.where(F.col("step").isin(*_STEPS))
+    again = steps.groupBy(*key, "step").count().where("count > 1").select(*key, "step").first()
+    if again is not None:
+        raise ValueError(f"a result is there more than once: {again.asDict()}")
+    joined = cycles
+    for step in _STEPS:
+        outcome = F.struct(*_OUTCOME).alias(f"_{step}")
+        joined = joined.join(results.where(F.col("step") == step).select(*key, outcome), key, "left")
+    return joined.select(*cycles.columns, *_step_columns({s: F.col(f"_{s}") for s in _STEPS}))
 
 
 def union_ragged(first: DataFrame, *others: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
-Responder = Callable[[str, list[dict]], str]
+Responder = Callable[[Sequence[str], Sequence[list[dict]]], Sequence[str]]
 
 
 def score_prompts(
@@ -17,33 +17,37 @@ def score_prompts(
     prompt: str = "prompt",
     history: str | None = None,
 ) -> DataFrame:
-    """Add ``response`` and ``error``: the responder's answer, or why it failed on that row.
+    """Add ``response`` and ``error``: the responder's answers, or why it failed on a row.
 
-    The responder gets the prompt and its history (a list of {content, role}). A failing row is
-    marked and does not fail the job. Runs batch by batch within the partitions as they are;
-    spread the prompts over enough partitions for a slow responder.
+    The responder gets a batch of prompts and their histories (lists of {content, role}) and returns
+    as many answers. Only these columns travel to it. If it fails on a batch, the rows of that batch
+    are asked for one by one; a failing row is marked and does not fail the job. Spread the prompts
+    over enough partitions for a slow responder.
     """
-    schema = T.StructType(
-        [
-            *prompts.schema.fields,
-            T.StructField("response", T.StringType()),
-            T.StructField("error", T.StringType()),
-        ]
-    )
+    kind = pa.struct([("response", pa.string()), ("error", pa.string())])
 
-    def answer(text: str, past: list[dict]) -> tuple[str | None, str | None]:
+    def alone(text: str, past: list[dict]) -> dict:
         try:
-            return responder(text, past), None
+            return {"response": responder([text], [past])[0], "error": None}
         except Exception as problem:  # noqa: BLE001 - the row carries the error
-            return None, str(problem)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(prompt).to_pylist()
-            past = batch.column(history).to_pylist() if history else [[]] * len(texts)
-            answers = [answer(text, earlier or []) for text, earlier in zip(texts, past)]
-            for i, name in enumerate(("response", "error")):
-                batch = batch.append_column(name, pa.array([a[i] for a in answers], pa.string()))
-            yield batch
-
-    return prompts.mapInArrow(score, schema)
+            return {"response": None, "error": str(problem)}
+
+    def batch(texts: list[str], past: list[list[dict]]) -> list[dict]:
+        try:
+            answers = list(responder(texts, past))
+        except Exception:  # noqa: BLE001 - one of the rows is the reason
+            return [alone(text, earlier) for text, earlier in zip(texts, past)]
+        if len(answers) != len(texts):
+            raise ValueError(f"{len(answers)} answers to {len(texts)} prompts")
+        return [{"response": a, "error": None} for a in answers]
+
+    @F.arrow_udf("struct<response:string,error:string>")
+    def score(texts: pa.Array, past: pa.Array) -> pa.Array:
+        earlier = [h or [] for h in past.to_pylist()]
+        return pa.array(batch(texts.to_pylist(), earlier), type=kind)
+
+    none = F.lit(None).cast("array<struct<content:string,role:string>>")
+    answered = score.asNondeterministic()(F.col(prompt), F.col(history) if history else none)
+    return prompts.select("*", answered.alias("_scored")).select(
+        *prompts.columns, "_scored.response", "_scored.error"
+    )

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.strings import int_div
-from evalspark.schemas import CYCLE_STAGES, PASS_STAGE
+from evalspark.schemas import CYCLE_STAGES, END_STAGES, PASS_STAGE
 
 MODEL_KEYS = ["llm_provider_name", "configured_llm_name"]
-MAX_STAGES = 1_000
+OTHER_STAGES = "other"
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -24,21 +24,27 @@ def stages_by_model(experiments: DataFrame, stage: str = "exit_stage") -> DataFr
 
 
 def observed_stages(summary: DataFrame, stage: str) -> list[str]:
-    """The stage names that occur, in order; a vocabulary, so its size is checked."""
-    found = summary.where(F.col(stage).isNotNull()).select(stage).distinct().limit(MAX_STAGES + 1)
-    names = sorted(r[0] for r in found.collect())
-    if len(names) > MAX_STAGES:
-        raise ValueError(f"more than {MAX_STAGES} different stages: not a vocabulary")
-    return names
+    """The stage names that occur, in order. They become columns, so they have to be few."""
+    return sorted(r[0] for r in summary.select(stage).distinct().collect() if r[0] is not None)
 
 
 def pivot_stages(
     summary: DataFrame, stage: str = "exit_stage", stages: list[str] | None = None
 ) -> DataFrame:
-    """Summary 2: one row per model, one column per stage in name order, zero where none ended."""
+    """Summary 2: one row per model, one column per stage in name order, zero where none ended.
+
+    What ended at a stage outside the list, or at none, is counted in the last column, ``other``.
+    """
     names = sorted(stages) if stages is not None else observed_stages(summary, stage)
-    pivoted = summary.groupBy(*MODEL_KEYS).pivot(stage, names).agg(F.sum("count"))
-    return pivoted.na.fill(0, names)
+    listed = F.when(F.col(stage).isin(names), F.col(stage)).otherwise(OTHER_STAGES)
+    columns = [*names, OTHER_STAGES]
+    pivoted = (
+        summary.withColumn("_stage", listed)
+        .groupBy(*MODEL_KEYS)
+        .pivot("_stage", columns)
+        .agg(F.sum("count"))
+    )
+    return pivoted.na.fill(0, columns)
 
 
 def run_counters(
@@ -65,14 +71,18 @@ def _stage_number(stage: Column, stages: list[str]) -> Column:
 
 def rollup_cycles(
     cycles: DataFrame,
-    max_cycles: int,
     keys: list[str] | None = None,
     stages: list[str] | None = None,
+    limit: str | None = None,
 ) -> DataFrame:
     """Cycles to experiments: used_cycle_count, latest_exit_stage, was_testbench_passed.
 
-    An experiment ends at its first pass or after ``max_cycles``; later rows do not count. One
-    aggregate does it all: stages travel as vocabulary numbers packed with the cycle number into
+    An experiment ends at its first pass or exception; rows behind that do not count. With
+    ``limit``, the column with the cycles an experiment was allowed, there are also that limit as
+    ``max_cycle_count`` and ``is_beyond_limit``, which marks logs with more cycles; they count
+    nevertheless. An experiment that ended by an exception has neither model nor counts.
+
+    One aggregate does it all: stages travel as vocabulary numbers packed with the cycle number into
     one bigint, so the aggregate hashes fixed-width buffers and needs neither a sort nor a window.
     """
     keys = keys or ["experiment_execution_uuid"]
@@ -80,26 +90,29 @@ def rollup_cycles(
     base = len(stages)
     # a null stage counts as "end", the stage of a cycle that set none
     number = _stage_number(F.coalesce(F.col("exit_stage"), F.lit("end")), stages)
-    cycle = F.col("cycle_num").cast("bigint")
-    ended = cycles.where(F.col("cycle_num") < max_cycles).select(
-        *keys, cycle.alias("_cycle"), number.alias("_stage")
+    limits = [F.col(limit).cast("bigint").alias("_limit")] if limit else []
+    packed = cycles.select(
+        *keys, (F.col("cycle_num").cast("bigint") * base + number).alias("_cycle"), *limits
     )
-    passed = F.col("_stage") == stages.index(PASS_STAGE)
-    rolled = ended.groupBy(*keys).agg(
-        F.max(F.col("_cycle") * base + F.col("_stage")).alias("_last"),
-        F.min(F.when(passed, F.col("_cycle"))).alias("_first_pass"),
+    ends = F.pmod("_cycle", F.lit(base)).isin(*[stages.index(s) for s in END_STAGES])
+    rolled = packed.groupBy(*keys).agg(
+        F.coalesce(F.min(F.when(ends, F.col("_cycle"))), F.max("_cycle")).alias("_last"),
+        *([F.max("_limit").alias("_limit")] if limit else []),
     )
-    last_stage = F.get(
+    stage = F.get(
         F.array(*[F.lit(s) for s in stages]), F.pmod(F.col("_last"), F.lit(base)).cast("int")
     )
-    last_cycle = int_div(F.col("_last"), base)
-    return rolled.select(
-        *keys,
-        (F.coalesce(F.col("_first_pass"), last_cycle) + 1).alias("used_cycle_count"),
-        F.when(F.col("_first_pass").isNotNull(), PASS_STAGE)
-        .otherwise(last_stage)
-        .alias("latest_exit_stage"),
-        F.col("_first_pass").isNotNull().alias("was_testbench_passed"),
+    found = rolled.withColumn("latest_exit_stage", stage)
+    normal = F.col("latest_exit_stage") != "exception"
+    used = int_div(F.col("_last"), base) + 1
+    counts = {"used_cycle_count": used}
+    if limit:
+        counts |= {"max_cycle_count": F.col("_limit"), "is_beyond_limit": used > F.col("_limit")}
+    return found.select(
+        *[F.when(normal, F.col(k)).alias(k) if k in MODEL_KEYS else F.col(k) for k in keys],
+        *[F.when(normal, c).alias(n) for n, c in counts.items()],
+        "latest_exit_stage",
+        (F.col("latest_exit_stage") == PASS_STAGE).alias("was_testbench_passed"),
     )
 
 

@@ -32,13 +32,14 @@ ONE = _dimensions("doc_id")
 LOOP = _dimensions("doc_id - doc_id % 4")
 
 
-def _attempts(spark, sf_dir, dimensions, cycle):
+def _attempts(spark, sf_dir, dimensions, cycle, **more):
     rows = src.table(spark, sf_dir, "documents")
     return rows.selectExpr(
         *[f"{sql} as {name}" for name, sql in dimensions.items()],
         f"{cycle} as cycle_num",
         "text as problem_description",
         f"{src.RESPONSE} as llm_response",
+        *[f"{sql} as {name}" for name, sql in more.items()],
     )
 
 
@@ -130,7 +131,7 @@ TESTBENCH = "case when doc_id % 11 = 3 then null else concat('tb ', text) end"
           where solution is not null and testbench is not null),
     e as (select *, case
             when coalesce(extracted, '') = ''
-              then {quoted("Could not extract verilog module from canonical solution code.")}
+              then {quoted("No module can be found in the known solution.")}
             when length(extracted) <= 0.75 * length(solution) then 'Extracted code is too short.'
             end as error from x),
     g as (select *, error is null as ran1, error is null and compile_code is not distinct from 0 as ran2,
@@ -155,7 +156,8 @@ def validate_testbenches(spark, sf_dir):
     return checked.drop("solution_code", "canonical_solution", "testbench_code")
 
 
-LOOP_CYCLES = 3
+# Four cycles each, of which the variant allowed three or four.
+_ALLOWED = "3 + (doc_id - doc_id % 4) % 8 / 4"
 _LOOP_STAGES = f"""s as (select *, case when not ran1 then '20_code_extraction_error'
             when compile_late then '25_iverilog_compile_timeout'
             when not ran2 then '30_iverilog_compile_error'
@@ -163,8 +165,8 @@ _LOOP_STAGES = f"""s as (select *, case when not ran1 then '20_code_extraction_e
             when not ran3 then '40_iverilog_execute_error'
             when mm = 0 then '80_tb_passed' when mm > 0 then '60_tb_failed' else 'exception' end
             as exit_stage
-          from t where cycle_num < {LOOP_CYCLES}),
-    k as (select *, coalesce(max(case when exit_stage = '80_tb_passed' then 1 else 0 end) over (
+          from t),
+    k as (select *, coalesce(max(case when {src.ENDS_SQL} then 1 else 0 end) over (
             partition by experiment_execution_uuid order by cycle_num
             rows between unbounded preceding and 1 preceding), 0) as pb from s)"""
 
@@ -172,19 +174,27 @@ _LOOP_STAGES = f"""s as (select *, case when not ran1 then '20_code_extraction_e
 @query(
     "exp_cycle_loop",
     f"""with {_gated(LOOP, 'doc_id % 4', ora.code('response'))},
-    {_LOOP_STAGES}
-    select {', '.join(LOOP)}, max(cycle_num) + 1 as used_cycle_count,
-           arg_max(exit_stage, cycle_num) as latest_exit_stage,
-           bool_or(exit_stage = '80_tb_passed') as was_testbench_passed,
-           cast({LOOP_CYCLES} as bigint) as max_cycle_count
-    from k where pb = 0 group by all""",
+    {_LOOP_STAGES},
+    e as (select {', '.join(LOOP)}, max(cycle_num) + 1 as used,
+                 cast(min({_ALLOWED}) as bigint) as allowed,
+                 arg_max(exit_stage, cycle_num) as latest_exit_stage
+          from k where pb = 0 group by all)
+    select experiment_execution_uuid, latest_exit_stage,
+           latest_exit_stage = '80_tb_passed' as was_testbench_passed,
+           case when latest_exit_stage <> 'exception' then llm_provider_name end
+             as llm_provider_name,
+           case when latest_exit_stage <> 'exception' then configured_llm_name end
+             as configured_llm_name,
+           case when latest_exit_stage <> 'exception' then used end as used_cycle_count,
+           case when latest_exit_stage <> 'exception' then allowed end as max_cycle_count,
+           case when latest_exit_stage <> 'exception' then used > allowed end as is_beyond_limit
+    from e""",
 )
 def cycle_loop(spark, sf_dir):
     cycle = "doc_id % 4"
-    staged = experiments.classified_cycles(
-        _attempts(spark, sf_dir, LOOP, cycle), _results(spark, sf_dir, LOOP, cycle), LOOP_CYCLES
-    )
-    return experiments.cycle_experiments(staged, LOOP_CYCLES, list(LOOP))
+    attempts = _attempts(spark, sf_dir, LOOP, cycle, allowed=f"cast({_ALLOWED} as bigint)")
+    staged = experiments.classified_cycles(attempts, _results(spark, sf_dir, LOOP, cycle))
+    return experiments.cycle_experiments(staged, list(LOOP), limit="allowed")
 
 
 @query(
@@ -196,7 +206,7 @@ def cycle_loop(spark, sf_dir):
 def cycle_log(spark, sf_dir):
     cycle = "doc_id % 4"
     return experiments.cycle_log(
-        _attempts(spark, sf_dir, LOOP, cycle), _results(spark, sf_dir, LOOP, cycle), LOOP_CYCLES
+        _attempts(spark, sf_dir, LOOP, cycle), _results(spark, sf_dir, LOOP, cycle)
     )
 
 
@@ -207,26 +217,31 @@ _PATH = f"concat('/src/p', {src.text_of('page_id')}, case page_id % 2 when 0 the
 
 @query(
     "exp_bug_scan",
-    f"""with f as (select {_PATH} as target_file_path, {src.FILE['file_name']} as target_file_name,
-                         {ora.numbered('html')} as numbered, {_SCAN_ANSWER} as llm_response from pages),
-    m(configured_llm_name) as (values ('m0'), ('m1'))
+    f"""with f as (select page_id, {_PATH} as target_file_path,
+                      {src.FILE['file_name']} as target_file_name,
+                      {ora.numbered('html')} as numbered, {_SCAN_ANSWER} as answer from pages),
+    m(configured_llm_name, i) as (values ('m0', 0), ('m1', 1), ('m2', 2)),
+    g as (select *, case when (page_id + i) % 3 < 2 then answer end as llm_response
+          from f cross join m)
     select target_file_path, target_file_name, length(numbered) as numbered_length, llm_response,
            configured_llm_name,
            case when llm_response is null then 'exception'
                 when llm_response = 'There is a Bug Found here' then 'BUG FOUND'
                 when llm_response = 'bug not found' then 'BUG NOT FOUND' else 'UNKNOWN' end
              as bug_found_status
-    from f cross join m""",
+    from g""",
 )
 def bug_scan(spark, sf_dir):
+    """Every file with three models, of which each left out a third of the files."""
     pages = src.table(spark, sf_dir, "pages")
     files = pages.selectExpr(
         f"{_PATH} as file_path", f"{src.FILE['file_name']} as file_name", "html as contents"
     )
-    models = F.explode(F.array(F.lit("m0"), F.lit("m1"))).alias("configured_llm_name")
-    responses = pages.select(
-        F.expr(_PATH).alias("target_file_path"), F.expr(_SCAN_ANSWER).alias("llm_response"), models
-    )
-    scanned = experiments.bug_scan(files, responses)
+    responses = pages.selectExpr(
+        f"{_PATH} as target_file_path",
+        f"{_SCAN_ANSWER} as llm_response",
+        "explode(filter(array(0, 1, 2), i -> (page_id + i) % 3 < 2)) as i",
+    ).selectExpr("target_file_path", "llm_response", "concat('m', cast(i as string)) as configured_llm_name")
+    scanned = experiments.bug_scan(files, responses, ["m0", "m1", "m2"])
     length = F.length("llm_prompt") - F.lit(len(SECURITY_REVIEW))
     return scanned.withColumn("numbered_length", length.cast("bigint")).drop("llm_prompt")

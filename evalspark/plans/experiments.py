@@ -6,8 +6,11 @@ cycles with feedback, and the scan of source files for bugs. Rows that fail beco
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.functions.extract import extract_code
 from evalspark.functions.outcomes import bug_verdict, cycle_stage, oneshot_stage
@@ -15,12 +18,11 @@ from evalspark.functions.prompts import bug_scan_prompt
 from evalspark.functions.strings import ColumnOrName, as_col
 from evalspark.functions.toolout import testbench_result
 from evalspark.operators.checks import extraction_ok
-from evalspark.operators.history import until_first_pass
-from evalspark.operators.joins import attach_results_by_experiment
+from evalspark.operators.history import until_end
+from evalspark.operators.joins import EXPERIMENT, attach_results, with_each
 from evalspark.operators.projections import has_solution_and_testbench
 from evalspark.operators.summary import rollup_cycles
 
-EXPERIMENT = "experiment_execution_uuid"
 _STEP_COLUMNS = ("result_return_code", "result_stdout", "result_stderr")
 
 
@@ -30,9 +32,9 @@ def experiment_key(*parts: ColumnOrName) -> Column:
     return F.sha2(F.to_json(F.array(*texts)), 256)
 
 
-def _with_results(attempts: DataFrame, results: DataFrame, max_cycles: int) -> DataFrame:
+def _with_results(attempts: DataFrame, results: DataFrame, key: Sequence[str]) -> DataFrame:
     """Attach command results, and blank those of steps that an earlier gate keeps from running."""
-    joined = attach_results_by_experiment(attempts, results, max_cycles)
+    joined = attach_results(attempts, results, key)
     gates = {
         "compile": F.col("extracted_generated_code").isNotNull(),
         "execute": F.col("extracted_generated_code").isNotNull()
@@ -57,23 +59,17 @@ def single_shot(attempts: DataFrame, results: DataFrame) -> DataFrame:
     """One attempt per experiment, with everything known about it and its exit stage.
 
     ``attempts`` has the experiment key and ``llm_response``; ``results`` one row per experiment
-    and step, with cycle number 0.
+    and step.
     """
-    extracted = attempts.withColumn("cycle_num", F.lit(0).cast("bigint")).withColumn(
-        "extracted_generated_code", extract_code("llm_response")
-    )
-    return (
-        _with_results(extracted, results, 1)
-        .withColumn(
-            "exit_stage",
-            oneshot_stage(
-                "extracted_generated_code",
-                "compile_result_return_code",
-                "execute_result_return_code",
-                "was_testbench_passed",
-            ),
-        )
-        .drop("cycle_num")
+    extracted = attempts.withColumn("extracted_generated_code", extract_code("llm_response"))
+    return _with_results(extracted, results, [EXPERIMENT]).withColumn(
+        "exit_stage",
+        oneshot_stage(
+            "extracted_generated_code",
+            "compile_result_return_code",
+            "execute_result_return_code",
+            "was_testbench_passed",
+        ),
     )
 
 
@@ -87,13 +83,12 @@ def validate_testbenches(problems: DataFrame, results: DataFrame) -> DataFrame:
     )
     problem = F.when(
         F.coalesce(F.col("_code"), F.lit("")) == "",
-        "Could not extract verilog module from canonical solution code.",
+        "No module can be found in the known solution.",
     ).when(
         ~extraction_ok(F.col("_code"), F.col("canonical_solution")), "Extracted code is too short."
     )
     attempts = (
         checked.withColumn("error", problem)
-        .withColumn("cycle_num", F.lit(0).cast("bigint"))
         # nothing is compiled after a failed check
         .withColumn(
             "extracted_generated_code", F.when(F.col("error").isNull(), F.col("canonical_solution"))
@@ -104,10 +99,9 @@ def validate_testbenches(problems: DataFrame, results: DataFrame) -> DataFrame:
         None, "compile_result_return_code", "execute_result_return_code", "was_testbench_passed"
     )
     return (
-        _with_results(attempts, results, 1)
+        _with_results(attempts, results, [EXPERIMENT])
         .withColumn("exit_stage", F.when(F.col("error").isNotNull(), "exception").otherwise(stage))
         .withColumnRenamed("extracted_generated_code", "solution_code")
-        .drop("cycle_num")
     )
 
 
@@ -117,17 +111,14 @@ def _timed_out(step: str) -> Column:
 
 
 def classified_cycles(
-    cycles: DataFrame, results: DataFrame, max_cycles: int, separate_timeouts: bool = True
+    cycles: DataFrame, results: DataFrame, separate_timeouts: bool = True
 ) -> DataFrame:
-    """All cycles below the limit with their results and exit stage.
+    """All cycles with their results and exit stage.
 
-    ``cycles`` has the experiment key, ``cycle_num`` and ``llm_response``. The limit is applied to
-    both inputs before anything else is done. The result is partitioned by experiment.
+    ``cycles`` has the experiment key, ``cycle_num`` and ``llm_response``.
     """
-    extracted = cycles.where(F.col("cycle_num") < max_cycles).withColumn(
-        "extracted_generated_code", extract_code("llm_response")
-    )
-    return _with_results(extracted, results, max_cycles).withColumn(
+    extracted = cycles.withColumn("extracted_generated_code", extract_code("llm_response"))
+    return _with_results(extracted, results, [EXPERIMENT, "cycle_num"]).withColumn(
         "exit_stage",
         cycle_stage(
             "extracted_generated_code",
@@ -141,33 +132,48 @@ def classified_cycles(
     )
 
 
-def cycle_log(
-    cycles: DataFrame, results: DataFrame, max_cycles: int, separate_timeouts: bool = True
-) -> DataFrame:
-    """Classified cycles up to the first pass of each experiment."""
-    staged = classified_cycles(cycles, results, max_cycles, separate_timeouts)
-    return until_first_pass(staged, max_cycles)
+def cycle_log(cycles: DataFrame, results: DataFrame, separate_timeouts: bool = True) -> DataFrame:
+    """Classified cycles up to the first pass or exception of each experiment."""
+    return until_end(classified_cycles(cycles, results, separate_timeouts))
 
 
-def cycle_experiments(log: DataFrame, max_cycles: int, keys: list[str]) -> DataFrame:
-    """Experiment rows from classified cycles, whether or not cut at the first pass."""
-    return rollup_cycles(log, max_cycles, keys).withColumn(
-        "max_cycle_count", F.lit(max_cycles).cast("bigint")
-    )
+def cycle_experiments(log: DataFrame, keys: list[str], limit: str | None = None) -> DataFrame:
+    """Experiment rows from classified cycles, whether or not cut where they ended.
+
+    ``limit`` names the column with the cycles that an experiment's variant allows.
+    """
+    return rollup_cycles(log, keys, limit=limit)
 
 
-def bug_scan(files: DataFrame, responses: DataFrame) -> DataFrame:
-    """Scanned files with prompt and verdict; a file without an answer is an exception row.
+def bug_scan(files: DataFrame, responses: DataFrame, models: list[str]) -> DataFrame:
+    """Every file with every model, its prompt and verdict.
 
     ``files`` has file_path, file_name and contents, ``responses`` one row per file and model with
-    ``llm_response`` (null when the query failed, then ``error`` says why).
+    ``llm_response`` (null when the query failed, then ``error`` says why). A file that a model did
+    not answer is an exception row. Contents move as they are; the longer prompt is made afterwards.
     """
-    answered = F.col("llm_response").isNotNull()
-    prompted = files.select(
+    key = ["target_file_path", "configured_llm_name"]
+    named = files.select(
         F.col("file_path").alias("target_file_path"),
         F.col("file_name").alias("target_file_name"),
-        bug_scan_prompt("contents").alias("llm_prompt"),
+        "contents",
+    )
+    # answers meet per file first, so that a file's contents move once whatever the models
+    answers = [c for c in responses.columns if c != "target_file_path"]
+    per_file = responses.groupBy("target_file_path").agg(
+        F.collect_list(F.struct(*answers)).alias("_answers")
     )
-    return prompted.join(responses, "target_file_path").withColumn(
-        "bug_found_status", F.when(answered, bug_verdict("llm_response")).otherwise("exception")
+    asked = T.StructType().add("configured_llm_name", T.StringType())
+    grid = with_each(
+        named.join(per_file, "target_file_path", "left"), [(m,) for m in models], asked
+    )
+    own = F.filter("_answers", lambda a: a["configured_llm_name"] == F.col("configured_llm_name"))
+    found = grid.withColumn("_answer", F.get(own, F.lit(0)))
+    rest = [F.col("_answer")[c].alias(c) for c in answers if c not in key]
+    answered = F.col("llm_response").isNotNull()
+    return (
+        found.select(*key, "target_file_name", bug_scan_prompt("contents").alias("llm_prompt"), *rest)
+        .withColumn(
+            "bug_found_status", F.when(answered, bug_verdict("llm_response")).otherwise("exception")
+        )
     )

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from evalspark.operators.summary import rollup_cycles
 
-MAX_CYCLES = 5
 EPOCH_MICROS = 1_704_067_200_000_000
 NL = "chr(10)"
 FENCE = "repeat(chr(96), 3)"
@@ -85,7 +84,7 @@ def attempts_sql(*columns: str) -> str:
     return f"attempts as (select {picked} from documents)"
 
 
-# Cycles: eight per experiment, so that the limit of five cycles matters.
+# Cycles: eight per experiment, of which its variant allowed five to nine. Some end by an exception.
 EXPERIMENT_ID = f"concat('e', {text_of('event_id - event_id % 8')})"
 CYCLE = {
     "experiment_execution_uuid": EXPERIMENT_ID,
@@ -93,7 +92,9 @@ CYCLE = {
     "llm_provider_name": f"concat('prov', {text_of('(event_id - event_id % 8) % 16')})",
     "configured_llm_name": f"concat('m', {text_of('(event_id - event_id % 8) % 24')})",
     "value": "value",
-    "exit_stage": """case event_type when 'error' then '30_iverilog_compile_error'
+    "max_conversation_cycles": "cast(5 + (event_id - event_id % 8) % 40 / 8 as bigint)",
+    "exit_stage": """case event_type
+      when 'error' then case when event_id % 3 = 0 then 'exception' else '30_iverilog_compile_error' end
       when 'view' then '20_code_extraction_error' when 'signup' then '40_iverilog_execute_error'
       when 'click' then '60_tb_failed' else '80_tb_passed' end""",
 }
@@ -109,23 +110,35 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 CYCLES_SQL = "cycles as (select {} from events)".format(
     ", ".join(f"{sql} as {name}" for name, sql in CYCLE.items())
 )
+ENDS_SQL = "exit_stage in ('80_tb_passed', 'exception')"
 KEPT_SQL = f"""{CYCLES_SQL},
-kept as (select * exclude (passed_before) from (
-  select *, coalesce(max(case when exit_stage = '80_tb_passed' then 1 else 0 end) over (
+kept as (select * exclude (ended_before) from (
+  select *, coalesce(max(case when {ENDS_SQL} then 1 else 0 end) over (
       partition by experiment_execution_uuid order by cycle_num
-      rows between unbounded preceding and 1 preceding), 0) as passed_before
-  from cycles where cycle_num < {MAX_CYCLES}) where passed_before = 0)"""
+      rows between unbounded preceding and 1 preceding), 0) as ended_before
+  from cycles) where ended_before = 0)"""
 EXPERIMENTS_SQL = f"""{KEPT_SQL},
-experiments as (
+ended as (
   select experiment_execution_uuid, llm_provider_name, configured_llm_name,
-         max(cycle_num) + 1 as used_cycle_count,
-         arg_max(exit_stage, cycle_num) as latest_exit_stage,
-         bool_or(exit_stage = '80_tb_passed') as was_testbench_passed
-  from kept group by all)"""
+         max(cycle_num) + 1 as used, max(max_conversation_cycles) as allowed,
+         arg_max(exit_stage, cycle_num) as latest_exit_stage
+  from kept group by all),
+experiments as (
+  select experiment_execution_uuid, latest_exit_stage,
+         case when latest_exit_stage <> 'exception' then llm_provider_name end as llm_provider_name,
+         case when latest_exit_stage <> 'exception' then configured_llm_name end
+           as configured_llm_name,
+         case when latest_exit_stage <> 'exception' then used end as used_cycle_count,
+         case when latest_exit_stage <> 'exception' then allowed end as max_cycle_count,
+         case when latest_exit_stage <> 'exception' then used > allowed end as is_beyond_limit,
+         latest_exit_stage = '80_tb_passed' as was_testbench_passed
+  from ended)"""
 
 
 def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup_cycles(cycles(spark, sf_dir), MAX_CYCLES, keys=MODEL_COLUMNS)
+    return rollup_cycles(
+        cycles(spark, sf_dir), keys=MODEL_COLUMNS, limit="max_conversation_cycles"
+    )
 
 
 # Messages: two neighbouring ones share a time stamp; system messages have no agent.
@@ -156,6 +169,34 @@ MESSAGES_SQL = "messages as (select {}, make_timestamp({}) as timestamp from con
     ", ".join(f"{sql} as {name}" for name, sql in MESSAGE.items()), MESSAGE["micros"]
 )
 
+# Long conversations: two thousand events each, and time runs against the sequence numbers.
+LONG_MESSAGE = {
+    "conv_id": "event_id - event_id % 2000",
+    "seq": "event_id % 2000",
+    "role": "case event_type when 'click' then 'user' when 'error' then 'system' else 'assistant' end",
+    "agent_name": "case event_type when 'click' then 'designer_agent' when 'view' then "
+    "'debugger_agent' end",
+    "uuid": f"concat('u', {text_of('event_id')})",
+    "text": "concat(event_type, ' ', props)",
+    "micros": f"{EPOCH_MICROS} - (event_id - event_id % 2) * 1000000",
+}
+
+
+def long_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        table(spark, sf_dir, "events")
+        .selectExpr(*[f"{sql} as {name}" for name, sql in LONG_MESSAGE.items()])
+        .withColumn("timestamp", F.timestamp_micros("micros"))
+        .drop("micros")
+    )
+
+
+LONG_MESSAGES_SQL = """messages as (
+  select *, row_number() over (partition by conv_id order by timestamp, seq) - 1 as position
+  from (select {}, make_timestamp({}) as timestamp from events))""".format(
+    ", ".join(f"{sql} as {name}" for name, sql in LONG_MESSAGE.items()), LONG_MESSAGE["micros"]
+)
+
 # Source files: pages, half of them *.v and half *.sv.
 FILE = {
     "file_name": f"concat('f', {text_of('page_id')}, case page_id % 2 when 0 then '.v' else '.sv' end)",

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from evalspark.operators import summary
 from evalspark.plans import inputs as src
 from evalspark.plans import oracle_text as ora
+from evalspark.operators.joins import join_on_same
 from evalspark.plans.registry import query
 from evalspark.schemas import AGENT_VARIANT_ROWS, AGENT_VARIANTS, CYCLE_STAGES
 from evalspark.session import fresh_path
@@ -78,7 +79,6 @@ def tree_size(spark, sf_dir):
 
 
 CONFIG = {
-    "event_id": "event_id",
     "llm_class": "case event_type when 'click' then 'MockLlm' when 'view' then 'ChatGptLlm' "
     "when 'signup' then 'NoSuchLlm' else 'OllamaLlm' end",
     "configured_llm_name": "case when event_id % 50 = 0 then null else concat('m', "
@@ -98,7 +98,7 @@ CONFIG = {
     rf"""with c as (select {', '.join(f'{v} as {k}' for k, v in CONFIG.items())} from events),
     n as (select *, try_cast(regexp_extract(model_name, '(\d+(\.\d+)?)b', 1) as double) as billions
           from c)
-    select event_id, llm_class, configured_llm_name, coalesce(is_stable, false) as is_stable,
+    select llm_class, configured_llm_name, coalesce(is_stable, false) as is_stable,
       model_name, option_seed, option_temperature,
       case when llm_class = 'MockLlm' then coalesce(does_respond_to_test_queries, true) end
         as does_respond_to_test_queries,
@@ -115,13 +115,13 @@ CONFIG = {
     from n""",
 )
 def model_configs(spark, sf_dir):
+    """A config file with a line per event, written, read and checked; ``option_seed`` tells rows."""
     rows = src.table(spark, sf_dir, "events").selectExpr(
         *[f"{sql} as {name}" for name, sql in CONFIG.items()]
     )
-    configs = rows.withColumn(
-        "other_model_file_options", F.create_map().cast("map<string,string>")
-    )
-    checked = readers.validated_configs(configs, "event_id")
+    path = fresh_path(spark, "configs") + "/models.jsonl"
+    sinks.append_jsonl(rows, path)
+    checked = readers.read_model_configs(spark, path, require=False)
     return checked.drop("other_model_file_options")
 
 
@@ -155,6 +155,7 @@ _CYCLE_ROW = T.StructType(
         T.StructField("llm_provider_name", T.StringType()),
         T.StructField("configured_llm_name", T.StringType()),
         T.StructField("value", T.DoubleType()),
+        T.StructField("max_conversation_cycles", T.LongType()),
         T.StructField("exit_stage", T.StringType()),
     ]
 )
@@ -177,8 +178,12 @@ def jsonl_append(spark, sf_dir):
 
 @query("snk_jsonl_to_parquet", f"with {src.CYCLES_SQL} select * from cycles")
 def jsonl_to_parquet(spark, sf_dir):
-    target = sinks.compact_jsonl(spark, _cycle_log(spark, sf_dir), _CYCLE_ROW)
-    return readers.read_parquet(spark, target)
+    """The log has a field more than the schema, which the copy keeps."""
+    known = T.StructType([f for f in _CYCLE_ROW.fields if f.name != "exit_stage"])
+    target = sinks.compact_jsonl(spark, _cycle_log(spark, sf_dir), known)
+    copy = readers.read_parquet(spark, target)
+    stage = F.col(sinks.UNKNOWN_FIELDS)["exit_stage"]
+    return copy.withColumn("exit_stage", stage).drop(sinks.UNKNOWN_FIELDS)
 
 
 _SUMS = ", ".join(
@@ -192,8 +197,11 @@ _SUMS = ", ".join(
     f"""with {src.EXPERIMENTS_SQL}, one as (
       select llm_provider_name, configured_llm_name, latest_exit_stage, count(*) as count
       from experiments group by all),
-    two as (select llm_provider_name, configured_llm_name, {_SUMS} from experiments group by all)
-    select * from one join two using (llm_provider_name, configured_llm_name)""",
+    two as (select llm_provider_name, configured_llm_name, {_SUMS},
+                   cast(0 as bigint) as other from experiments group by all)
+    select one.*, two.* exclude (llm_provider_name, configured_llm_name) from one join two
+    on one.llm_provider_name is not distinct from two.llm_provider_name
+    and one.configured_llm_name is not distinct from two.configured_llm_name""",
 )
 def summary_parquet(spark, sf_dir):
     """Both summaries written, read back and joined on the model."""
@@ -202,7 +210,7 @@ def summary_parquet(spark, sf_dir):
     first = readers.read_parquet(spark, sinks.write_summary(one, folder, 1))
     two = summary.pivot_stages(first, "latest_exit_stage", CYCLE_STAGES)
     second = readers.read_parquet(spark, sinks.write_summary(two, folder, 2))
-    return first.join(second, summary.MODEL_KEYS)
+    return join_on_same(first, second, summary.MODEL_KEYS)
 
 
 _LOG = f"""with {src.MESSAGES_SQL}, lines as (
@@ -273,7 +281,7 @@ def step_outputs(spark, sf_dir):
 @query(
     "snk_row_snapshot",
     f"""with {src.EXPERIMENTS_SQL} select experiment_execution_uuid, llm_provider_name,
-      latest_exit_stage, used_cycle_count, was_testbench_passed, 6 as field_lines from experiments""",
+      latest_exit_stage, used_cycle_count, was_testbench_passed, 8 as field_lines from experiments""",
 )
 def row_snapshot(spark, sf_dir):
     """Snapshots read back as JSON; one line per field shows the indentation."""
@@ -306,9 +314,8 @@ def live_exit_stages(spark, sf_dir):
     work = fresh_path(spark, "stream")
     rows = src.cycles(spark, sf_dir)
     early = F.col("cycle_num") < 4
-    name = "live_" + work.rsplit("-", 1)[-1]
     for part in (early, ~early):
         sinks.append_jsonl(rows.where(part), f"{work}/log")
         log = live.stream_log(spark, f"{work}/log", _CYCLE_ROW)
-        counts = live.drain_counts(log, "exit_stage", f"{work}/checkpoint", name)
+        counts = live.drain_counts(log, "exit_stage", f"{work}/checkpoint", f"{work}/counts")
     return counts

@@ -401,9 +401,12 @@ def batch_score(spark, sf_dir):
     ]
     echo = msg.ECHO_PREFIX
 
-    def respond(prompt, _history):
+    def answer(prompt):
         if not prompt.startswith("Write"):
             raise ValueError(f"cannot answer {len(prompt)}")
         return next((answer for rule, answer in rules if re.match(rule, prompt)), echo + prompt)
 
+    def respond(prompts, _histories):
+        return [answer(p) for p in prompts]
+
     return scoring.score_prompts(_prompts(spark, sf_dir), respond).drop("prompt")

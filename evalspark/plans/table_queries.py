@@ -199,13 +199,18 @@ NAME = f"concat(event_type, '-', {src.text_of('event_id % 4000')})"
 
 @query(
     "flt_named_one",
-    f"""with n as (select {NAME} as name from events)
-    select name, count(*) as row_count, count(*) = 1 as ok from n group by name""",
+    f"""with n as (select {NAME} as name, event_id, value from events),
+    c as (select *, count(*) over (partition by name) as row_count from n)
+    select name, row_count, case when row_count = 1 then event_id end as event_id,
+           case when row_count = 1 then value end as value
+    from c qualify row_number() over (partition by name order by event_id) = 1""",
 )
 def named_one(spark, sf_dir):
-    """Every name of the table, and whether it stands for exactly one row."""
-    names = src.table(spark, sf_dir, "events").selectExpr(f"{NAME} as name")
-    return checks.name_report(names)
+    """Every name looked up: its row where it stands for exactly one, and how many it stands for."""
+    rows = src.table(spark, sf_dir, "events").selectExpr(f"{NAME} as name", "event_id", "value")
+    report = checks.name_report(rows)
+    found = rows.join(report.where("ok").select("name"), "name")
+    return report.select("name", "row_count").join(found, "name", "left")
 
 
 @query(
@@ -262,28 +267,11 @@ def inner_1to1(spark, sf_dir):
     )
 
 
-# The configured models of the sample setup.
-SAMPLE_MODELS = [
-    {"llm_class": "MockLlm", "configured_llm_name": "mock_llm_passes_tests", "is_stable": True,
-     "response_delay_seconds": 0.0001, "does_respond_to_test_queries": True},
-    {"llm_class": "MockLlm", "configured_llm_name": "mock_llm_fails_tests", "is_stable": True,
-     "response_delay_seconds": 0.0001, "does_respond_to_test_queries": False},
-    {"llm_class": "OllamaLlm", "configured_llm_name": "ollama_llama2_7b",
-     "model_name": "llama2:7b"},
-    {"llm_class": "OllamaLlm", "configured_llm_name": "ollama_llama2_7b_stable",
-     "model_name": "llama2:7b", "is_stable": True, "option_seed": 192910,
-     "option_temperature": 0.0},
-    {"llm_class": "OllamaLlm", "configured_llm_name": "ollama_llama2_13b",
-     "model_name": "llama2:13b"},
-    {"llm_class": "OllamaLlm", "configured_llm_name": "ollama_llama3_8b",
-     "model_name": "llama3:8b"},
-    {"llm_class": "OllamaLlm", "configured_llm_name": "ollama_codellama_7b",
-     "model_name": "codellama:7b"},
-    {"llm_class": "OllamaLlm", "configured_llm_name": "ollama_codellama_13b",
-     "model_name": "codellama:13b"},
-    {"llm_class": "ChatGptLlm", "configured_llm_name": "chatgpt-3.5",
-     "model_name": "gpt-3.5-turbo"},
-]
+CONFIGURED_MODELS = [
+    {"llm_class": provider, "configured_llm_name": f"{provider}-{size}b", "model_name": f"own:{size}b"}
+    for provider in ("OllamaLlm", "ChatGptLlm")
+    for size in (1, 3, 8)
+] + [{"llm_class": "MockLlm", "configured_llm_name": "offline", "is_stable": True}]
 _MODELS = "models(provider, model, tag) as (values {})".format(
     ", ".join(
         "('{}', '{}', {})".format(
@@ -291,7 +279,7 @@ _MODELS = "models(provider, model, tag) as (values {})".format(
             m["configured_llm_name"],
             quoted(m["model_name"]) if "model_name" in m else "null",
         )
-        for m in SAMPLE_MODELS
+        for m in CONFIGURED_MODELS
     )
 )
 _VARIANT_NAMES = "variants(name, phrasing) as (values {})".format(
@@ -306,7 +294,7 @@ _VARIANT_NAMES = "variants(name, phrasing) as (values {})".format(
 )
 def cross_models(spark, sf_dir):
     problems = src.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return joins.with_each(problems, SAMPLE_MODELS, MODEL_CONFIGS).select(
+    return joins.with_each(problems, CONFIGURED_MODELS, MODEL_CONFIGS).select(
         "doc_id", "llm_class", "configured_llm_name", "model_name", "n_chars"
     )
 
@@ -319,28 +307,29 @@ def cross_models(spark, sf_dir):
 )
 def cross_variants(spark, sf_dir):
     problems = src.table(spark, sf_dir, "documents").select("doc_id")
-    grid = joins.with_each(problems, SAMPLE_MODELS, MODEL_CONFIGS)
-    return (
-        joins.with_each(
-            grid.select("doc_id", "configured_llm_name"), AGENT_VARIANT_ROWS, AGENT_VARIANTS
-        )
-        .where(F.col("phrasing") == "be_specific")
-        .select("doc_id", "configured_llm_name", "name")
-    )
+    grid = joins.with_each(problems, CONFIGURED_MODELS, MODEL_CONFIGS)
+    # the variants that are asked for are picked before they multiply the rows
+    phrasing = AGENT_VARIANTS.fieldNames().index("phrasing")
+    variants = [v for v in AGENT_VARIANT_ROWS if v[phrasing] == "be_specific"]
+    return joins.with_each(
+        grid.select("doc_id", "configured_llm_name"), variants, AGENT_VARIANTS
+    ).select("doc_id", "configured_llm_name", "name")
 
 
 @query(
     "join_cycle_experiment",
     f"""with {src.EXPERIMENTS_SQL}
     select experiment_execution_uuid, cycle_num, value, exit_stage, used_cycle_count,
-           latest_exit_stage from kept join experiments using (experiment_execution_uuid)""",
+           latest_exit_stage
+    from cycles left join (select * from experiments where used_cycle_count is not null)
+    using (experiment_execution_uuid)""",
 )
 def cycle_experiment(spark, sf_dir):
-    kept = history.until_first_pass(src.cycles(spark, sf_dir), src.MAX_CYCLES)
-    # both sides come out partitioned by experiment, so the join itself shuffles nothing
-    experiments = summary.rollup_cycles(src.cycles(spark, sf_dir), src.MAX_CYCLES)
+    """All cycles with their experiment; those of an exception find none."""
+    cycles = src.cycles(spark, sf_dir)
+    experiments = summary.rollup_cycles(cycles).where("used_cycle_count is not null")
     return joins.attach_experiments(
-        kept.select("experiment_execution_uuid", "cycle_num", "value", "exit_stage"),
+        cycles.select("experiment_execution_uuid", "cycle_num", "value", "exit_stage"),
         experiments.drop("was_testbench_passed"),
     )
 
@@ -416,7 +405,9 @@ _RAGGED = f"""{src.EXPERIMENTS_SQL}, log as (
 
 def _ragged(spark, sf_dir):
     """Finished experiments and, from the documents, exception rows with other columns."""
-    done = src.experiments(spark, sf_dir).drop("used_cycle_count")
+    done = src.experiments(spark, sf_dir).drop(
+        "used_cycle_count", "max_cycle_count", "is_beyond_limit"
+    )
     crashed = src.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("ve_"), F.col("doc_id").cast("string")).alias("problem_id"),
         F.lit("exception").alias("latest_exit_stage"),
@@ -451,19 +442,24 @@ def exit_stage(spark, sf_dir):
     return summary.count_by(src.cycles(spark, sf_dir), "exit_stage")
 
 
+_LISTED = sorted(set(CYCLE_STAGES) - {"60_tb_failed"})
 _STAGE_SUMS = ", ".join(
-    f"cast(sum(case when latest_exit_stage = '{s}' then 1 else 0 end) as bigint) as \"{s}\""
-    for s in sorted(CYCLE_STAGES)
-)
+    f"cast(count(*) filter (latest_exit_stage = '{s}') as bigint) as \"{s}\"" for s in _LISTED
+) + """, cast(count(*) filter (latest_exit_stage is null or latest_exit_stage not in ({})) as bigint)
+    as other""".format(", ".join(f"'{s}'" for s in _LISTED))
 
 
 @query(
     "agg_pivot_exit_stage",
-    f"with {_RAGGED} select llm_provider_name, configured_llm_name, {_STAGE_SUMS} from log group by all",
+    f"""with {_RAGGED} select llm_provider_name, configured_llm_name, {_STAGE_SUMS},
+        count(*) as total from log group by all""",
 )
 def pivot_exit_stage(spark, sf_dir):
+    """Summary 2 with one stage missing in its list, beside the totals of summary 1."""
     counts = summary.stages_by_model(_ragged(spark, sf_dir), "latest_exit_stage")
-    return summary.pivot_stages(counts, "latest_exit_stage", CYCLE_STAGES)
+    totals = counts.groupBy(*summary.MODEL_KEYS).agg(F.sum("count").alias("total"))
+    two = summary.pivot_stages(counts, "latest_exit_stage", _LISTED)
+    return joins.join_on_same(two, totals, summary.MODEL_KEYS)
 
 
 @query(
@@ -575,15 +571,28 @@ def all_columns_order(spark, sf_dir):
 
 @query(
     "win_chat_history",
-    f"""with {src.MESSAGES_SQL}, h as (
-      select conv_id, seq, role, '[' || string_agg('{{"content":' || {ora.js('text')} || ',"role":'
-        || {ora.js('role')} || '}}', ',') over (partition by conv_id order by seq) || ']' as messages
-      from messages)
-    select conv_id, seq, cast(0 as bigint) as block_no, messages from h where role = 'user'""",
+    f"""with {src.LONG_MESSAGES_SQL},
+    asked as (select conv_id, max(position) as position from messages where role = 'user'
+              group by conv_id)
+    select a.conv_id, a.position, count(*) as message_count,
+           '[' || string_agg('{{"content":' || {ora.js('m.text')} || ',"role":'
+             || {ora.js('m.role')} || '}}', ',' order by m.position) || ']' as messages
+    from asked a join messages m on m.conv_id = a.conv_id and m.position <= a.position
+    group by all""",
 )
 def chat_history(spark, sf_dir):
-    found = history.chat_history(src.messages(spark, sf_dir), ["conv_id"])
-    return found.withColumn("messages", F.to_json("messages"))
+    """The whole history of the last prompt of every conversation."""
+    placed = history.with_positions(src.long_messages(spark, sf_dir), ["conv_id"])
+    prompts = placed.where("role = 'user'").groupBy("conv_id").agg(
+        F.max("position").alias("position")
+    )
+    found = history.chat_history(placed, prompts, ["conv_id"])
+    return found.select(
+        "conv_id",
+        "position",
+        F.size("messages").cast("bigint").alias("message_count"),
+        F.to_json("messages").alias("messages"),
+    )
 
 
 BUDGET = 2000
@@ -620,27 +629,27 @@ def context_truncate(spark, sf_dir):
     "win_last_attempt",
     f"""with {src.CYCLES_SQL} select experiment_execution_uuid, cycle_num, exit_stage, value,
       lag(exit_stage) over w as last_exit_stage, lag(value) over w as last_value from cycles
-      where cycle_num < {src.MAX_CYCLES}
       window w as (partition by experiment_execution_uuid order by cycle_num)""",
 )
 def last_attempt(spark, sf_dir):
     rows = src.cycles(spark, sf_dir).select(
         "experiment_execution_uuid", "cycle_num", "exit_stage", "value"
     )
-    return history.last_attempts(rows, ["exit_stage", "value"], src.MAX_CYCLES)
+    return history.last_attempts(rows, ["exit_stage", "value"])
 
 
 @query("win_until_first_pass", f"with {src.KEPT_SQL} select * from kept")
-def until_first_pass(spark, sf_dir):
-    return history.until_first_pass(src.cycles(spark, sf_dir), src.MAX_CYCLES)
+def until_end(spark, sf_dir):
+    return history.until_end(src.cycles(spark, sf_dir))
 
 
 @query(
     "win_phase",
-    f"""with {src.KEPT_SQL} select experiment_execution_uuid, cycle_num,
+    f"""with {src.CYCLES_SQL} select experiment_execution_uuid, cycle_num,
       case when row_number() over (partition by experiment_execution_uuid order by cycle_num) = 1
-           then 'init' else 'retry' end as phase from kept""",
+           then 'init' else 'retry' end as phase from cycles""",
 )
 def phase(spark, sf_dir):
-    kept = history.until_first_pass(src.cycles(spark, sf_dir), src.MAX_CYCLES)
-    return kept.select("experiment_execution_uuid", "cycle_num", history.phase().alias("phase"))
+    return src.cycles(spark, sf_dir).select(
+        "experiment_execution_uuid", "cycle_num", history.phase().alias("phase")
+    )

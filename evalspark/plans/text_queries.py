@@ -107,20 +107,19 @@ _PARSED = f"""with {src.attempts_sql('doc_id', 'stdout')}, parsed as (
 
 @query(
     "txt_parse_testbench",
-    f"""{_PARSED}, filled as (
-      select doc_id, coalesce(m, 0) as m, coalesce(n, 0) as n from parsed)
-    select doc_id, {_STATS} as testbench_stats, m = 0 as was_testbench_passed from filled""",
+    f"""{_PARSED} select doc_id, {_STATS} as testbench_stats, m = 0 as was_testbench_passed,
+           m is null as raises from parsed""",
 )
 def parse_testbench(spark, sf_dir):
-    """Strict parsing: output that lacks the line gets one appended, else it would raise."""
-    outputs = src.attempts(spark, sf_dir).select(
-        "doc_id",
-        F.concat(
-            F.col("stdout"), F.lit("\nTotal mismatched samples is 0 out of 0 samples")
-        ).alias("stdout"),
+    """Strict parsing of every output that has the line; the others are those it raises on."""
+    found = src.attempts(spark, sf_dir).select(
+        "doc_id", "stdout", toolout.testbench_result("stdout").alias("r")
+    )
+    raises = F.col("r.testbench_stats").isNull()
+    strict = F.when(~raises, toolout.testbench_result("stdout", strict=True))
+    return found.select("doc_id", raises.alias("raises"), strict.alias("r")).select(
+        "doc_id", "r.*", "raises"
     )
-    result = toolout.testbench_result("stdout", strict=True)
-    return outputs.select("doc_id", result.alias("r")).select("doc_id", "r.*")
 
 
 @query(
@@ -232,13 +231,14 @@ def render_message(spark, sf_dir):
 
 @query(
     "txt_render_transcript",
-    f"""with {src.MESSAGES_SQL}
-    select conv_id, cast(0 as bigint) as part_no, count(*) as message_count,
-           string_agg({ora.rendered()}, chr(10) || chr(10) order by timestamp, seq) as transcript
+    f"""with {src.LONG_MESSAGES_SQL}
+    select conv_id, count(*) as message_count,
+           string_agg({ora.rendered()}, chr(10) || chr(10) order by position) as transcript
     from messages group by conv_id""",
 )
 def render_transcript(spark, sf_dir):
-    return history.transcript(src.messages(spark, sf_dir), ["conv_id"], _rendered(), "timestamp")
+    placed = history.with_positions(src.long_messages(spark, sf_dir), ["conv_id"])
+    return history.transcript(placed, ["conv_id"], _rendered())
 
 
 @query(
@@ -365,40 +365,48 @@ def stats_extract(spark, sf_dir):
 
 
 _SNAP_STAGE = (
-    "case when conv_id % 4 = 0 and cycle_num = 2 then '80_tb_passed' else '60_tb_failed' end"
+    "case when conv_id % 4 = 0 and cycle_num = 2 then '80_tb_passed' "
+    "when conv_id % 7 = 3 and cycle_num = 1 then 'exception' else '60_tb_failed' end"
 )
 
 
 @query(
     "json_state_snapshot",
     f"""with {src.MESSAGES_SQL},
-    m as (select *, seq // 2 as cycle_num, {ora.message_json()} as j from messages
-          where agent_name is not null),
+    m as (select * replace (coalesce(agent_name, 'system_agent') as agent_name),
+                 seq // 2 as cycle_num from messages),
+    m2 as (select *, {ora.message_json()} as j from m),
     h as (select conv_id, cycle_num, agent_name,
                  string_agg(j, ',') over (partition by conv_id, agent_name order by seq) as h, seq
-          from m),
+          from m2),
     c as (select conv_id, cycle_num, {_SNAP_STAGE} as exit_stage,
                  max(case when role = 'assistant' then text end) as code,
                  count(*) as n
           from m group by conv_id, cycle_num),
-    k as (select *, coalesce(max(case when exit_stage = '80_tb_passed' then 1 else 0 end) over (
+    k as (select *, coalesce(max(case when {src.ENDS_SQL} then 1 else 0 end) over (
              partition by conv_id order by cycle_num rows between unbounded preceding and 1 preceding
           ), 0) as pb from c),
     a as (select k.*,
             (select h from h where h.conv_id = k.conv_id and agent_name = 'designer_agent'
                and h.cycle_num <= k.cycle_num order by seq desc limit 1) as hd,
             (select h from h where h.conv_id = k.conv_id and agent_name = 'debugger_agent'
-               and h.cycle_num <= k.cycle_num order by seq desc limit 1) as hb
-          from k where pb = 0 and cycle_num < {src.MAX_CYCLES})
-    select concat('x', conv_id) as experiment_execution_uuid, cycle_num,
+               and h.cycle_num <= k.cycle_num order by seq desc limit 1) as hb,
+            (select h from h where h.conv_id = k.conv_id and agent_name = 'system_agent'
+               and h.cycle_num <= k.cycle_num order by seq desc limit 1) as hs
+          from k where pb = 0),
+    e as (select concat('x', conv_id) as experiment_execution_uuid, cycle_num,
       '{{"phase":"' || case when exit_stage = '80_tb_passed' and cycle_num = 0 then 'init'
                            else 'retry' end
       || '","conversation_histories":{{' || concat_ws(',', '"designer_agent":[' || hd || ']',
-                                                       '"debugger_agent":[' || hb || ']')
+                                                       '"debugger_agent":[' || hb || ']',
+                                                       '"system_agent":[' || hs || ']')
       || '}},"last_attempted_solution_code":' || {ora.js('code')}
       || ',"last_compile_result":{{"return_code":' || n || '}},"last_execute_result":null'
-      || ',"last_was_testbench_passed":' || (exit_stage = '80_tb_passed') || '}}' as state
-    from a""",
+      || ',"last_was_testbench_passed":' || (exit_stage = '80_tb_passed') || '}}' as exit_state
+    from a)
+    select *, coalesce(lag(exit_state) over (partition by experiment_execution_uuid
+                                             order by cycle_num),
+                       {quoted(history.EMPTY_STATE)}) as entry_state from e""",
 )
 def state_snapshot(spark, sf_dir):
     json = msg.message_json("role", "agent_name", "uuid", "timestamp", "text", "metadata")
@@ -408,12 +416,11 @@ def state_snapshot(spark, sf_dir):
         said = F.collect_list(F.when(F.col("agent_name") == agent, entry))
         return F.transform(F.array_sort(said), lambda e: e["json"]).alias(agent)
 
-    agents = ["designer_agent", "debugger_agent"]
+    agents = ["designer_agent", "debugger_agent", "system_agent"]
     cycle_rows = (
         src.messages(spark, sf_dir)
-        .where("agent_name is not null")
+        .withColumn("agent_name", F.coalesce("agent_name", F.lit("system_agent")))
         .withColumn("cycle_num", int_div(F.col("seq"), 2))
-        .where(F.col("cycle_num") < src.MAX_CYCLES)
         .groupBy("conv_id", "cycle_num")
         .agg(
             *[of_agent(a) for a in agents],
@@ -430,5 +437,5 @@ def state_snapshot(spark, sf_dir):
             F.lit(None).cast("string").alias("executed"),
         )
     )
-    kept = history.until_first_pass(cycle_rows, src.MAX_CYCLES)
-    return history.state_snapshots(kept, agents, src.MAX_CYCLES, "code", "compiled", "executed")
+    kept = history.until_end(cycle_rows)
+    return history.state_snapshots(kept, agents, "code", "compiled", "executed")

@@ -93,6 +93,8 @@ ONESHOT_STAGES = [
 ]
 BUG_STATUSES = ["BUG FOUND", "BUG NOT FOUND", "UNKNOWN", "exception"]
 PASS_STAGE = "80_tb_passed"
+# What ends an experiment before its last cycle.
+END_STAGES = (PASS_STAGE, "exception")
 CODE_LANGUAGES = ["verilog", "systemverilog", "vhdl"]
 MODEL_CLASSES = ["MockLlm", "OllamaLlm", "ChatGptLlm"]
 

@@ -21,22 +21,39 @@ from evalspark.schemas import (
 )
 
 CORRUPT = "_corrupt_record"
-MAX_CONFIG_BYTES = 1_000_000
 
 
 def read_jsonl(
-    spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    keep_corrupt: bool = False,
+    rest: str | None = None,
 ) -> DataFrame:
-    """Newline-delimited JSON. Broken lines raise, or are kept in ``_corrupt_record``."""
-    if not keep_corrupt:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return (
-        spark.read.schema(with_corrupt)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
+    """Newline-delimited JSON. Broken lines raise, or are kept in ``_corrupt_record``.
+
+    A field that the schema does not have raises too, or is kept: ``rest`` names a map column for
+    such fields, null where there are none.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if keep_corrupt:
+        fields = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    else:
+        fields, options = schema, {"mode": "FAILFAST"}
+    names = F.array(*[F.lit(f.name) for f in schema.fields])
+    unknown = F.array_except(F.json_object_keys("value"), names)
+    parsed = F.from_json("value", fields, options)
+    everything = F.from_json("value", "map<string,string>")
+    others = F.map_filter(everything, lambda name, _: F.array_contains(unknown, name))
+    if rest is None:
+        message = F.concat(F.lit("unknown fields: "), F.array_join(unknown, ", "))
+        refused = F.raise_error(message).cast(fields)
+        parsed = F.when(F.size(unknown) > 0, refused).otherwise(parsed)
+    found = lines.select(
+        parsed.alias("_row"), *([F.when(F.size(unknown) > 0, others).alias(rest)] if rest else [])
     )
+    return found.select("_row.*", *([rest] if rest else []))
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -132,14 +149,11 @@ def require_valid_configs(configs: DataFrame) -> DataFrame:
 
 
 def _yaml_rows(spark: SparkSession, path: str) -> list[dict]:
-    """The objects of a YAML list. A config file is short, and anything else is refused."""
+    """The objects of a YAML list. Such a file is written by hand; it is read by the driver."""
     try:
         import yaml
     except ImportError as missing:
         raise ImportError("reading YAML needs PyYAML; JSON lines need nothing") from missing
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    if size > MAX_CONFIG_BYTES:
-        raise ValueError(f"{path} has {size} bytes: not a config file")
     rows = yaml.safe_load(spark.read.text(path, wholetext=True).first()[0])
     unknown = {key for row in rows for key in row} - set(MODEL_CONFIGS.fieldNames())
     if unknown:
@@ -159,11 +173,16 @@ def _typed(row: dict) -> dict:
     return row
 
 
-def read_model_configs(spark: SparkSession, path: str) -> DataFrame:
-    """Validated model configs from a YAML list or a JSON-lines file (one object per line)."""
+def read_model_configs(spark: SparkSession, path: str, require: bool = True) -> DataFrame:
+    """Model configs from a YAML list or a JSON-lines file (one object per line).
+
+    A config with a problem raises, or else the column ``problem`` says what is wrong.
+    """
     if path.endswith((".yaml", ".yml")):
-        return require_valid_configs(rows_to_table(spark, _yaml_rows(spark, path), MODEL_CONFIGS))
-    return require_valid_configs(read_jsonl(spark, path, MODEL_CONFIGS))
+        found = rows_to_table(spark, _yaml_rows(spark, path), MODEL_CONFIGS)
+    else:
+        found = read_jsonl(spark, path, MODEL_CONFIGS)
+    return require_valid_configs(found) if require else validated_configs(found)
 
 
 def read_problems(spark: SparkSession, descriptions: str, solutions: str) -> DataFrame:

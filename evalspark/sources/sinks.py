@@ -10,6 +10,7 @@ from evalspark.functions.messages import message_json, render_message
 from evalspark.sources.readers import read_jsonl, sibling
 
 JSON_KEEPS_NULLS = {"ignoreNullFields": "false"}
+UNKNOWN_FIELDS = "unknown_fields"
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -25,28 +26,40 @@ def compact_jsonl(
 ) -> str:
     """Rewrite a JSON-lines log as Parquet beside it; a missing log raises.
 
+    Fields that the schema does not have are kept in the map column ``unknown_fields``.
     ``partitions`` sets the number of files (without a shuffle); by default one per input split.
     """
     if extension not in (".pq", ".parquet"):
         raise ValueError(f"unknown extension: {extension}")
-    log = read_jsonl(spark, path, schema)
+    log = read_jsonl(spark, path, schema, rest=UNKNOWN_FIELDS)
     target = sibling(path, extension)
     (log if partitions is None else log.coalesce(partitions)).write.mode("overwrite").parquet(target)
     return target
 
 
 def write_summary(df: DataFrame, folder: str, kind: int) -> str:
-    """Write summary 1 or 2. A summary has a row per model and stage, so one file will do."""
+    """Write summary 1 or 2."""
     target = f"{folder}/experiment_summary_type_{kind}.pq"
-    df.coalesce(1).write.mode("overwrite").parquet(target)
+    df.write.mode("overwrite").parquet(target)
     return target
 
 
-def _log_lines(messages: DataFrame, keys: list[str], rendered: Column, agent: Column) -> DataFrame:
+def _log_lines(messages: DataFrame, keys: list[str], agent: Column, by_agent: bool) -> DataFrame:
+    """The messages in order, within each agent's log if these are apart; rendered after the move.
+
+    The range partitioning cuts also within a conversation.
+    """
+    order = [*(["_agent"] if by_agent else []), *keys, "timestamp", "seq"]
     as_json = message_json("role", "agent_name", "uuid", "timestamp", "text", "metadata")
-    return messages.orderBy(*keys, "timestamp", "seq").select(
-        *keys, "seq", agent.alias("agent"), as_json.alias("json"), rendered.alias("text")
-    )
+    named = messages.withColumn("_agent", agent)
+    if by_agent:
+        named = named.where("_agent is not null and _agent <> ''")
+    return (
+        named.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select(*keys, "seq", F.col("_agent").alias("agent"), as_json.alias("json"),
+                _banner().alias("text"))
+    )
 
 
 def _banner() -> Column:
@@ -54,27 +67,28 @@ def _banner() -> Column:
     return render_message("role", "agent_name", "uuid", "text", strict=False)
 
 
+def _write_conversations(
+    messages: DataFrame, keys: list[str], folder: str, agent: Column, mode: str
+) -> None:
+    for name, by_agent in (("all", False), ("by_agent", True)):
+        lines = _log_lines(messages, keys, agent, by_agent).write.mode(mode)
+        if by_agent:
+            lines = lines.partitionBy("agent")
+        lines.options(**JSON_KEEPS_NULLS).json(f"{folder}/{name}")
+
+
 def overwrite_conversations(messages: DataFrame, keys: list[str], folder: str) -> None:
     """Write conversations in order: ``all`` with every message, ``by_agent`` split per agent.
 
-    Messages without an agent are in ``all`` only. The sort cuts also within a conversation, so
-    files are of even size; agents are a short list, so each task writes a few files.
+    Messages without an agent are in ``all`` only.
     """
-    lines = _log_lines(messages, keys, _banner(), F.col("agent_name"))
-    lines.write.mode("overwrite").options(**JSON_KEEPS_NULLS).json(f"{folder}/all")
-    lines.where("agent is not null and agent <> ''").write.mode("overwrite").partitionBy(
-        "agent"
-    ).options(**JSON_KEEPS_NULLS).json(f"{folder}/by_agent")
+    _write_conversations(messages, keys, folder, F.col("agent_name"), "overwrite")
 
 
 def append_conversations(messages: DataFrame, keys: list[str], folder: str) -> None:
     """As above but appending, and messages without an agent go to a log named ``None``."""
     agent = F.coalesce(F.col("agent_name"), F.lit("None"))
-    lines = _log_lines(messages, keys, _banner(), agent)
-    lines.write.mode("append").options(**JSON_KEEPS_NULLS).json(f"{folder}/all")
-    lines.write.mode("append").partitionBy("agent").options(**JSON_KEEPS_NULLS).json(
-        f"{folder}/by_agent"
-    )
+    _write_conversations(messages, keys, folder, agent, "append")
 
 
 def step_outputs(results: DataFrame, keys: list[str]) -> DataFrame:

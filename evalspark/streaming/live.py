@@ -18,20 +18,23 @@ def live_stage_counts(log: DataFrame, stage: str) -> DataFrame:
     return log.groupBy(*MODEL_KEYS, stage).agg(F.count(F.lit(1)).alias("count"))
 
 
-def drain_counts(log: DataFrame, stage: str, checkpoint: str, name: str) -> DataFrame:
-    """Count what is in the log now; the complete result is the table ``name``.
+def drain_counts(log: DataFrame, stage: str, checkpoint: str, target: str) -> DataFrame:
+    """Count what is in the log now; the complete result is the Parquet table at ``target``.
 
-    Progress and state are in the checkpoint folder, so a restart neither loses nor recounts
-    rows. The result has one row per model and stage, small enough for an in-memory table.
+    Progress and state are in the checkpoint folder, so a restart neither loses nor recounts rows.
+    A batch replaces the table, so one that is run again after a failure does no harm.
     """
+
+    def replace(counts: DataFrame, _: int) -> None:
+        counts.write.mode("overwrite").parquet(target)
+
     query = (
         live_stage_counts(log, stage)
         .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
+        .foreachBatch(replace)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return log.sparkSession.table(name)
+    return log.sparkSession.read.parquet(target)

@@ -67,51 +67,69 @@ def test_validation(spark):
     rows = {r[0]: (r["exit_stage"], r["error"]) for r in checked.collect()}
     assert rows == {
         "ok": ("tb_pass", None),
-        "bad": ("exception", "Could not extract verilog module from canonical solution code."),
+        "bad": ("exception", "No module can be found in the known solution."),
         "short": ("exception", "Extracted code is too short."),
     }
 
 
 @pytest.mark.parametrize("cut", [True, False])
 def test_cycle_loop(spark, cut):
-    cycles = [("a", i, CODE) for i in range(4)] + [("b", 0, "no"), ("b", 1, CODE), ("c", 0, CODE)]
+    cycles = [("a", i, CODE, 3) for i in range(4)] + [("b", 0, "no", 3), ("b", 1, CODE, 3)]
+    cycles += [("c", 0, CODE, 3)] + [("d", i, CODE, 1) for i in range(3)]
+    cycles += [("e", i, CODE, 9) for i in range(3)]
     codes = {("a", 0): (0, 0, FAIL), ("a", 1): (0, 0, PASS), ("a", 2): (1, 0, ""), ("a", 3): (1, 0, ""),
-             ("b", 1): (0, None, ""), ("c", 0): (None, 0, "")}
+             ("b", 1): (0, None, ""), ("c", 0): (None, 0, ""), ("d", 0): (0, 0, FAIL),
+             ("d", 1): (0, 0, FAIL), ("d", 2): (0, 0, PASS), ("e", 0): (0, 0, FAIL),
+             ("e", 1): (0, 0, "unreadable"), ("e", 2): (0, 0, PASS)}
     attempts = spark.createDataFrame(
-        cycles, "experiment_execution_uuid string, cycle_num bigint, llm_response string"
+        cycles,
+        "experiment_execution_uuid string, cycle_num bigint, llm_response string, allowed int",
     )
     results = spark.createDataFrame(
         [r for (k, i), c in codes.items() for r in result_rows(k, i, *c)], RESULT
     )
     build = experiments.cycle_log if cut else experiments.classified_cycles
-    staged = build(attempts, results, 3)
+    staged = build(attempts, results)
     stages = {(r[0], r["cycle_num"]): r["exit_stage"] for r in staged.collect()}
     expected = {
         ("a", 0): "60_tb_failed", ("a", 1): "80_tb_passed", ("b", 0): "20_code_extraction_error",
         ("b", 1): "35_iverilog_execute_timeout", ("c", 0): "25_iverilog_compile_timeout",
-    }
-    assert stages == expected | ({} if cut else {("a", 2): "30_iverilog_compile_error"})
-    rolled = experiments.cycle_experiments(staged, 3, ["experiment_execution_uuid"])
+        ("d", 0): "60_tb_failed", ("d", 1): "60_tb_failed", ("d", 2): "80_tb_passed",
+        ("e", 0): "60_tb_failed", ("e", 1): "exception",
+    }
+    behind = {("a", 2): "30_iverilog_compile_error", ("a", 3): "30_iverilog_compile_error",
+              ("e", 2): "80_tb_passed"}
+    assert stages == expected | ({} if cut else behind)
+    rolled = experiments.cycle_experiments(staged, ["experiment_execution_uuid"], "allowed")
     assert sorted(tuple(r) for r in rolled.collect()) == [
-        ("a", 2, "80_tb_passed", True, 3),
-        ("b", 2, "35_iverilog_execute_timeout", False, 3),
-        ("c", 1, "25_iverilog_compile_timeout", False, 3),
+        ("a", 2, 3, False, "80_tb_passed", True),
+        ("b", 2, 3, False, "35_iverilog_execute_timeout", False),
+        ("c", 1, 3, False, "25_iverilog_compile_timeout", False),
+        ("d", 3, 1, True, "80_tb_passed", True),
+        ("e", None, None, None, "exception", False),
     ]
 
 
 def test_bug_scan(spark):
     files = spark.createDataFrame(
-        [("/a.v", "a.v", "x\ny"), ("/b.v", "b.v", "z")],
+        [("/a.v", "a.v", "x\ny"), ("/b.v", "b.v", "z"), ("/c.v", "c.v", "")],
         "file_path string, file_name string, contents string",
     )
     responses = spark.createDataFrame(
         [("/a.v", "m", "Bug found.", None), ("/b.v", "m", None, "boom")],
         "target_file_path string, configured_llm_name string, llm_response string, error string",
     )
-    rows = {r["target_file_name"]: r for r in experiments.bug_scan(files, responses).collect()}
-    assert rows["a.v"]["llm_prompt"].endswith("\n\n1: x\n2: y")
-    assert rows["a.v"]["bug_found_status"] == "BUG FOUND"
-    assert rows["b.v"]["bug_found_status"] == "exception" and rows["b.v"]["error"] == "boom"
+    scanned = experiments.bug_scan(files, responses, ["m", "n"]).collect()
+    rows = {(r["target_file_name"], r["configured_llm_name"]): r for r in scanned}
+    assert len(scanned) == len(rows) == 6
+    assert rows["a.v", "m"]["llm_prompt"].endswith("\n\n1: x\n2: y")
+    assert rows["a.v", "m"]["bug_found_status"] == "BUG FOUND"
+    assert rows["b.v", "m"]["bug_found_status"] == "exception"
+    assert rows["b.v", "m"]["error"] == "boom"
+    unanswered = [rows[f, m] for f, m in rows if m == "n" or f == "c.v"]
+    assert {(r["bug_found_status"], r["error"], r["llm_response"]) for r in unanswered} == {
+        ("exception", None, None)
+    }
 
 
 def test_key_depends_on_every_part(spark):

@@ -37,33 +37,63 @@ def by_conversation(rows):
     return out
 
 
+def placed_messages(df):
+    """Messages whose time runs against their numbers, two by two."""
+    timed = df.withColumn("timestamp", F.expr("timestamp_seconds(100000 - seq div 2)"))
+    return history.with_positions(timed, ["conv_id"])
+
+
+def in_time_order(rows):
+    return {
+        conv: sorted(said, key=lambda m: (-(m[1] // 2), m[1]))
+        for conv, said in by_conversation(rows).items()
+    }
+
+
 def test_history_of_three_messages(spark):
     said = [
         ("user", "What color is the sky?"),
         ("assistant", "It's blue."),
         ("user", "What was the last question I asked you?"),
     ]
-    found = history.chat_history(conversation(spark, said), ["conv_id"]).orderBy("seq").collect()
-    assert [r["seq"] for r in found] == [0, 2]
+    df = conversation(spark, said).withColumn("timestamp", F.lit(0))
+    placed = history.with_positions(df, ["conv_id"])
+    prompts = placed.where("role = 'user'")
+    found = history.chat_history(placed, prompts, ["conv_id"]).orderBy("position").collect()
+    assert [r["position"] for r in found] == [0, 2]
     assert [(m["content"], m["role"]) for m in found[1]["messages"]] == [(t, r) for r, t in said]
 
 
-@pytest.mark.parametrize("block", [1, 4, 64])
-def test_history_is_whole_across_blocks(spark, block):
-    rows = random_messages(1)
-    df = spark.createDataFrame(rows, SCHEMA)
-    blocks = {}
-    for r in history.history_blocks(df, ["conv_id"], block=block).collect():
-        blocks[r["conv_id"], r["block_no"]] = [tuple(m) for m in r["messages"]]
-        assert len(r["messages"]) <= block
-    conversations = by_conversation(rows)
-    found = history.chat_history(df, ["conv_id"], block=block).collect()
-    assert len(found) == sum(r[2] == "user" for r in rows)
+@pytest.mark.parametrize("longest", [30, 2500])
+def test_histories_and_transcripts_are_whole(spark, longest):
+    rows = random_messages(1, 40 if longest < 100 else 2, longest)
+    rows += [(None, i, "user", f"n{i}") for i in range(5)]
+    placed = placed_messages(spark.createDataFrame(rows, SCHEMA)).cache()
+    conversations = in_time_order([r for r in rows if r[0] is not None])
+    conversations[None] = sorted(rows[-5:], key=lambda m: (-(m[1] // 2), m[1]))
+    for r in placed.collect():
+        assert conversations[r["conv_id"]][r["position"]][1] == r["seq"]
+    prompts = placed.where("role = 'user' and position % 7 = 3")
+    asked = [(c, i) for c, said in conversations.items() for i, m in enumerate(said)
+             if m[2] == "user" and i % 7 == 3]
+    found = history.chat_history(placed, prompts, ["conv_id"]).collect()
+    assert sorted(map(str, ((r["conv_id"], r["position"]) for r in found))) == sorted(map(str, asked))
     for r in found:
-        earlier = [m for b in range(r["block_no"]) for m in blocks.get((r["conv_id"], b), [])]
-        assert len(r["messages"]) <= block
-        expected = [(t, role) for _, seq, role, t in conversations[r["conv_id"]] if seq <= r["seq"]]
-        assert earlier + [tuple(m) for m in r["messages"]] == expected
+        said = conversations[r["conv_id"]][: r["position"] + 1]
+        assert [tuple(m) for m in r["messages"]] == [(t, role) for _, _, role, t in said]
+    whole = history.transcript(placed, ["conv_id"], F.col("text")).collect()
+    assert {r["conv_id"]: r["transcript"] for r in whole} == {
+        c: "\n\n".join(m[3] for m in said) for c, said in conversations.items()
+    }
+    placed.unpersist()
+
+
+def test_truncation_answers_prompts_without_a_key(spark):
+    rows = [(None, i, "user", "x" * 5) for i in range(50)]
+    found = history.truncate_context(spark.createDataFrame(rows, SCHEMA), ["conv_id"], 20, block=8)
+    assert sorted((r["history_count"], r["kept_count"]) for r in found.collect()) == [
+        (i, min(i, 3)) for i in range(50)
+    ]
 
 
 def model_truncation(past, prompt_size, budget):
@@ -131,18 +161,6 @@ def test_order_breaks_ties_by_sequence(spark):
     assert [tuple(r) for r in history.order_by_all(df).collect()] == sorted(rows)
 
 
-@pytest.mark.parametrize("block", [2, 1024])
-def test_transcript_parts_join_to_the_whole(spark, block):
-    rows = random_messages(5, conversations=8)
-    df = spark.createDataFrame(rows, SCHEMA)
-    parts = history.transcript(df, ["conv_id"], F.col("text"), "seq", block=block)
-    joined = {}
-    for r in parts.orderBy("conv_id", "part_no").collect():
-        joined.setdefault(r["conv_id"], []).append(r["transcript"])
-    for conv, said in by_conversation(rows).items():
-        assert "\n\n".join(joined[conv]) == "\n\n".join(m[3] for m in said)
-
-
 CYCLES = [
     ("a", 0, "60_tb_failed", "c0"),
     ("a", 1, "80_tb_passed", "c1"),
@@ -153,6 +171,10 @@ CYCLES = [
     ("c", 1, "30_iverilog_compile_error", None),
     ("c", 2, "20_code_extraction_error", "e2"),
     ("c", 3, "80_tb_passed", "e3"),
+    ("c", 7, "60_tb_failed", "e7"),
+    ("d", 0, "60_tb_failed", "f0"),
+    ("d", 1, "exception", "f1"),
+    ("d", 2, "80_tb_passed", "f2"),
 ]
 
 
@@ -162,20 +184,21 @@ def cycles(spark):
     return spark.createDataFrame(CYCLES, schema)
 
 
-def test_until_first_pass(cycles):
-    got = history.until_first_pass(cycles, 3).select("experiment_execution_uuid", "cycle_num")
+def test_until_end(cycles):
+    got = history.until_end(cycles).select("experiment_execution_uuid", "cycle_num")
     assert sorted(tuple(r) for r in got.collect()) == [
-        ("a", 0), ("a", 1), ("b", 0), ("c", 0), ("c", 1), ("c", 2),
-    ]
+        ("a", 0), ("a", 1), ("b", 0), ("c", 0), ("c", 1), ("c", 2), ("c", 3), ("d", 0), ("d", 1),
+    ]
 
 
 def test_last_attempt_and_phase(cycles):
-    got = history.last_attempts(cycles, ["code"], 3).withColumn("phase", history.phase())
+    got = history.last_attempts(cycles, ["code"]).withColumn("phase", history.phase())
     rows = {(r[0], r["cycle_num"]): (r["last_code"], r["phase"]) for r in got.collect()}
+    assert len(rows) == len(CYCLES)
     assert rows["c", 0] == (None, "init")
     assert rows["c", 1] == ("e0", "retry")
     assert rows["c", 2] == (None, "retry")
-    assert ("c", 3) not in rows
+    assert rows["c", 7] == ("e3", "retry")
 
 
 def test_state_snapshots(spark):
@@ -189,8 +212,19 @@ def test_state_snapshots(spark):
         "experiment_execution_uuid string, cycle_num int, exit_stage string, "
         "designer_agent array<string>, debugger_agent array<string>, code string, c string, e string",
     )
-    got = history.state_snapshots(df, ["designer_agent", "debugger_agent"], 5, "code", "c", "e")
-    states = {(r[0], r[1]): json.loads(r["state"]) for r in got.collect()}
+    got = history.state_snapshots(df, ["designer_agent", "debugger_agent"], "code", "c", "e")
+    found = got.collect()
+    states = {(r[0], r[1]): json.loads(r["exit_state"]) for r in found}
+    before = {(r[0], r[1]): json.loads(r["entry_state"]) for r in found}
+    assert before["a", 1] == states["a", 0]
+    assert before["a", 0] == before["b", 0] == {
+        "phase": "init",
+        "conversation_histories": {},
+        "last_attempted_solution_code": None,
+        "last_compile_result": None,
+        "last_execute_result": None,
+        "last_was_testbench_passed": False,
+    }
     assert states["a", 0] == {
         "phase": "retry",
         "conversation_histories": {"designer_agent": ["d0", "d1"]},

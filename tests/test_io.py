@@ -58,6 +58,18 @@ def test_jsonl(spark, tmp_path):
     }
 
 
+def test_unknown_fields_do_not_vanish(spark, tmp_path):
+    log = tmp_path / "log.jsonl"
+    log.write_text('{"task_id":"a","error":"x","n":{"m":1}}\n\n{"task_id":"b"}\n')
+    schema = readers.PROBLEM_DESCRIPTIONS
+    with pytest.raises(Exception, match="unknown fields: error, n"):
+        readers.read_jsonl(spark, str(log), schema).collect()
+    copy = readers.read_parquet(spark, sinks.compact_jsonl(spark, str(log), schema))
+    assert {r["task_id"]: r["unknown_fields"] for r in copy.collect()} == {
+        "a": {"error": "x", "n": '{"m":1}'}, "b": None,
+    }
+
+
 def test_model_configs(spark, tmp_path):
     path = tmp_path / "models.jsonl"
     rows = [
@@ -163,21 +175,26 @@ def test_conversations(spark, messages, tmp_path):
     assert len(_log(spark, f"{folder}/by_agent/agent=None")) == 2
 
 
-def test_written_conversation_is_in_order(spark, tmp_path):
+def test_written_conversations_are_in_order(spark, tmp_path):
     rows = spark.range(3000).selectExpr(
         "id % 3 as conv_id", "id as seq", "concat('u', id) as uuid",
         "timestamp_seconds(10000 - id div 2) as timestamp", "'user' as role",
-        "'designer' as agent_name", "'t' as text", "cast(null as string) as metadata",
+        "case id % 5 when 0 then 'designer' when 1 then 'debugger' when 2 then null else 'x' end "
+        "as agent_name", "'t' as text", "cast(null as string) as metadata",
     ).repartition(7)
     folder = str(tmp_path / "log")
     sinks.overwrite_conversations(rows, ["conv_id"], folder)
-    lines = [
-        json.loads(line)
-        for part in sorted(Path(folder, "all").glob("part-*.json"))
-        for line in part.read_text().splitlines()
-    ]
-    order = [(r["conv_id"], json.loads(r["json"])["timestamp"], r["seq"]) for r in lines]
-    assert len(order) == 3000 and order == sorted(order)
+    sizes = {}
+    for log in (Path(folder, "all"), *Path(folder, "by_agent").glob("agent=*")):
+        lines = [
+            json.loads(line)
+            for part in sorted(log.glob("part-*.json"))
+            for line in part.read_text().splitlines()
+        ]
+        order = [(r["conv_id"], json.loads(r["json"])["timestamp"], r["seq"]) for r in lines]
+        assert order == sorted(order)
+        sizes[log.name] = len(order)
+    assert sizes == {"all": 3000, "agent=designer": 600, "agent=debugger": 600, "agent=x": 1200}
 
 
 def test_step_outputs(spark, tmp_path):
@@ -210,7 +227,7 @@ def test_stream_goes_on_where_it_stopped(spark):
     for stages in parts:
         sinks.append_jsonl(_experiments(spark, stages), f"{work}/log")
         log = live.stream_log(spark, f"{work}/log", EXPERIMENTS)
-        counts = live.drain_counts(log, "latest_exit_stage", f"{work}/state", "live_test")
+        counts = live.drain_counts(log, "latest_exit_stage", f"{work}/state", f"{work}/counts")
         batch = summary.stages_by_model(
             readers.read_jsonl(spark, f"{work}/log", EXPERIMENTS), "latest_exit_stage"
         )

@@ -5,13 +5,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from evalspark.operators import history, summary
 from evalspark.plans import inputs
+from evalspark.plans.catalog import QUERIES
 from evalspark.sources import readers
 
 SF_DIR = "/root/testdata/sf0.001"
-PYTHON_QUERIES = {"udf_batch_score"}
+PYTHON_QUERIES = {"udf_batch_score", "txt_chunk_blank_lines"}
 
 
 def plan_of(df):
@@ -26,9 +26,9 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_plan(no_broadcast, name):
-    plan = plan_of(queries()[name](no_broadcast, SF_DIR))
+    plan = plan_of(QUERIES[name](no_broadcast, SF_DIR))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in PYTHON_QUERIES:
         assert not re.search(r"Python|Pandas|InArrow", plan)
@@ -37,7 +37,7 @@ def test_every_plan(no_broadcast, name):
 
 
 def test_rollup_is_one_shuffle_of_hash_aggregates(no_broadcast):
-    plan = plan_of(summary.rollup_cycles(inputs.cycles(no_broadcast, SF_DIR), 5))
+    plan = plan_of(summary.rollup_cycles(inputs.cycles(no_broadcast, SF_DIR)))
     assert plan.count("Exchange") == 1 and plan.count("HashAggregate") == 2
     assert "Sort" not in plan and "Window" not in plan
     scanned = re.search(r"FileScan parquet \[(.*?)\]", plan).group(1)
@@ -52,34 +52,23 @@ def test_scans_read_only_what_is_asked_for(spark):
     assert re.search(r"ReadSchema: struct<event_id:bigint,value:double>", plan)
 
 
-def test_cycle_limit_is_applied_before_the_window(no_broadcast):
-    plan = plan_of(history.until_first_pass(inputs.cycles(no_broadcast, SF_DIR), 5))
-    assert plan.index("Window") < plan.index("Exchange") < plan.index("% 8) < 5")
+def test_results_are_attached_without_sorting_texts(no_broadcast):
+    """Left joins of the rows as they are: no aggregate that would sort and drag texts along."""
+    names = ["join_results_to_cycle", *(n for n in QUERIES if n.startswith("exp_"))]
+    for name in names:
+        assert "SortAggregate" not in plan_of(QUERIES[name](no_broadcast, SF_DIR)), name
+    plan = plan_of(QUERIES["join_results_to_cycle"](no_broadcast, SF_DIR))
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 3
+    for name, keys in (("exp_single_shot", 1), ("exp_cycle_loop", 2)):
+        plan = plan_of(QUERIES[name](no_broadcast, SF_DIR))
+        found = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+        assert sum(len(k.split(",")) == keys for k in found) >= 3, name
 
 
-def test_join_of_cycles_and_experiments_reuses_the_partitioning(no_broadcast):
-    plan = plan_of(queries()["join_cycle_experiment"](no_broadcast, SF_DIR))
-    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2
-
-
-def test_results_are_read_and_shuffled_once(no_broadcast):
-    plan = plan_of(queries()["join_results_to_cycle"](no_broadcast, SF_DIR))
-    assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning") == 2
-    assert plan.count("FileScan") == 2
-
-
-def test_cycle_experiments_shuffle_each_input_once(no_broadcast):
-    for name in ("exp_cycle_log", "exp_cycle_loop", "exp_single_shot"):
-        plan = plan_of(queries()[name](no_broadcast, SF_DIR))
-        keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
-        assert len(keys) == 2 and all("," not in k for k in keys), name
-
-
-def test_conversations_are_spread_by_block(no_broadcast):
-    for name in ("win_chat_history", "txt_render_transcript"):
-        plan = plan_of(queries()[name](no_broadcast, SF_DIR))
-        keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
-        assert len(keys) == 1 and "conv_id" in keys[0] and len(keys[0].split(",")) == 2
+def test_bug_scan_moves_contents_once_and_as_they_are(no_broadcast):
+    plan = plan_of(QUERIES["exp_bug_scan"](no_broadcast, SF_DIR))
+    assert plan.count("SortMergeJoin") == 1
+    assert plan.index("Generate") < plan.index("SortMergeJoin")  # the prompt is made above the join
 
 
 @pytest.fixture
@@ -100,9 +89,7 @@ def test_a_hot_conversation_is_spread(even_partitions):
         "repeat('x', 5) as text", "seq as timestamp",
     )
     for made in (
-        history.chat_history(messages, ["conv_id"], block=16),
-        history.history_blocks(messages, ["conv_id"], block=16),
-        history.transcript(messages, ["conv_id"], F.col("text"), "timestamp", block=16),
+        history.with_positions(messages, ["conv_id"]),
         history.truncate_context(messages, ["conv_id"], 100, block=16),
         history.ordered_conversation(messages, ["conv_id"], "timestamp", "seq"),
     ):
@@ -112,10 +99,10 @@ def test_a_hot_conversation_is_spread(even_partitions):
 
 def test_truncation_hands_no_conversation_to_one_task(no_broadcast):
     """The only shuffle by conversation alone is that of the block totals."""
-    plan = plan_of(queries()["win_context_truncate"](no_broadcast, SF_DIR))
-    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
-    alone = [k for k in keys if "," not in k]
-    assert len(alone) == 1 and len(keys) == 5
+    plan = plan_of(QUERIES["win_context_truncate"](no_broadcast, SF_DIR))
+    keys = re.findall(r"Exchange hashpartitioning\((.*), \d+\), ENSURE", plan)
+    alone = [k for k in keys if len(set(re.findall(r"\w+#\d+", k))) == 1]
+    assert len(alone) == 1 and len(keys) >= 5
 
 
 @pytest.mark.parametrize(
@@ -125,19 +112,19 @@ def test_truncation_hands_no_conversation_to_one_task(no_broadcast):
 )
 def test_texts_are_searched_once(no_broadcast, name):
     """No optimizer rule copies the extraction or the log search to a second place."""
-    plan = plan_of(queries()[name](no_broadcast, SF_DIR))
+    plan = plan_of(QUERIES[name](no_broadcast, SF_DIR))
     assert plan.count(", ```, -1)") == 1
     assert plan.count(" out of (\\d+) samples, 0)") <= 1
 
 
 def test_grid_is_narrow(no_broadcast):
-    plan = plan_of(queries()["join_cross_models"](no_broadcast, SF_DIR))
+    plan = plan_of(QUERIES["join_cross_models"](no_broadcast, SF_DIR))
     assert "Generate explode" in plan and "Exchange" not in plan and "Join" not in plan
 
 
 def test_text_queries_do_not_shuffle(no_broadcast):
-    for name in queries():
+    for name in QUERIES:
         if name.startswith(("txt_", "cls_", "pmt_", "dt_", "prj_")) and name not in (
             "txt_render_transcript", "prj_problem_build", "prj_keep_keys",
         ):
-            assert "Exchange" not in plan_of(queries()[name](no_broadcast, SF_DIR)), name
+            assert "Exchange" not in plan_of(QUERIES[name](no_broadcast, SF_DIR)), name

@@ -151,8 +151,6 @@ def test_with_each(spark):
         "num_ctx": "1"
     }
     assert joins.with_each(df, [], MODEL_CONFIGS).count() == 0
-    with pytest.raises(ValueError, match="too long"):
-        joins.with_each(df, [("x",)] * (joins.MAX_GRID_SIDE + 1), AGENT_VARIANTS)
 
 
 def test_attach_results(spark):
@@ -162,7 +160,9 @@ def test_attach_results(spark):
         [("a", 0, "compile", 0, "o", ""), ("a", 0, "execute", None, "p", "q"), ("b", 0, "compile", 1, "", "e")],
         key + ", step string, return_code int, stdout string, stderr string",
     )
-    got = joins.attach_results(cycles, results.unionAll(results))
+    with pytest.raises(ValueError, match="more than once"):
+        joins.attach_results(cycles, results.unionAll(results))
+    got = joins.attach_results(cycles, results)
     assert rows_of(
         got.select(
             "experiment_execution_uuid", "cycle_num", "was_compile_success", "was_execute_success",
@@ -172,25 +172,19 @@ def test_attach_results(spark):
           ("b", 0, False, None, None, "e")]
 
 
-def test_both_ways_of_attaching_agree(spark):
-    rng = random.Random(9)
-    pairs = [(f"e{e}", c) for e in range(40) for c in range(rng.randint(1, 7))]
-    cycles = spark.createDataFrame(pairs, "experiment_execution_uuid string, cycle_num bigint")
-    rows = [
-        (e, c, step, rng.choice([None, 0, 1]), f"{e}{c}", rng.choice(["", "x"]))
-        for e, c in pairs
-        for step in ("compile", "execute")
-        if rng.random() < 0.7
-    ]
-    results = spark.createDataFrame(
-        rows,
-        "experiment_execution_uuid string, cycle_num bigint, step string, return_code int, "
-        "stdout string, stderr string",
-    )
-    by_cycle = joins.attach_results(cycles, results).where("cycle_num < 5")
-    by_experiment = joins.attach_results_by_experiment(cycles, results, 5)
-    assert by_cycle.columns == by_experiment.columns
-    assert rows_of(by_cycle) == rows_of(by_experiment)
+def test_join_on_same(spark):
+    left = spark.createDataFrame([(None, 1, "a"), (2, None, "b"), (3, 3, "c")], "k int, n int, x string")
+    right = spark.createDataFrame([(None, 1, 7), (2, None, 8), (3, 4, 9)], "k int, n int, y int")
+    joined = joins.join_on_same(left, right, ["k", "n"])
+    assert joined.columns == ["k", "n", "x", "y"]
+    assert rows_of(joined) == sorted([(None, 1, "a", 7), (2, None, "b", 8)], key=repr)
+
+
+def test_cycles_without_an_experiment_stay(spark):
+    key = "experiment_execution_uuid string"
+    cycles = spark.createDataFrame([("a", 0), ("b", 0)], key + ", cycle_num int")
+    experiments = spark.createDataFrame([("a", 5)], key + ", used int")
+    assert rows_of(joins.attach_experiments(cycles, experiments)) == [("a", 0, 5), ("b", 0, None)]
 
 
 def test_ragged_union(spark):
@@ -206,22 +200,34 @@ def test_ragged_union(spark):
 
 def test_rollup_equals_a_loop(spark):
     rng = random.Random(4)
-    stages = [s for s in CYCLE_STAGES if s not in ("end", "exception")]
+    stages = [s for s in CYCLE_STAGES if s != "end"]
     rows, expected = [], []
     for e in range(300):
         chosen = [rng.choice(stages) for _ in range(rng.randint(1, 8))]
-        rows += [(f"e{e}", i, s) for i, s in enumerate(chosen)]
+        limit = rng.randint(1, 8)
+        rows += [(f"e{e}", "p", i, s, limit) for i, s in enumerate(chosen)]
         used = latest = None
-        for i, s in enumerate(chosen[:5]):
+        for i, s in enumerate(chosen):
             used, latest = i + 1, s
-            if s == PASS_STAGE:
+            if s in (PASS_STAGE, "exception"):
                 break
-        expected.append((f"e{e}", used, latest, latest == PASS_STAGE))
+        if latest == "exception":
+            expected.append((f"e{e}", None, None, None, None, latest, False))
+        else:
+            passed = latest == PASS_STAGE
+            expected.append((f"e{e}", "p", used, limit, used > limit, latest, passed))
     rng.shuffle(rows)
     df = spark.createDataFrame(
-        rows, "experiment_execution_uuid string, cycle_num int, exit_stage string"
+        rows,
+        "experiment_execution_uuid string, llm_provider_name string, cycle_num int, "
+        "exit_stage string, allowed int",
     )
-    assert rows_of(summary.rollup_cycles(df, 5)) == sorted(expected, key=repr)
+    keys = ["experiment_execution_uuid", "llm_provider_name"]
+    rolled = summary.rollup_cycles(df, keys, limit="allowed")
+    assert rows_of(rolled) == sorted(expected, key=repr)
+    assert summary.rollup_cycles(df).columns == [
+        "experiment_execution_uuid", "used_cycle_count", "latest_exit_stage", "was_testbench_passed"
+    ]
 
 
 def test_rollup_rejects_unknown_stages(spark):
@@ -229,7 +235,7 @@ def test_rollup_rejects_unknown_stages(spark):
         [("a", 0, "what")], "experiment_execution_uuid string, cycle_num int, exit_stage string"
     )
     with pytest.raises(Exception, match="unknown exit stage: what"):
-        summary.rollup_cycles(df, 5).collect()
+        summary.rollup_cycles(df).collect()
 
 
 @pytest.fixture
@@ -250,11 +256,15 @@ def test_summaries(log):
         ("p", "m2", "tb_fail", 1),
     ]
     two = summary.pivot_stages(one)
-    assert two.columns[2:] == ["exception", "tb_fail", "tb_pass"]
-    assert rows_of(two) == [("p", "m1", 0, 1, 2), ("p", "m2", 0, 1, 0), (None, None, 1, 0, 0)]
-    assert summary.pivot_stages(one, stages=["tb_pass", "end"]).columns[2:] == ["end", "tb_pass"]
+    assert two.columns[2:] == ["exception", "tb_fail", "tb_pass", "other"]
+    assert rows_of(two) == [
+        ("p", "m1", 0, 1, 2, 0), ("p", "m2", 0, 1, 0, 0), (None, None, 1, 0, 0, 0),
+    ]
+    listed = summary.pivot_stages(one, stages=["tb_pass", "end"])
+    assert listed.columns[2:] == ["end", "tb_pass", "other"]
     total = sum(r["count"] for r in one.collect())
-    assert total == log.count() == sum(sum(r[2:]) for r in two.collect())
+    for pivoted in (two, listed):
+        assert total == log.count() == sum(sum(r[2:]) for r in pivoted.collect())
 
 
 def test_counters(log):
@@ -292,10 +302,10 @@ def test_scoring_marks_failing_rows(spark):
         "i bigint, prompt string, past array<struct<content:string,role:string>>",
     )
 
-    def respond(prompt, past):
-        if prompt == "bad":
+    def respond(prompts, histories):
+        if "bad" in prompts:
             raise ValueError("cannot")
-        return f"{prompt} after {[m['content'] for m in past]}"
+        return [f"{p} after {[m['content'] for m in past]}" for p, past in zip(prompts, histories)]
 
     got = scoring.score_prompts(df, respond, history="past").select("i", "response", "error")
     assert rows_of(got) == sorted(
