@@ -40,8 +40,8 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "phone": r"(?<![\w+])(?!(?:19|20)\d\d[.-]\d\d?[.-]\d\d?(?!\d))(?!\d\d?[.-]\d\d?[.-](?:19|20)\d\d(?!\d))"
-    r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?!\w)",
+    "phone": r"(?<![\w+])(?!(?:19|20)\d\d[./-]\d\d?[./-]\d\d?(?!\d))(?!\d\d?[./-]\d\d?[./-](?:19|20)\d\d(?!\d))"
+    r"(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?)?\d{2,8}(?:[ ./-]\d{2,8}){1,4})(?!\w)",
 }
 # Titles by the gender they state.
 TITLES = {
@@ -99,7 +99,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for m in ENTITY.finditer(text):
             kind, value = m.lastgroup, m.group()
             digits = re.sub(r"\D", "", value)
-            if kind == "phone" and not (7 <= len(digits) <= 15 and re.search(r"[ .()+-]", value)):
+            if kind == "phone" and not (7 <= len(digits) <= 15 and re.search(r"[ ./()+-]", value)):
                 continue
             normal = {"email": value.lower(), "ip": value}.get(kind) or (
                 re.sub(r"\s", "", value) if kind == "iban" else digits

@@ -34,6 +34,17 @@ def test_leaves_alone(text):
     assert kinds(text) == [] and su.replace(text, KEY, {}) == (text, [])
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["555-123-4567", "(555) 123-4567", "+49 30 1234567", "+15551234567", "030/1234567", "+1 (663) 555-6869",
+     "555.123.4567", "+33 1 23 45 67 89"],
+)
+def test_phone_formats(text):
+    assert kinds(f"call {text}, now") == [(text, "phone")]
+    new, ((a, b, _),) = su.replace(text, KEY, {})
+    assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text) and new != text
+
+
 def test_replacements():
     new, spans = su.replace(TEXT, KEY, {})
     assert [k for _, _, k in spans] == [k for _, k in kinds(TEXT)]
