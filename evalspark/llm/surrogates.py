@@ -41,7 +41,8 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "phone": r"(?<![\w+])(?!(?:19|20)\d\d[./-]\d\d?[./-]\d\d?(?!\d))(?!\d\d?[./-]\d\d?[./-](?:19|20)\d\d(?!\d))"
-    r"(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?)?\d{2,8}(?:[ ./-]\d{2,8}){1,4})(?!\w)",
+    r"(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?(?:\(\d{2,5}\)[ .-]?)?\d{1,8}|(?:\(\d{2,5}\)[ .-]?)?\d{2,8})"
+    r"(?:[ ./-]\d{2,8}){1,5})(?!\w)",
 }
 # Titles by the gender they state.
 TITLES = {
