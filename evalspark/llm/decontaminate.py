@@ -28,6 +28,8 @@ MIN_WINDOWS = 6
 BROADCAST_CHARS = 2_000_000
 
 SIGNS = NUMBER, UNIT, NAME = "#", "%", "@"
+#: A number with up to two separators inside is one value.
+NUMBERS = "([0-9]+)(?:[.,]([0-9]+))?(?:[.,]([0-9]+))?"
 UNITS = (
     "km|m|cm|mm|kg|g|mg|t|lb|lbs|oz|l|ml|ft|feet|inch|inches|miles?|mph|kmh|s|sec|seconds?|min"
     "|minutes?|h|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?"
@@ -49,7 +51,7 @@ def windows(df: DataFrame, keep: dict[str, str], text: str, size: int) -> DataFr
     plain = F.translate(F.col(f"`{text}`"), "".join(SIGNS), " " * len(SIGNS))
     # a sign before each capital inside a sentence, around each number and before its unit
     named = F.regexp_replace(plain, r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", NAME)
-    counted = F.regexp_replace(named, "([0-9]+)", f" {NUMBER}$1 ")
+    counted = F.regexp_replace(named, NUMBERS, f" {NUMBER}$1$2$3 ")
     marked = F.regexp_replace(counted, rf"(?<=[0-9] {{1,2}})(?=(?:{UNITS})(?!\p{{L}}))", UNIT)
     has_values = F.contains("marked", F.lit(NUMBER)) | F.contains("marked", F.lit(NAME))
     words = F.split(F.lower("marked"), rf"[^\p{{L}}\p{{M}}\p{{N}}{''.join(SIGNS)}]+")

@@ -26,7 +26,7 @@ def leaks(documents, benchmark, rows, **options):
 
 @pytest.mark.parametrize("broadcast_chars", [0, 2_000_000])
 def test_leaks(documents, benchmark, broadcast_chars):
-    other = QUESTION.replace("40", "75").replace("60", "90")
+    other = QUESTION.replace("40", "1,075.5").replace("60", "90")
     mixed = QUESTION.replace("two hours", "three hours")
     rows = [
         (1, f"{FILLER} {QUESTION} {FILLER}"),
