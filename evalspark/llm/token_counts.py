@@ -14,6 +14,7 @@ split as the cut text would be, so a longer prefix can have a smaller count.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
@@ -24,12 +25,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from evalspark.llm.batches import map_texts
-from evalspark.llm.bpe import REMEMBERED, unicode_spaces
+from evalspark.llm.bpe import unicode_spaces
 
 #: Fixed value: the split of byte-level BPE files that ask for a pattern.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
+#: Pre-tokens whose counts a worker process remembers; beyond it, it starts anew.
+REMEMBERED = 800_000
 #: Contractions of two letters: cut after the first letter, they are two pre-tokens.
 CUT_IN_TWO = ("'re", "'ve", "'ll")
 
@@ -126,9 +129,9 @@ class PrefixCounter:
         counts = [0] * (len(piece) + 1)
         for i in range(1, len(piece) + 1):
             for length in (
-                lengths.get(piece[max(i - 4, 0) : i])
-                or lengths.get(piece[max(i - 3, 0) : i])
-                or lengths.get(piece[max(i - 2, 0) : i])
+                lengths.get(piece[i - 4 if i > 4 else 0 : i])
+                or lengths.get(piece[i - 3 if i > 3 else 0 : i])
+                or lengths.get(piece[i - 2 if i > 2 else 0 : i])
                 or ()
             ):
                 if length > i or (token := number.get(piece[i - length : i])) is None:
@@ -156,14 +159,13 @@ class PrefixCounter:
             self.fits.clear()
         for piece in new:
             data = piece.encode()
-            counts = np.array(self.byte_counts(data), dtype=np.int32)
-            if len(data) != len(piece):
-                whole = np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80
-                counts = counts[np.append(whole[1:], True)]  # where a character ends
+            counts = self.byte_counts(data)
+            if len(data) != len(piece):  # only where a character ends
+                counts = [n for n, b in zip(counts, (*data[1:], 0)) if b & 0xC0 != 0x80]
             if piece in CUT_IN_TWO:
                 counts[1] = 2
-            self.known[piece] = counts.tobytes()
-            if self.blank(piece):
+            self.known[piece] = array("i", counts).tobytes()
+            if not ("!" <= piece[-1] <= "~") and self.blank(piece):
                 self.blanks.add(piece)
 
     def segment(self, text: str) -> np.ndarray:
@@ -205,6 +207,16 @@ class PrefixCounter:
         return np.concatenate(counts)
 
 
+_counters: list[PrefixCounter] = []
+
+
+def counter_of(merges: Broadcast) -> PrefixCounter:
+    """The counter of this worker process, so that a task goes on with what others learned."""
+    if not _counters or _counters[0].merges is not merges.value:
+        _counters[:] = [PrefixCounter(merges.value)]
+    return _counters[0]
+
+
 def load(spark: SparkSession, path: str) -> Broadcast:
     """The merge rules, read by the driver; the file bounds their size."""
     return spark.sparkContext.broadcast(Merges(path))
@@ -219,7 +231,7 @@ def prefix_counts(
     """
 
     def make() -> Callable[[list], list]:
-        counter = PrefixCounter(merges.value)
+        counter = counter_of(merges)
         return lambda texts: [
             pa.array([counter.prefixes(t or "") for t in texts], type=pa.list_(pa.int32()))
         ]
@@ -239,7 +251,7 @@ def budgets(
     characters of its longest prefix with at most `limit` tokens."""
 
     def make() -> Callable[[list], list]:
-        counter = PrefixCounter(merges.value)
+        counter = counter_of(merges)
 
         def run(texts: list) -> list:
             totals, fits = [], []
