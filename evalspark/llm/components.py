@@ -19,8 +19,12 @@ def _write(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _signature(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node either has one link to a smaller node or is itself such an end."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("end"))
+    ends = ends.unionAll(links.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("end").alias("end"))
+    return seen.where("up + end > 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,16 +38,13 @@ def components(links: DataFrame) -> DataFrame:
         links.where("u is not null and v is not null and u != v").select(high, low).distinct(),
         "links",
     )
-    before = None
-    while (now := _signature(links)) != before:
-        before = now
+    while not _are_stars(links):
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("least"))
         large = (
             both.join(least, "u")
             .where("v > u")
             .select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
-            .distinct()
         )
         large = _write(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("least"))

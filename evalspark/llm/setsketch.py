@@ -24,7 +24,7 @@ keys. Only key and text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -290,7 +290,6 @@ def family_links(nodes: DataFrame, shape: Sketch) -> DataFrame:
         placed.join(shared, "band")
         .where("node != low")
         .select(F.col("node").alias("u"), F.col("low").alias("v"))
-        .distinct()
     )
 
 
@@ -407,7 +406,7 @@ def near_duplicates(
     classes = with_set.groupBy("fingerprint").agg(F.min("node").alias("low"))
     classes = _written(classes, "classes")
     chosen = classes.select(F.col("low").alias("node"), "fingerprint")
-    nodes = with_set.join(chosen, ["node", "fingerprint"]).select("node", "sketch").distinct()
+    nodes = with_set.join(chosen, ["node", "fingerprint"]).select("node", "sketch")
     families = _written(components(family_links(nodes, shape)), "families")
     sizes = families.groupBy("component").agg(F.count("*").alias("size"))
     members = _written(
