@@ -122,7 +122,10 @@ def drop_recurring(
     path = fresh_path(spark, "lines")
     lines(df, key, text, tree).write.parquet(path)
     found = spark.read.parquet(path)
-    first = first_documents(found, tree)
+    # written, so that both sides of the join are dealt as they are and a hot template can be split
+    path = fresh_path(spark, "first")
+    first_documents(found, tree).write.parquet(path)
+    first = spark.read.parquet(path)
     dropped = (
         found.select("doc", "version", "line", "template")
         .join(first, "template")
