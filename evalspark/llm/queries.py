@@ -84,13 +84,55 @@ def chat_format(spark, sf_dir):
     return digests.withColumnRenamed("conv", "conv_id")
 
 
-@query("op5_line_templates")
+# A template is spelled out here: token count, leading tokens, the four fields, and which is variable.
+_BOUND = "2 + (n - 2) * {} // 4"
+_FIELDS = [f"t[{_BOUND.format(i)} + 1:{_BOUND.format(i + 1)}]" for i in range(4)]
+_TEMPLATES = ", ".join(
+    "case when {} then {{'n': n, 'head': t[1:2], {}, 'star': {}}} end".format(
+        "true" if star < 0 else "n >= 10",
+        ", ".join(
+            f"'f{i}': {'cast(null as varchar[])' if i == star else f}"
+            for i, f in enumerate(_FIELDS)
+        ),
+        star,
+    )
+    for star in (-1, 0, 1, 2, 3)
+)
+
+
+@query(
+    "op5_line_templates",
+    rf"""with docs as (
+      select doc_id, text, string_split(text, chr(10)) as ls, row_number() over () as rid
+      from documents),
+    lines as (
+      select rid, doc_id, unnest(ls) as line, generate_subscripts(ls, 1) - 1 as line_no from docs),
+    cut as (
+      select rid, doc_id, line_no, string_split_regex(
+        regexp_replace(trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))), '[0-9]+', '0', 'g'),
+        '[ 	]+') as t from lines),
+    counted as (select *, len(t) as n from cut where len(t) >= 5),
+    spread as (select rid, doc_id, line_no, unnest([{_TEMPLATES}]) as template from counted),
+    firsts as (
+      select *, min(doc_id) over (partition by template) as first from spread
+      where template is not null),
+    gone as (
+      select rid, line_no from firsts group by rid, line_no, doc_id having min(first) < doc_id),
+    per_doc as (
+      select rid, list(line_no order by line_no) as dropped from gone group by rid)
+    select doc_id, cast(coalesce(len(ls), 0) as bigint) as n_lines,
+           cast(coalesce(len(dropped), 0) as bigint) as n_dropped,
+           coalesce(array_to_string(dropped, ','), '') as dropped,
+           sha256(array_to_string(list_filter(ls, lambda x, i:
+             not list_contains(coalesce(dropped, []), i - 1)), chr(10))) as text_sha256
+    from docs left join per_doc using (rid)""",
+)
 def line_dedup(spark, sf_dir):
     found = line_templates.drop_recurring(table(spark, sf_dir, "documents"))
     return found.select(
         "kept.doc_id",
-        "out.n_lines",
-        F.size("out.dropped").alias("n_dropped"),
+        F.col("out.n_lines").cast("bigint").alias("n_lines"),
+        F.size("out.dropped").cast("bigint").alias("n_dropped"),
         F.array_join(F.col("out.dropped").cast("array<string>"), ",").alias("dropped"),
         F.sha2("out.text", 256).alias("text_sha256"),
     )

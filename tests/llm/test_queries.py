@@ -1,0 +1,81 @@
+"""Registered queries: contracts against plain versions, and oracles where SQL has one."""
+
+import collections
+import hashlib
+import os
+
+import plain
+import pytest
+import tiktoken
+import public_tokenizers
+from compare import difference, oracle_connection
+
+from evalspark.llm.bpe import read_ranks
+from evalspark.llm.queries import ORACLES, QUERIES
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_oracle(spark, name):
+    con = oracle_connection(SF_DIR)
+    assert difference(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) is None
+
+
+def digest(text):
+    return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
+    return {r.doc_id: r.text for r in rows}
+
+
+def test_round_trip(spark, texts):
+    ranks = dict(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    )
+    found = QUERIES["op2_bpe_round_trip"](spark, SF_DIR).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        ids = library.encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), digest(" ".join(map(str, ids))))
+        assert r.decoded_sha256 == digest(texts[r.doc_id] or "")
+
+
+def test_quality(spark, texts):
+    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed".split()
+    for r in QUERIES["op6_quality_rules"](spark, SF_DIR).collect():
+        assert tuple(r[n] for n in names) == plain.base_counts(texts[r.doc_id])
+        assert not (r.base_failed and r.kept)
+
+
+def test_near_duplicates(spark, texts):
+    expected = plain.near_components(list(texts.items()))
+    found = QUERIES["op8_setsketch_near_duplicates"](spark, SF_DIR).collect()
+    assert {r.doc_id: r.component_id for r in found} == expected
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+    assert all(r.n_shingles == len(plain.shingles(texts[r.doc_id])) for r in found)
+
+
+def test_sharding(spark, texts):
+    found = QUERIES["op10_ring_sharding"](spark, SF_DIR).collect()
+    counts = collections.Counter(r.shard for r in found)
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    assert max(counts.values()) - min(counts.values()) <= 1 and set(counts) <= set(range(40))
+    assert all(r.size == len((texts[r.doc_id] or "").encode()) + 16 for r in found)
+    assert {(r.law, r.grown_shard) for r in found} == {("rows", None)}
+
+
+def test_secrets(spark, texts):
+    from test_secrets import by_definition
+
+    for r in QUERIES["op1_secrets_crf"](spark, SF_DIR).collect():
+        base = by_definition(texts[r.doc_id] or "")
+        names = ("assign", "access", "hex")
+        spans = [f"{names[k]}:{a}:{b}" for a, k, b in base]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+        assert r.base_sha256 == digest(",".join(spans))
+        assert set(spans) <= set(r.spans.split(",")) | {""}
