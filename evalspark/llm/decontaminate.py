@@ -7,14 +7,21 @@ matches. Along one occurrence the values are held against each other: a value of
 stand for the same value of the document everywhere. Windows of inconsistent occurrences do not
 count.
 
+Windows that hold placeholders are joined a second time by their plain lower-cased words, so a
+verbatim copy matches however many numbers and names it has and in whatever case it is written.
+
 A document is contaminated by an item if it holds `min_windows` different windows of it, or, for
-a short item, half of them; an item shorter than a window is one window. Null and empty texts, of
-documents or items, match nothing. Equal rows are one document; equal items of different ids all
-match. A null key of a document is reported as null. Other columns are not read.
+a short item, half of them. An item shorter than a window is one window, and documents have plain
+windows of its length; if it has fewer than `min_words` words, all of scripts that put blanks
+between words, it is found as a whole document only. Null and empty texts, of documents or items,
+match nothing. Equal rows are one document; equal items of different ids all match. A null key of a
+document is reported as null. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +30,15 @@ from evalspark.session import fresh_path
 WINDOW = 8
 #: Six windows of eight words are thirteen words in a row.
 MIN_WINDOWS = 6
+#: Items of fewer words than this occur in any text.
+MIN_WORDS = 3
+#: Letters of scripts in which a sentence can be one token.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Characters of all items up to which their windows are copied to every executor. A window takes
 #: some 100 bytes and there are fewer than one per two characters.
 BROADCAST_CHARS = 2_000_000
 
+TYPED, PLAIN, INNER = range(3)
 SIGNS = NUMBER, UNIT, NAME = "#", "%", "@"
 #: A number with up to two separators inside is one value.
 NUMBERS = "([0-9]+)(?:[.,]([0-9]+))?(?:[.,]([0-9]+))?"
@@ -40,12 +52,16 @@ def _signed(word: Column) -> Column:
     return F.array_contains(F.array(*[F.lit(s) for s in SIGNS]), F.left(word, F.lit(1)))
 
 
-def windows(df: DataFrame, keep: dict[str, str], text: str, size: int) -> DataFrame:
-    """One row per window: columns `keep` (new name -> column), `at`, `window` and `values`.
+def windows(
+    df: DataFrame, keep: dict[str, str], text: str, size: int, lengths: Sequence[int] = ()
+) -> DataFrame:
+    """One row per window: columns `keep` (new name -> column), `at`, `n`, `kind`, `window`, `values`.
 
-    `window` is the hash of its typed tokens; `values` has the tokens behind its placeholders, in
-    order, and is null if there are none. Windows in which most tokens are placeholders are left
-    out, as they would match anything.
+    A window of kind TYPED is the hash of its `n` typed tokens; `values` has the tokens behind its
+    placeholders, in order, and is null if there are none. Those in which most tokens are
+    placeholders are left out, as they would match anything. Windows with placeholders come again
+    as PLAIN, the hash of their words. INNER windows are plain too, one of each of `lengths` at
+    every place of a text that is longer.
     """
     kept = [F.col(f"`{c}`").alias(n) for n, c in keep.items()]
     plain = F.translate(F.col(f"`{text}`"), "".join(SIGNS), " " * len(SIGNS))
@@ -61,19 +77,74 @@ def windows(df: DataFrame, keep: dict[str, str], text: str, size: int) -> DataFr
         .where(F.size("words") > 0)
     )
     types = F.transform("words", lambda w: F.when(_signed(w), F.left(w, F.lit(1))).otherwise(w))
-    typed = split.withColumn("types", F.when(F.col("has_values"), types).otherwise(F.col("words")))
+    bare = F.transform("words", lambda w: F.when(_signed(w), F.substr(w, F.lit(2))).otherwise(w))
+    typed = split.select(
+        "*",
+        F.when(F.col("has_values"), types).otherwise(F.col("words")).alias("types"),
+        F.when(F.col("has_values"), bare).otherwise(F.col("words")).alias("bare"),
+        F.when(F.col("has_values"), F.transform("words", _signed)).alias("signed"),
+    )
 
-    def window(i: Column) -> Column:
-        values = F.filter(F.slice("words", i, size), _signed)
+    def window(i: Column, kind: int, tokens: str, n: Column, values: Column) -> Column:
         return F.struct(
             i.alias("at"),
-            F.xxhash64(F.slice("types", i, size)).alias("window"),
-            F.when(F.col("has_values"), values).alias("values"),
+            n.alias("n"),
+            F.lit(kind).alias("kind"),
+            F.xxhash64(F.slice(tokens, i, n)).alias("window"),
+            values.alias("values"),
         )
 
-    last = F.greatest(F.size("words") - size + 1, F.lit(1))
-    cut = typed.select(*keep, F.inline(F.transform(F.sequence(F.lit(1), last), window)))
-    return cut.where("values is null or 2 * size(values) <= " + str(size))
+    def signs(i: Column) -> Column:
+        return F.array_contains(F.slice("signed", i, size), True)
+
+    def values(i: Column) -> Column:
+        return F.when(F.col("has_values"), F.filter(F.slice("words", i, size), _signed))
+
+    no_values = F.lit(None).cast("array<string>")
+    n = F.least(F.size("words"), F.lit(size))
+    places = F.sequence(F.lit(1), F.size("words") - n + 1)
+    valued = F.when(F.col("has_values"), F.filter(places, signs)).otherwise(F.array())
+    cut = [
+        F.transform(places, lambda i: window(i, TYPED, "types", n, values(i))),
+        F.transform(valued.cast("array<int>"), lambda i: window(i, PLAIN, "bare", n, no_values)),
+    ]
+    for length in lengths:
+        inner = F.when(
+            F.size("words") > length, F.sequence(F.lit(1), F.size("words") - length + 1)
+        ).otherwise(F.array().cast("array<int>"))
+        m = F.lit(length)
+        cut.append(F.transform(inner, lambda i: window(i, INNER, "bare", m, no_values)))
+    found = typed.select(*keep, F.inline(F.concat(*cut)))
+    return found.where("values is null or 2 * size(values) <= " + str(size))
+
+
+def item_windows(benchmark: DataFrame, item: str, text: str, size: int, min_words: int) -> DataFrame:
+    """(item, item_at, n, window, item_values, id, inside, item_windows, item_typed) of the items.
+
+    Rows of one place share their `id`, the typed window, or the plain one where that is left out.
+    """
+    asked = windows(benchmark, {"item": item, "item_text": text}, text, size)
+    enough = (F.col("n") >= min_words) | F.rlike("item_text", F.lit(UNSPACED))
+    asked = asked.select(
+        "item",
+        F.col("at").alias("item_at"),
+        "n",
+        "window",
+        F.col("values").alias("item_values"),
+        ((F.col("n") < size) & enough).alias("inside"),
+        F.when(F.col("kind") == TYPED, F.col("window")).alias("typed"),
+    )
+    place, whole = Window.partitionBy("item", "item_at"), Window.partitionBy("item")
+    shape = F.max("typed").over(Window.partitionBy("item", "item_at"))
+    asked = asked.withColumn(
+        "id", F.struct(F.coalesce(shape, "window"), shape.isNotNull().alias("typed"))
+    )
+    whole = Window.partitionBy("item")
+    return asked.select(
+        *[c for c in asked.columns if c != "typed"],
+        F.size(F.collect_set("id").over(whole)).alias("item_windows"),
+        F.size(F.collect_set("typed").over(whole)).alias("item_typed"),
+    )
 
 
 def leaks(
@@ -86,35 +157,44 @@ def leaks(
     size: int = WINDOW,
     min_windows: int = MIN_WINDOWS,
     broadcast_chars: int = BROADCAST_CHARS,
+    min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """(doc, item, n_windows, item_windows, n_changed): the items that each document holds.
 
     `n_changed` counts the values of the item that stand for another value in the document.
     """
-    asked = windows(benchmark, {"item": item}, item_text, size).select(
-        "item", F.col("at").alias("item_at"), "window", F.col("values").alias("item_values")
-    )
-    of_item = F.collect_set("window").over(Window.partitionBy("item"))
-    asked = asked.withColumn("item_windows", F.size(of_item))
+    asked = item_windows(benchmark, item, item_text, size, min_words)
+    lengths = sorted(r.n for r in asked.where("inside").select("n").distinct().collect())
+    asked = asked.drop("n")
     chars = benchmark.agg(F.sum(F.length(f"`{item_text}`"))).first()[0] or 0
-    held = windows(df, {"doc": key}, text, size)
+    held = windows(df, {"doc": key}, text, size, lengths).drop("n")
     hits = held.join(F.broadcast(asked) if chars <= broadcast_chars else asked, "window")
+    hits = hits.where((F.col("kind") != INNER) | F.col("inside"))
 
+    of_item = ["doc", "item", "item_windows", "item_typed"]
     pairs = F.flatten(F.collect_set(F.arrays_zip("item_values", "values")))
-    occurrences = hits.groupBy(
-        "doc", "item", "item_windows", (F.col("at") - F.col("item_at")).alias("shift")
-    ).agg(F.collect_set("window").alias("found"), F.array_distinct(pairs).alias("pairs"))
+    occurrences = hits.groupBy(*of_item, (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.collect_set("id").alias("found"), F.array_distinct(pairs).alias("pairs")
+    )
     items = F.array_distinct(F.transform("pairs", lambda p: p["item_values"]))
     changed = F.filter("pairs", lambda p: p["item_values"] != p["values"])
-    return (
+    found = (
         occurrences.where(F.size("pairs") == F.size(items))
-        .groupBy("doc", "item", "item_windows")
+        .groupBy(*of_item)
         .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n_windows"),
+            F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"),
             F.min(F.size(changed)).alias("n_changed"),
         )
-        .where(F.col("n_windows") >= F.least(F.lit(min_windows), F.ceil(F.col("item_windows") / 2)))
-        .select("doc", "item", "n_windows", "item_windows", "n_changed")
+        .withColumn("n_windows", F.size("found"))
+    )
+
+    def enough(n: Column, of: str) -> Column:
+        return n >= F.least(F.lit(min_windows), F.ceil(F.col(of) / 2))
+
+    n_typed = F.size(F.filter("found", lambda w: w["typed"]))
+    typed = (F.col("item_typed") > 0) & enough(n_typed, "item_typed")
+    return found.where(typed | enough(F.col("n_windows"), "item_windows")).select(
+        "doc", "item", "n_windows", "item_windows", "n_changed"
     )
 
 

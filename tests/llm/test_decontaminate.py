@@ -72,3 +72,26 @@ def test_removal(documents, benchmark):
 def test_long_texts(documents, benchmark):
     words = " ".join(f"word{i % 977}x" for i in range(60_000))
     assert leaks(documents, benchmark, [(1, words), (2, f"{words} {PLAIN} {words}")]).keys() == {(2, 3), (2, 7)}
+
+
+@pytest.mark.parametrize("broadcast_chars", [0, 2_000_000])
+def test_verbatim_items_of_any_kind(spark, documents, broadcast_chars):
+    short, chinese = "why is the sky blue", "天空为什么是蓝色的"
+    numbers = "1 2 3 5 8 13 21 34 55 89 144 233 377 610"
+    people = "we met Anna, Boris, Clara, David, Emil, Frida, Georg, Hanna and Ivan there"
+    items = [(1, short), (2, chinese), (3, numbers), (4, people), (5, "of the"), (6, "in 1969")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [
+        (1, f"{FILLER}. Why  is the\nsky blue? {FILLER}"),
+        (2, f"第一句话。{chinese}？第二句话。{FILLER}"),
+        (3, f"{FILLER}: {numbers}. {FILLER}"),
+        (4, f"{FILLER} {people.upper()} {FILLER}"),
+        (5, f"{FILLER} {people.lower()} {FILLER}"),
+        (6, f"{FILLER} why is the sea blue {FILLER}"),
+        (7, f"{FILLER} 7 8 9 11 12 14 15 16 17 18 19 20 22 23 {FILLER}"),
+        (8, FILLER),
+    ]
+    found = leaks(documents, benchmark, rows, broadcast_chars=broadcast_chars)
+    assert found.keys() == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4)}
+    every = leaks(documents, benchmark, rows, broadcast_chars=broadcast_chars, min_words=1)
+    assert every.keys() == found.keys() | {(k, 5) for k, _ in rows}  # the filler has "of the"
