@@ -3,9 +3,9 @@
 Texts become tokens in which numbers, units behind them and names inside sentences are typed
 placeholders with the value they stand for. Windows of the placeholders' types and the other words
 are hash-joined with the windows of the benchmark, so a question with other numbers or names still
-matches. Along one occurrence the values are held against each other: a value of the item must
-stand for the same value of the document everywhere. Windows of inconsistent occurrences do not
-count.
+matches. Along one occurrence the values of windows that differ from the item's are held against
+each other: a value of the item must stand for one value of the document. Windows with a value that
+stands for several do not count; windows that equal the item's always do.
 
 Windows that hold placeholders are joined a second time by their plain lower-cased words, so a
 verbatim copy matches however many numbers and names it has and in whatever case it is written.
@@ -58,7 +58,7 @@ def windows(
     """One row per window: columns `keep` (new name -> column), `at`, `n`, `kind`, `window`, `values`.
 
     A window of kind TYPED is the hash of its `n` typed tokens; `values` has the tokens behind its
-    placeholders, in order, and is null if there are none. Those in which most tokens are
+    placeholders, in order, and is null or empty if there are none. Those in which most tokens are
     placeholders are left out, as they would match anything. Windows with placeholders come again
     as PLAIN, the hash of their words. INNER windows are plain too, one of each of `lengths` at
     every place of a text that is longer.
@@ -172,18 +172,38 @@ def leaks(
     hits = hits.where((F.col("kind") != INNER) | F.col("inside"))
 
     of_item = ["doc", "item", "item_windows", "item_typed"]
-    pairs = F.flatten(F.collect_set(F.arrays_zip("item_values", "values")))
+    none = F.array().cast("array<string>")
+    same = F.coalesce("item_values", none) == F.coalesce("values", none)
+    other = F.when(~same, F.arrays_zip("item_values", "values"))
     occurrences = hits.groupBy(*of_item, (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set("id").alias("found"), F.array_distinct(pairs).alias("pairs")
+        F.collect_set(F.when(same, F.col("id"))).alias("equal"),
+        F.collect_set(F.when(~same, F.struct("id", other.alias("pairs")))).alias("differ"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(other)))).alias("pairs"),
     )
-    items = F.array_distinct(F.transform("pairs", lambda p: p["item_values"]))
-    changed = F.filter("pairs", lambda p: p["item_values"] != p["values"])
+
+    def again(p: Column, i: Column) -> Column:
+        """Whether the pair before has the same value of the item."""
+        return (i > 0) & (p["item_values"] == F.get("pairs", i - 1)["item_values"])
+
+    several = F.transform(F.filter("pairs", again), lambda p: p["item_values"])
+    judged = occurrences.withColumn("several", F.array_distinct(several))
+    consistent = F.filter(
+        "differ",
+        lambda w: ~F.arrays_overlap(
+            F.transform(w["pairs"], lambda p: p["item_values"]), F.col("several")
+        ),
+    )
+    kept = judged.withColumn("kept", consistent)
+    pairs = F.array_distinct(F.flatten(F.transform("kept", lambda w: w["pairs"])))
+    changed = F.filter(pairs, lambda p: p["item_values"] != p["values"])
+    windows_of = F.concat("equal", F.transform("kept", lambda w: w["id"]))
     found = (
-        occurrences.where(F.size("pairs") == F.size(items))
+        kept.select(*of_item, windows_of.alias("found"), F.size(changed).alias("changed"))
+        .where(F.size("found") > 0)
         .groupBy(*of_item)
         .agg(
             F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"),
-            F.min(F.size(changed)).alias("n_changed"),
+            F.min("changed").alias("n_changed"),
         )
         .withColumn("n_windows", F.size("found"))
     )

@@ -95,3 +95,22 @@ def test_verbatim_items_of_any_kind(spark, documents, broadcast_chars):
     assert found.keys() == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4)}
     every = leaks(documents, benchmark, rows, broadcast_chars=broadcast_chars, min_words=1)
     assert every.keys() == found.keys() | {(k, 5) for k, _ in rows}  # the filler has "of the"
+
+
+def test_an_altered_mention_costs_its_own_windows_only(spark, documents):
+    numbers = [f"word{chr(97 + i)} " * 3 + ("2019 " if i in (2, 20) else "") for i in range(24)]
+    long = "".join(numbers)
+    slots = (
+        "a cyclist rides 40 km along the quiet river road before lunch and then rests under a big old "
+        "oak tree near the village for 40 minutes before riding back home along the same road"
+    )
+    benchmark = spark.createDataFrame([(1, long), (2, slots)], "item_id bigint, text string")
+    rows = [
+        (1, f"{FILLER} {long.replace('2019', '2020', 1)} {FILLER}"),
+        (2, slots.replace("40 km", "60 km").replace("40 minutes", "90 minutes")),
+        (3, slots.replace("40 km", "60 km").replace("40 minutes", "60 minutes")),
+    ]
+    found = leaks(documents, benchmark, rows)
+    assert found.keys() == {(1, 1), (2, 2), (3, 2)}
+    assert found[2, 2][0] < found[3, 2][0] == found[3, 2][1]
+    assert found[3, 2][2] == 1 and found[2, 2][2] == 0
