@@ -27,11 +27,14 @@ SYMBOLS = "#*$%&|<>"
 ENDINGS = ".!?…。！？؟।:;\"'”’»)]"
 SEPARATOR = re.compile(r"[|•·»›→]")
 MARK = re.compile(r"[^\w\s]")
+SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？।؟])")
 BOILERPLATE = re.compile(
-    r"(?i)all rights reserved|licensed under|terms of (?:use|service)|privacy policy|cookie policy"
-    r"|(?:use|accept|enable) (?:of )?cookies|enable javascript|click here|sign up for|log ?in to"
-    r"|subscribe to our|share (?:this|on)|back to top|skip to (?:main )?content|powered by"
-    r"|lorem ipsum|©"
+    r"(?i:\b(?:all rights reserved|licensed under|terms of (?:use|service)|privacy policy"
+    r"|cookie policy|(?:use|accept|enable) (?:of )?cookies|enable javascript|click here|sign up for"
+    r"|log ?in to|subscribe to our|back to top|skip to (?:main )?content|lorem ipsum)\b|©)"
+    # ordinary words unless they open a sentence or have a capital
+    r"|(?:^\W*|[.!?…]\s+)(?i:(?:proudly )?powered by|share (?:this|on))\b"
+    r"|\b(?:P(?i:owered by)|S(?i:hare (?:this|on)))\b"
 )
 
 FIELDS = {
@@ -67,6 +70,10 @@ class Rules:
     #: a line of `repeat_words` or more words, of 100 of which fewer differ
     repeat_words: int = 10
     min_distinct_percent: int = 20
+    #: words of a stretch within which words are held against each other
+    stretch_words: int = 200
+    #: a boilerplate phrase condemns a sentence of at most this many words
+    phrase_words: int = 20
     max_lost_percent: int = 50
 
     def fails(self, line: str, words: list[str]) -> bool:
@@ -86,9 +93,24 @@ class Rules:
         if n >= self.shout_words and line == line.upper() != line.lower():
             return True
         # boilerplate
-        if n >= self.repeat_words and 100 * len(set(words)) < self.min_distinct_percent * n:
-            return True
-        return BOILERPLATE.search(line) is not None
+        if n >= self.repeat_words:
+            step = self.stretch_words
+            distinct = sum(len(set(words[i : i + step])) for i in range(0, n, step))
+            if 100 * distinct < self.min_distinct_percent * n:
+                return True
+        return self.boilerplate(line)
+
+    def boilerplate(self, line: str) -> bool:
+        """Whether half of a line or more is short sentences with a boilerplate phrase."""
+        if BOILERPLATE.search(line) is None:
+            return False
+        sentences = [s for s in SENTENCE.split(line.strip()) if s]
+        bad = [
+            s
+            for s in sentences
+            if BOILERPLATE.search(s) and len(WORDS.findall(s)) <= self.phrase_words
+        ]
+        return 2 * sum(map(len, bad)) >= sum(map(len, sentences))
 
 
 def repeated_words(codes: np.ndarray, document: np.ndarray, documents: int) -> np.ndarray:

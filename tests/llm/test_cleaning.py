@@ -77,3 +77,35 @@ def test_tables(documents):
         assert tuple(row.out)[:6] == plain.base_counts(text)
         assert row.kept.kept == "k" and (row.out.cleaned is None) == (text is None)
     assert cleaning.clean(documents(rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "Its market share on the continent grew for three years.",
+        "They built a mill powered by water from the river.",
+        "A new age of upshare once came and went again.",
+        f"{prose(30)} Please accept cookies to go on. {prose(31)} {prose(32)}",
+    ],
+)
+def test_prose_with_a_phrase_stays(line):
+    (row,) = judged([f"{BODY}\n{line}"])
+    assert row["lost_chars"] == 0 and row["kept"]
+
+
+@pytest.mark.parametrize(
+    "line", ["Proudly powered by example", "Home News Powered by Example Share on Example", "Share this with friends!"]
+)
+def test_phrases_in_short_lines_still_go(line):
+    (row,) = judged([f"{BODY}\n{line}"])
+    assert row["lost_chars"] == len(line)
+
+
+def test_variety_does_not_depend_on_length():
+    """A book on one line has few distinct words for its length; a repeated phrase is still found."""
+    rng = random.Random(1)
+    book = " ".join(f"word{rng.choice('abcdefghij')}{rng.choice('abcdefghij')}" for _ in range(3_000))
+    again = " ".join([prose(0)] * 200)
+    rows = judged([f"{book}.", f"{BODY}\n{again}"])
+    assert rows[0]["lost_chars"] == 0 and rows[0]["kept"]
+    assert rows[1]["lost_chars"] == len(again)
