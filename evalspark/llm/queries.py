@@ -9,7 +9,9 @@ from evalspark.llm import (
     bpe,
     chat,
     cleaning,
+    curriculum,
     decontaminate,
+    lexical,
     line_templates,
     ring,
     secrets_crf,
@@ -110,7 +112,8 @@ _TEMPLATES = ", ".join(
     cut as (
       select rid, doc_id, line_no, string_split_regex(
         regexp_replace(trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))), '[0-9]+', '0', 'g'),
-        '[ 	]+') as t from lines),
+        '[ 	
+]+') as t from lines),
     counted as (select *, len(t) as n from cut where len(t) >= 5),
     spread as (select rid, doc_id, line_no, unnest([{_TEMPLATES}]) as template from counted),
     firsts as (
@@ -192,3 +195,87 @@ def ring_sharding(spark, sf_dir):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+_TERMS = r"""regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op11_lexical_search",
+    rf"""with docs as (
+      select row_number() over () as rid, doc_id, {_TERMS} as terms from documents),
+    total as (select count(*) as n_docs, cast(sum(len(terms)) as bigint) as n_terms
+              from docs where len(terms) > 0),
+    asked as (
+      select distinct rid, item_id, unnest(terms) as term from (
+        select row_number() over () as rid, item_id, {_TERMS} as terms from benchmark)),
+    held as (
+      select rid, term, count(*) as tf from (select rid, unnest(terms) as term from docs)
+      where term in (select term from asked) group by rid, term),
+    weighed as (
+      select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w
+      from held, total group by term, n_docs),
+    sized as (
+      select rid, doc_id, 50 + (50 * len(terms) * n_docs) // n_terms as m from docs, total),
+    scored as (
+      select a.rid, item_id, d.rid as doc, doc_id,
+             cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score
+      from asked a join held using (term) join weighed using (term) join sized d on d.rid = held.rid
+      group by all having score > 0)
+    select item_id, cast(rank as integer) as rank, doc_id, score from (
+      select *, row_number() over (partition by rid order by score desc, doc_id) as rank from scored)
+    where rank <= 50""",
+)
+def lexical_search(spark, sf_dir):
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"query": "item_id", "doc": "doc_id"})
+
+
+@query(
+    "op12_curriculum_mix",
+    """with sized as (
+      select doc_id, source, md5(concat_ws(':', doc_id, text)) as hash,
+             coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size
+      from documents),
+    sources as (
+      select source, cast(sum(size) as double) as source_size,
+             [3.0::double, 1.0, 2.0][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight,
+             (row_number() over (order by source nulls last) - 1) % 3 as kind
+      from sized group by source),
+    levels as (
+      select *, (1.5 * sum(source_size) over () - coalesce(sum(2 * source_size) over before, 0))
+             / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
+      from sources
+      window before as (order by 2 * source_size / weight, source nulls last
+                        rows between unbounded preceding and 1 preceding)),
+    targets as (
+      select source, source_size, kind,
+             least(2 * source_size, max(level) over () * weight) as target from levels),
+    placed as (
+      select doc_id, size, t.source_size, target, kind, floor(target) as wanted,
+             coalesce(sum(size) over (partition by s.source order by hash
+                      rows between unbounded preceding and 1 preceding), 0) as start
+      from sized s join targets t on s.source is not distinct from t.source),
+    taken as (
+      select *, greatest(least(size, wanted - start), 0) as one,
+             greatest(least(size, wanted - start - source_size), 0) as two from placed)
+    select doc_id, size, cast(source_size as bigint) as source_size, target,
+           cast(one + two as bigint) as taken,
+           case when one + two > 0 then case kind
+             when 0 then 2 * (start / wanted) / (1.5 + sqrt(2.25 - 2 * (start / wanted)))
+             when 1 then start / wanted
+             else 2 * (start / wanted) / (0.5 + sqrt(0.25 + 2 * (start / wanted))) end
+           end as first_time
+    from taken""",
+)
+def curriculum_mix(spark, sf_dir):
+    return curriculum.mix(table(spark, sf_dir, "documents")).select(
+        F.col("key").alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        F.get("uses", F.lit(0))["time"].alias("first_time"),
+    )
