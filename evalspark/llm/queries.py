@@ -18,6 +18,7 @@ from evalspark.llm import (
     setsketch,
     surrogates,
     token_counts,
+    whitening,
 )
 from evalspark.llm.registry import ORACLES, QUERIES, query, table
 
@@ -279,3 +280,9 @@ def curriculum_mix(spark, sf_dir):
         "taken",
         F.get("uses", F.lit(0))["time"].alias("first_time"),
     )
+
+
+@query("op13_feast_whitening")
+def feast_whitening(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("key", "vec_id")

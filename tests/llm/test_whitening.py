@@ -1,0 +1,135 @@
+"""Whitening against a dense eigenvalue solver over the vectors in whole numbers."""
+
+import numpy as np
+import pytest
+
+from evalspark.llm import feast, whitening
+from evalspark.llm.queries import QUERIES
+
+
+def by_definition(rows, wanted=16):
+    """key -> (n, deviation, whitened up to sign, explained)."""
+    kept = [
+        (k, np.floor(64 * np.array(v, dtype=np.float64)).astype(np.int64) + 1_000_000)
+        for k, v in rows
+        if v is not None and all(c is not None and np.isfinite(c) for c in v)
+    ]
+    fit = np.unique(np.array([x for _, x in kept]), axis=0)
+    n, sums = len(fit), fit.sum(axis=0)
+    centred = fit - sums / n
+    covariance = centred.T @ centred / n
+    values, vectors = np.linalg.eigh(covariance)
+    values, vectors = values[::-1][:wanted], vectors[:, ::-1][:, :wanted]
+    real = values > 1e-12 * np.trace(covariance)
+    values, vectors = values[real], vectors[:, real]
+    white = {}
+    out = []
+    for k, x in kept:
+        deviation = sum((n * int(a) - int(s)) ** 2 for a, s in zip(x, sums))
+        white = np.abs((x - sums / n) @ vectors / np.sqrt(values))
+        out.append((k, n, deviation, white, values / np.trace(covariance)))
+    return out
+
+
+def check(found, rows, wanted=16, tolerance=1e-6):
+    expected = by_definition(rows, wanted)
+    per_row = {}
+    for r in found:
+        per_row.setdefault((str(r.key), r.n, r.deviation), []).append(r)
+        assert r.identity_error <= 1e-4
+    assert sum(len(v) for v in per_row.values()) == sum(len(e[3]) for e in expected)
+    for key, n, deviation, white, explained in expected:
+        got = sorted(per_row[str(key), n, deviation], key=lambda r: r.component)[:: 1]
+        copies = len(got) // len(white)
+        assert [r.component for r in got[::copies]] == list(range(1, len(white) + 1))
+        assert np.allclose([abs(r.whitened) for r in got[::copies]], white, atol=tolerance)
+        assert np.allclose([r.explained for r in got[::copies]], explained, rtol=1e-9)
+
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, key string, x int, component int"
+
+
+def table(spark, rows, schema=SCHEMA):
+    return spark.createDataFrame([(k, v, 1, "k", 2, 3) for k, v in rows], schema)
+
+
+def vectors(n, d, seed=1):
+    rng = np.random.default_rng(seed)
+    made = rng.standard_normal((n, d)) * (0.2 + np.arange(d)[::-1])
+    return [[float(np.float32(c)) for c in v] for v in made]
+
+
+@pytest.mark.parametrize("n,d,wanted", [(200, 20, 16), (60, 5, 16), (9, 20, 16), (300, 30, 3)])
+def test_by_definition(spark, n, d, wanted):
+    rows = list(enumerate(vectors(n, d)))
+    found = whitening.whiten(table(spark, rows), wanted=wanted).collect()
+    check(found, rows, wanted)
+
+
+def test_unusable_and_repeated_rows(spark):
+    good = list(enumerate(vectors(50, 6)))
+    rows = good + [(100, None), (101, [None] * 6), (102, [float("nan")] * 6), (103, [float("inf"), *[0.0] * 5])]
+    rows += [(104, []), (105, [1.0] * 7), (None, good[0][1]), (3, good[3][1]), (3, good[3][1])]
+    expected = [r for r in rows if r[0] is None or r[0] < 100]
+    check(whitening.whiten(table(spark, rows)).collect(), expected)
+
+
+def test_nothing_to_whiten(spark):
+    names = ["key", "n", "deviation", "component", "whitened", "explained", "identity_error"]
+    for rows in ([], [(1, None)], [(1, [1.0, 2.0])], [(1, [1.0, 2.0])] * 5, [(1, []), (2, [])]):
+        found = whitening.whiten(table(spark, rows))
+        assert found.columns == names and found.collect() == []
+
+
+def test_double_vectors_and_string_keys(spark):
+    rows = [(f"v{i}", v) for i, v in enumerate(vectors(40, 4, 3))]
+    df = table(spark, rows, SCHEMA.replace("vec_id bigint", "vec_id string").replace("float", "double"))
+    check(whitening.whiten(df).collect(), rows)
+
+
+def test_too_large(spark):
+    with pytest.raises(Exception, match="[Oo]verflow|OVERFLOW"):
+        whitening.whiten(table(spark, [(1, [1e30]), (2, [0.0])])).collect()
+
+
+def rotated(values, seed=2):
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(values), len(values))))[0]
+    return (q * np.array(values)) @ q.T
+
+
+SPECTRA = [
+    [5.0, 4, 3, 2, 1],
+    [1.0] * 12,  # one eigenvalue
+    [3.0, 3, 3, 1, 1, 1, 0, 0, 0],
+    [1, 1 - 1e-9, 1 - 2e-9, 0.5, 0.5 + 1e-12, 0.1, 0],
+    list(10.0 ** -np.arange(20)),
+    list(np.linspace(1, 2, 60)),
+    [0.0] * 19 + [1.0],
+    [2.0],
+]
+
+
+@pytest.mark.parametrize("values", SPECTRA)
+def test_contour_integration(values):
+    matrix = rotated(values)
+    ordered = np.sort(values)[::-1]
+    diagonal, off = feast.tridiagonal(matrix)
+    for shift in (-1.0, 0.3, 0.99, 1.5, 7.0):
+        assert feast.inertia(diagonal, off, shift) == sum(v < shift for v in values)
+    wanted = min(4, len(values))
+    parts = feast.intervals(diagonal, off, wanted)
+    assert sum(n for _, _, n in parts) >= wanted
+    found = []
+    for low, high, count in parts:
+        own, basis = feast.solve(matrix, low, high, count)
+        assert len(own) == count and np.allclose(basis.T @ basis, np.eye(count), atol=1e-12)
+        assert np.abs(matrix @ basis - basis * own).max() < 1e-12 * max(values)
+        found += list(own)
+    assert np.allclose(found, ordered[: len(found)], rtol=0, atol=1e-12 * max(values))
+
+
+def test_registered_query(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    found = QUERIES["op13_feast_whitening"](spark, "/root/testdata/sf0.001")
+    check(found.withColumnRenamed("vec_id", "key").collect(), rows)
