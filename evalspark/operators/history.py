@@ -17,6 +17,8 @@ from evalspark.schemas import END_STAGES, PASS_STAGE
 from evalspark.session import fresh_path
 
 OFFSET_BLOCK = 1024
+#: Messages of a block of histories.
+HISTORY_BLOCK = 256
 EMPTY_STATE = (
     '{"phase":"init","conversation_histories":{},"last_attempted_solution_code":null,'
     '"last_compile_result":null,"last_execute_result":null,"last_was_testbench_passed":false}'
@@ -68,23 +70,74 @@ def with_positions(
     )
 
 
-def chat_history(placed: DataFrame, prompts: DataFrame, keys: list[str]) -> DataFrame:
-    """For each chosen prompt all messages up to and including it, as (content, role).
+def message_blocks(placed: DataFrame, keys: list[str], block: int = HISTORY_BLOCK) -> DataFrame:
+    """The conversations cut into blocks of consecutive messages, each message in one of them.
 
-    ``placed`` are messages with positions, ``prompts`` the keys and positions that are asked for.
-    A row is as long as its history, whatever that is; so choose prompts, rather than take all.
+    ``placed`` are messages with positions. A row has ``block_no``, ``block_size`` and ``messages``,
+    the block's messages as (content, role) in order.
     """
-    asked = prompts.select(*keys, F.col("position").alias("_asked"))
     entry = F.struct("position", _message().alias("message"))
-    told = join_on_same(placed.select(*keys, "position", entry.alias("entry")), asked, keys)
+    grouped = placed.groupBy(*keys, _block("position", block).alias("block_no")).agg(
+        F.array_sort(F.collect_list(entry)).alias("entries")
+    )
+    return grouped.select(
+        *keys,
+        "block_no",
+        F.size("entries").alias("block_size"),
+        F.col("entries.message").alias("messages"),
+    )
+
+
+def prompt_heads(prompts: DataFrame, block: int = HISTORY_BLOCK) -> DataFrame:
+    """Prompts (with ``position``) and where their history ends: ``block_no`` and ``tail``.
+
+    The history of a prompt is all blocks before ``block_no`` and the first ``tail`` messages of
+    that one. So the histories of all prompts take a row each, whatever their length.
+    """
+    place = F.col("position") - _block("position", block) * block
+    return prompts.withColumns(
+        {"block_no": _block("position", block), "tail": (place + 1).cast("int")}
+    )
+
+
+def expand_histories(heads: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """The heads that are asked for with their ``messages``, all up to and including the prompt.
+
+    Each head meets the blocks of its history by number and no others, so one long conversation is
+    spread over its blocks. A row is as long as its history.
+    """
+    asked = heads.select(
+        *keys,
+        "position",
+        F.col("block_no").alias("_last"),
+        "tail",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), "block_no")).alias("block_no"),
+    )
+    met = join_on_same(asked, blocks, [*keys, "block_no"])
+    told = F.when(
+        F.col("block_no") == F.col("_last"), F.slice("messages", F.lit(1), F.col("tail"))
+    ).otherwise(F.col("messages"))
+    entry = F.struct("block_no", told.alias("messages"))
     return (
-        told.where("position <= _asked")
-        .groupBy(*keys, F.col("_asked").alias("position"))
-        .agg(F.array_sort(F.collect_list("entry")).alias("entries"))
-        .select(*keys, "position", F.col("entries.message").alias("messages"))
+        met.groupBy(*keys, "position")
+        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        .select(*keys, "position", F.flatten(F.col("entries.messages")).alias("messages"))
     )
 
 
+def chat_history(
+    placed: DataFrame, prompts: DataFrame, keys: list[str], block: int = HISTORY_BLOCK
+) -> DataFrame:
+    """For each chosen prompt all messages up to and including it, as (content, role).
+
+    ``placed`` are messages with positions, ``prompts`` the keys and positions that are asked for.
+    A row is as long as its history, whatever that is; for all prompts of long conversations keep
+    blocks and heads, as ``chains`` does.
+    """
+    heads = prompt_heads(prompts.select(*keys, "position"), block)
+    return expand_histories(heads, message_blocks(placed, keys, block), keys)
+
+
 def transcript(placed: DataFrame, keys: list[str], rendered: Column) -> DataFrame:
     """The text of each conversation: its messages in order, separated by a blank line.
 

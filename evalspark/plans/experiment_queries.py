@@ -221,8 +221,15 @@ _PATH = f"concat('/src/p', {src.text_of('page_id')}, case page_id % 2 when 0 the
                       {src.FILE['file_name']} as target_file_name,
                       {ora.numbered('html')} as numbered, {_SCAN_ANSWER} as answer from pages),
     m(configured_llm_name, i) as (values ('m0', 0), ('m1', 1), ('m2', 2)),
-    g as (select *, case when (page_id + i) % 3 < 2 then answer end as llm_response
-          from f cross join m)
+    g as (select target_file_path, target_file_name, numbered, configured_llm_name,
+                 case when (page_id + i) % 3 < 2 then answer end as llm_response
+          from f cross join m
+          union all
+          select target_file_path, target_file_name, numbered, 'unlisted', answer
+          from f where page_id % 7 = 0
+          union all
+          select concat('/gone', target_file_path), null, null, 'm1', answer
+          from f where page_id % 11 = 0)
     select target_file_path, target_file_name, length(numbered) as numbered_length, llm_response,
            configured_llm_name,
            case when llm_response is null then 'exception'
@@ -232,16 +239,22 @@ _PATH = f"concat('/src/p', {src.text_of('page_id')}, case page_id % 2 when 0 the
     from g""",
 )
 def bug_scan(spark, sf_dir):
-    """Every file with three models, of which each left out a third of the files."""
+    """Every file with three models, of which each left out a third; more models and files answered."""
     pages = src.table(spark, sf_dir, "pages")
     files = pages.selectExpr(
         f"{_PATH} as file_path", f"{src.FILE['file_name']} as file_name", "html as contents"
     )
-    responses = pages.selectExpr(
-        f"{_PATH} as target_file_path",
-        f"{_SCAN_ANSWER} as llm_response",
-        "explode(filter(array(0, 1, 2), i -> (page_id + i) % 3 < 2)) as i",
-    ).selectExpr("target_file_path", "llm_response", "concat('m', cast(i as string)) as configured_llm_name")
+    model = "concat('m', cast(i as string))"
+    answered = pages.selectExpr(
+        "page_id", f"{_PATH} as path", f"{_SCAN_ANSWER} as llm_response", "explode(array(0, 1, 2, 3, 4)) as i"
+    )
+    responses = answered.selectExpr(
+        "case when i = 4 then concat('/gone', path) else path end as target_file_path",
+        f"case i when 3 then 'unlisted' when 4 then 'm1' else {model} end as configured_llm_name",
+        "llm_response",
+        "case i when 3 then page_id % 7 = 0 when 4 then page_id % 11 = 0"
+        " else (page_id + i) % 3 < 2 end as answers",
+    ).where("answers").drop("answers")
     scanned = experiments.bug_scan(files, responses, ["m0", "m1", "m2"])
     length = F.length("llm_prompt") - F.lit(len(SECURITY_REVIEW))
     return scanned.withColumn("numbered_length", length.cast("bigint")).drop("llm_prompt")

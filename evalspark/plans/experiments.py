@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evalspark.functions.extract import extract_code
 from evalspark.functions.outcomes import bug_verdict, cycle_stage, oneshot_stage
@@ -19,7 +18,7 @@ from evalspark.functions.strings import ColumnOrName, as_col
 from evalspark.functions.toolout import testbench_result
 from evalspark.operators.checks import extraction_ok
 from evalspark.operators.history import until_end
-from evalspark.operators.joins import EXPERIMENT, attach_results, with_each
+from evalspark.operators.joins import EXPERIMENT, attach_results
 from evalspark.operators.projections import has_solution_and_testbench
 from evalspark.operators.summary import rollup_cycles
 
@@ -146,13 +145,19 @@ def cycle_experiments(log: DataFrame, keys: list[str], limit: str | None = None)
 
 
 def bug_scan(files: DataFrame, responses: DataFrame, models: list[str]) -> DataFrame:
-    """Every file with every model, its prompt and verdict.
+    """Every file with every model, and every other answer that there is, with prompt and verdict.
 
     ``files`` has file_path, file_name and contents, ``responses`` one row per file and model with
     ``llm_response`` (null when the query failed, then ``error`` says why). A file that a model did
-    not answer is an exception row. Contents move as they are; the longer prompt is made afterwards.
+    not answer is an exception row. An answer of a model that is not listed, or to a file that is
+    not there, has a row too, the latter without name and prompt. Two answers of one model to one
+    file raise; a job over these two columns looks for that first. Contents move as they are; the
+    longer prompt is made afterwards.
     """
     key = ["target_file_path", "configured_llm_name"]
+    again = responses.groupBy(*key).count().where("count > 1").select(*key).first()
+    if again is not None:
+        raise ValueError(f"an answer is there more than once: {again.asDict()}")
     named = files.select(
         F.col("file_path").alias("target_file_path"),
         F.col("file_name").alias("target_file_name"),
@@ -163,11 +168,15 @@ def bug_scan(files: DataFrame, responses: DataFrame, models: list[str]) -> DataF
     per_file = responses.groupBy("target_file_path").agg(
         F.collect_list(F.struct(*answers)).alias("_answers")
     )
-    asked = T.StructType().add("configured_llm_name", T.StringType())
-    grid = with_each(
-        named.join(per_file, "target_file_path", "left"), [(m,) for m in models], asked
+    met = named.withColumn("_listed", F.lit(True)).join(per_file, "target_file_path", "full_outer")
+    none = F.array().cast("array<string>")
+    listed = F.when(F.col("_listed"), F.array(*[F.lit(m) for m in models]).cast("array<string>"))
+    answered_by = F.coalesce(F.col("_answers")["configured_llm_name"], none)
+    asked = F.array_union(F.coalesce(listed, none), answered_by)
+    grid = met.withColumn("configured_llm_name", F.explode(asked))
+    own = F.filter(
+        "_answers", lambda a: a["configured_llm_name"].eqNullSafe(F.col("configured_llm_name"))
     )
-    own = F.filter("_answers", lambda a: a["configured_llm_name"] == F.col("configured_llm_name"))
     found = grid.withColumn("_answer", F.get(own, F.lit(0)))
     rest = [F.col("_answer")[c].alias(c) for c in answers if c not in key]
     answered = F.col("llm_response").isNotNull()

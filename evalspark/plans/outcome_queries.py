@@ -11,6 +11,7 @@ from evalspark.plans import oracle_text as ora
 from evalspark.plans.inputs import quoted
 from evalspark.plans.registry import query
 from evalspark.schemas import AGENT_VARIANT_ROWS, AGENT_VARIANTS
+from evalspark.session import fresh_path
 
 _RESULTS = f"""with {src.attempts_sql('doc_id', 'text', 'header', 'response', 'stdout', 'stderr',
                                       'compile_code', 'compile_late', 'execute_code',
@@ -393,6 +394,10 @@ def mock_responder(spark, sf_dir):
 )
 def batch_score(spark, sf_dir):
     """The offline rules as a Python responder that refuses prompts without an order."""
+    return scoring.score_prompts(_prompts(spark, sf_dir), _offline_responder()).drop("prompt")
+
+
+def _offline_responder():
     import re
 
     rules = [
@@ -409,4 +414,19 @@ def batch_score(spark, sf_dir):
     def respond(prompts, _histories):
         return [answer(p) for p in prompts]
 
-    return scoring.score_prompts(_prompts(spark, sf_dir), respond).drop("prompt")
+    return respond
+
+
+@query(
+    "udf_batch_score_resumed",
+    f"""{_PROMPTS} select doc_id,
+      case when prompt like 'Write%' then {_MOCK} end as response,
+      case when prompt not like 'Write%' then 'cannot answer ' || length(prompt) end as error
+    from p""",
+)
+def batch_score_resumed(spark, sf_dir):
+    """The same answers from a log that a first run over other prompts has begun."""
+    prompts, log = _prompts(spark, sf_dir), fresh_path(spark, "answers")
+    begun = prompts.where("prompt like 'Write%'")
+    scoring.score_resumably(begun, _offline_responder(), log)
+    return scoring.score_resumably(prompts, _offline_responder(), log, rounds=2).drop("prompt")

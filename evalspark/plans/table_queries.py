@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import extract
 from evalspark.functions.outcomes import bug_verdict
-from evalspark.operators import checks, history, joins, projections, summary
+from evalspark.operators import chains, checks, history, joins, projections, summary
 from evalspark.plans import inputs as src
 from evalspark.plans import oracle_text as ora
 from evalspark.plans.inputs import big, quoted
 from evalspark.plans.registry import query
 from evalspark.schemas import AGENT_VARIANT_ROWS, AGENT_VARIANTS, CYCLE_STAGES, MODEL_CONFIGS
+from evalspark.session import fresh_path
 from evalspark.sources import readers
 
 # -- projections -----------------------------------------------------------------------------
@@ -595,6 +596,22 @@ def chat_history(spark, sf_dir):
     )
 
 
+@query(
+    "win_chat_history_chain",
+    f"""with {src.LONG_MESSAGES_SQL}
+    select conv_id, position, position + 1 as message_count, cast(char_count as bigint) as char_count
+    from (select *, sum(length(text)) over (partition by conv_id order by position) as char_count
+          from messages) where role = 'user'""",
+)
+def chat_history_chain(spark, sf_dir):
+    """The histories of all prompts as a chain, written in two batches; how long each of them is."""
+    messages = src.long_messages(spark, sf_dir)
+    chain = chains.HistoryChain(fresh_path(spark, "chain"), [messages.schema["conv_id"]])
+    chain.append(messages.where("seq >= 1000"), 0)  # time runs against the numbers
+    chain.append(messages.where("seq < 1000"), 1)
+    return chain.sizes(spark)
+
+
 BUDGET = 2000
 
 

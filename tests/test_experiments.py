@@ -132,6 +132,59 @@ def test_bug_scan(spark):
     }
 
 
+ANSWERED = "target_file_path string, configured_llm_name string, llm_response string, error string"
+
+
+def test_bug_scan_loses_no_answer(spark):
+    files = spark.createDataFrame(
+        [("/a.v", "a.v", "x"), (None, "b.v", "y")], "file_path string, file_name string, contents string"
+    )
+    said = [
+        ("/a.v", "m", "Bug found.", None),
+        ("/a.v", "other", "Bug not found.", None),
+        ("/a.v", None, "neither", None),
+        ("/gone.v", "m", "Bug found.", None),
+        ("/gone.v", "other", None, "boom"),
+        (None, "m", "Bug not found.", None),
+    ]
+    scanned = experiments.bug_scan(files, spark.createDataFrame(said, ANSWERED), ["m", "n"]).collect()
+    found = {
+        (r["target_file_path"], r["target_file_name"], r["configured_llm_name"]): (
+            r["llm_response"],
+            r["bug_found_status"],
+            r["llm_prompt"] is None,
+        )
+        for r in scanned
+    }
+    assert found == {
+        ("/a.v", "a.v", "m"): ("Bug found.", "BUG FOUND", False),
+        ("/a.v", "a.v", "n"): (None, "exception", False),
+        ("/a.v", "a.v", "other"): ("Bug not found.", "BUG NOT FOUND", False),
+        ("/a.v", "a.v", None): ("neither", "UNKNOWN", False),
+        ("/gone.v", None, "m"): ("Bug found.", "BUG FOUND", True),
+        ("/gone.v", None, "other"): (None, "exception", True),
+        (None, "b.v", "m"): (None, "exception", False),
+        (None, "b.v", "n"): (None, "exception", False),
+        (None, None, "m"): ("Bug not found.", "BUG NOT FOUND", True),
+    }
+    assert len(scanned) == len(found)
+
+
+def test_bug_scan_without_files_or_answers(spark):
+    files = spark.createDataFrame([], "file_path string, file_name string, contents string")
+    none = spark.createDataFrame([], ANSWERED)
+    assert experiments.bug_scan(files, none, ["m"]).collect() == []
+    one = spark.createDataFrame([("/a.v", "m", "Bug found.", None)], ANSWERED)
+    assert [r["bug_found_status"] for r in experiments.bug_scan(files, one, []).collect()] == ["BUG FOUND"]
+
+
+def test_bug_scan_refuses_repeated_answers(spark):
+    files = spark.createDataFrame([("/a.v", "a.v", "x")], "file_path string, file_name string, contents string")
+    said = [("/a.v", "m", "Bug found.", None), ("/a.v", "m", "Bug not found.", None)]
+    with pytest.raises(ValueError, match="more than once"):
+        experiments.bug_scan(files, spark.createDataFrame(said, ANSWERED), ["m"])
+
+
 def test_key_depends_on_every_part(spark):
     df = spark.createDataFrame([("a", "b"), ("ab", ""), ("a", None), ("a", "b")], "x string, y string")
     keys = [r[0] for r in df.select(experiments.experiment_key("x", "y")).collect()]
