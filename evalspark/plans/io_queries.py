@@ -13,7 +13,7 @@ from evalspark.plans.registry import query
 from evalspark.schemas import AGENT_VARIANT_ROWS, AGENT_VARIANTS, CYCLE_STAGES
 from evalspark.session import fresh_path
 from evalspark.sources import readers, sinks
-from evalspark.streaming import live
+from evalspark.streaming import live, rollup
 
 _DOCUMENT = T.StructType(
     [
@@ -319,3 +319,30 @@ def live_exit_stages(spark, sf_dir):
         log = live.stream_log(spark, f"{work}/log", _CYCLE_ROW)
         counts = live.drain_counts(log, "exit_stage", f"{work}/checkpoint", f"{work}/counts")
     return counts
+
+
+@query(
+    "stm_experiment_rollup",
+    f"""with {src.CYCLES_SQL},
+    marked as (
+      select *, {src.ENDS_SQL} as ends, coalesce(max(case when {src.ENDS_SQL} then 1 else 0 end) over (
+          partition by experiment_execution_uuid order by cycle_num
+          rows between unbounded preceding and 1 preceding), 0) = 1 as late
+      from cycles)
+    select experiment_execution_uuid,
+           case when exit_stage <> 'exception' then llm_provider_name end as llm_provider_name,
+           case when exit_stage <> 'exception' then configured_llm_name end as configured_llm_name,
+           case when late then 'late' else 'closed' end as kind, cycle_num, exit_stage,
+           case when not late and exit_stage <> 'exception' then cycle_num + 1 end as used_cycle_count
+    from marked where late or ends""",
+)
+def experiment_rollup(spark, sf_dir):
+    """Ended experiments and late cycles of a log that is drained twice with one checkpoint."""
+    work = fresh_path(spark, "rollup")
+    rows = src.cycles(spark, sf_dir)
+    early = F.col("cycle_num") < 4
+    for part in (early, ~early):
+        sinks.append_jsonl(rows.where(part), f"{work}/log")
+        log = live.stream_log(spark, f"{work}/log", _CYCLE_ROW)
+        events = rollup.drain_rollup(log, f"{work}/checkpoint", f"{work}/events")
+    return events
