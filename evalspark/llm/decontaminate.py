@@ -58,7 +58,7 @@ def windows(
     """One row per window: columns `keep` (new name -> column), `at`, `n`, `kind`, `window`, `values`.
 
     A window of kind TYPED is the hash of its `n` typed tokens; `values` has the tokens behind its
-    placeholders, in order, and is null or empty if there are none. Those in which most tokens are
+    placeholders, in order, and is null if there are none. Those in which most tokens are
     placeholders are left out, as they would match anything. Windows with placeholders come again
     as PLAIN, the hash of their words. INNER windows are plain too, one of each of `lengths` at
     every place of a text that is longer.
@@ -71,19 +71,24 @@ def windows(
     marked = F.regexp_replace(counted, rf"(?<=[0-9] {{1,2}})(?=(?:{UNITS})(?!\p{{L}}))", UNIT)
     has_values = F.contains("marked", F.lit(NUMBER)) | F.contains("marked", F.lit(NAME))
     words = F.split(F.lower("marked"), rf"[^\p{{L}}\p{{M}}\p{{N}}{''.join(SIGNS)}]+")
-    split = (
-        df.select(*kept, marked.alias("marked"))
-        .select(*keep, F.array_remove(words, "").alias("words"), has_values.alias("has_values"))
-        .where(F.size("words") > 0)
+    # no row is filtered here: Spark would push that below the extraction and compute it twice
+    split = df.select(*kept, marked.alias("marked")).select(
+        *keep, F.array_remove(words, "").alias("words"), has_values.alias("has_values")
+    )
+    # each token is hashed once, and a window hashes these
+    sign = F.transform("words", _signed)
+    types = F.transform(
+        "words", lambda w: F.xxhash64(F.when(_signed(w), F.left(w, F.lit(1))).otherwise(w))
+    )
+    bare = F.transform(
+        "words", lambda w: F.xxhash64(F.when(_signed(w), F.substr(w, F.lit(2))).otherwise(w))
     )
-    types = F.transform("words", lambda w: F.when(_signed(w), F.left(w, F.lit(1))).otherwise(w))
-    bare = F.transform("words", lambda w: F.when(_signed(w), F.substr(w, F.lit(2))).otherwise(w))
     typed = split.select(
         "*",
-        F.when(F.col("has_values"), types).otherwise(F.col("words")).alias("types"),
-        F.when(F.col("has_values"), bare).otherwise(F.col("words")).alias("bare"),
-        F.when(F.col("has_values"), F.transform("words", _signed)).alias("signed"),
-    )
+        F.when(F.col("has_values"), types).otherwise(F.transform("words", lambda w: F.xxhash64(w))).alias("types"),
+        F.when(F.col("has_values"), bare).alias("marked_bare"),
+        F.when(F.col("has_values"), sign).alias("signed"),
+    ).withColumn("bare", F.coalesce("marked_bare", "types"))
 
     def window(i: Column, kind: int, tokens: str, n: Column, values: Column) -> Column:
         return F.struct(
@@ -98,20 +103,23 @@ def windows(
         return F.array_contains(F.slice("signed", i, size), True)
 
     def values(i: Column) -> Column:
-        return F.when(F.col("has_values"), F.filter(F.slice("words", i, size), _signed))
+        """The values in a window; null, without a look at its words, if it has none."""
+        signed = F.coalesce(signs(i), F.lit(False))
+        return F.when(signed, F.filter(F.slice("words", i, size), _signed))
 
-    no_values = F.lit(None).cast("array<string>")
+    no_values, no_places = F.lit(None).cast("array<string>"), F.array().cast("array<int>")
     n = F.least(F.size("words"), F.lit(size))
-    places = F.sequence(F.lit(1), F.size("words") - n + 1)
-    valued = F.when(F.col("has_values"), F.filter(places, signs)).otherwise(F.array())
+    some = F.size("words") > 0
+    places = F.when(some, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(no_places)
+    valued = F.when(F.col("has_values"), F.filter(places, signs)).otherwise(no_places)
     cut = [
         F.transform(places, lambda i: window(i, TYPED, "types", n, values(i))),
-        F.transform(valued.cast("array<int>"), lambda i: window(i, PLAIN, "bare", n, no_values)),
+        F.transform(valued, lambda i: window(i, PLAIN, "bare", n, no_values)),
     ]
     for length in lengths:
         inner = F.when(
             F.size("words") > length, F.sequence(F.lit(1), F.size("words") - length + 1)
-        ).otherwise(F.array().cast("array<int>"))
+        ).otherwise(no_places)
         m = F.lit(length)
         cut.append(F.transform(inner, lambda i: window(i, INNER, "bare", m, no_values)))
     found = typed.select(*keep, F.inline(F.concat(*cut)))

@@ -114,3 +114,12 @@ def test_an_altered_mention_costs_its_own_windows_only(spark, documents):
     assert found.keys() == {(1, 1), (2, 2), (3, 2)}
     assert found[2, 2][0] < found[3, 2][0] == found[3, 2][1]
     assert found[3, 2][2] == 1 and found[2, 2][2] == 0
+
+
+def test_texts_are_extracted_once(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = decontaminate.windows(documents, {"doc": "doc_id"}, "text", 8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # three replacements for marks, in one expression, and nothing of it in a filter of the scan
+    assert plan.count("regexp_replace") == 3
+    assert all("regexp_replace" not in x for x in plan.split("\n") if "Filter" in x)
