@@ -118,7 +118,7 @@ def test_an_altered_mention_costs_its_own_windows_only(spark, documents):
 
 def test_texts_are_extracted_once(spark):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    found = decontaminate.windows(documents, {"doc": "doc_id"}, "text", 8)
+    found = dc.windows(documents, {"doc": "doc_id"}, "text", 8)
     plan = found._jdf.queryExecution().executedPlan().toString()
     # three replacements for marks, in one expression, and nothing of it in a filter of the scan
     assert plan.count("regexp_replace") == 3
