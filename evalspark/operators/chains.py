@@ -12,7 +12,6 @@ simply repeated. Only counts are read of what is already there.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +24,7 @@ from evalspark.operators.history import (
     with_positions,
 )
 from evalspark.operators.joins import join_on_same
+from evalspark.sources.readers import read_if_there
 
 _MESSAGES = "array<struct<content:string,role:string>>"
 
@@ -54,12 +54,7 @@ class HistoryChain:
         df.select(*columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
 
     def _read(self, spark: SparkSession, name: str) -> DataFrame:
-        try:
-            return spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{name}")
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return spark.createDataFrame([], self.schemas[name])
+        return read_if_there(spark, f"{self.folder}/{name}", self.schemas[name])
 
     def append(
         self, messages: DataFrame, batch: int, timestamp: str = "timestamp", seq: str = "seq"

@@ -12,7 +12,7 @@ from evalspark.operators.joins import join_on_same
 from evalspark.plans.registry import query
 from evalspark.schemas import AGENT_VARIANT_ROWS, AGENT_VARIANTS, CYCLE_STAGES
 from evalspark.session import fresh_path
-from evalspark.sources import readers, sinks
+from evalspark.sources import compaction, readers, sinks
 from evalspark.streaming import live, rollup
 
 _DOCUMENT = T.StructType(
@@ -186,6 +186,23 @@ def jsonl_to_parquet(spark, sf_dir):
     return copy.withColumn("exit_stage", stage).drop(sinks.UNKNOWN_FIELDS)
 
 
+@query(
+    "snk_jsonl_incremental",
+    f"with {src.CYCLES_SQL} select *, case when cycle_num < 3 then 1 else 2 end as run from cycles",
+)
+def jsonl_incremental(spark, sf_dir):
+    """A log that grows between two runs; a third one finds nothing new."""
+    work = fresh_path(spark, "growing")
+    rows = src.cycles(spark, sf_dir)
+    early = F.col("cycle_num") < 3
+    for part in (early, ~early, None):
+        if part is not None:
+            sinks.append_jsonl(rows.where(part), f"{work}/log")
+        compaction.compact_new(spark, f"{work}/log", _CYCLE_ROW, f"{work}/compact")
+    found = compaction.read_compacted(spark, f"{work}/compact", _CYCLE_ROW)
+    return found.drop(compaction.UNKNOWN_FIELDS).withColumn("run", F.col("run").cast("int"))
+
+
 _SUMS = ", ".join(
     f"cast(sum(case when latest_exit_stage = '{s}' then 1 else 0 end) as bigint) as \"{s}\""
     for s in sorted(CYCLE_STAGES)

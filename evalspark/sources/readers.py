@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ CORRUPT = "_corrupt_record"
 
 def read_jsonl(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: T.StructType,
     keep_corrupt: bool = False,
     rest: str | None = None,
@@ -56,6 +57,16 @@ def read_jsonl(
     return found.select("_row.*", *([rest] if rest else []))
 
 
+def read_if_there(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A Parquet table, or one without rows if nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
