@@ -16,10 +16,6 @@ from evalspark.llm.queries import BYTE_RANKS
 from evalspark.session import fresh_path
 
 
-#: A document that loses more of its text than this to recurring lines goes with them.
-MAX_LOST_PERCENT = 50
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the quality rules, without the lines that fail."""
     judged = cleaning.clean(docs, keep=docs.columns)
@@ -27,10 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines of recurring templates, and documents that lose most of their text with them."""
+    """Drops lines of recurring templates, and documents of which nothing else is left.
+
+    Each line stays in the first document that has it, so no line is lost with a document.
+    """
     found = line_templates.drop_recurring(docs)
-    little = 100 * F.col("out.lost_chars") > MAX_LOST_PERCENT * F.length("kept.text")
-    left = found.where((F.size("out.dropped") == 0) | ~little)
+    left = found.where((F.size("out.dropped") == 0) | F.rlike("out.text", F.lit(r"[^\s]")))
     return with_text(left, docs.columns, F.col("out.text"))
 
 

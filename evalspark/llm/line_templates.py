@@ -9,8 +9,8 @@ smallest key) and are dropped from all others.
 All copies of a line first become one row, templates are counted with partial aggregates, and only
 hashes travel; a text is moved once, to meet the numbers of its dropped lines.
 
-Lines with fewer than `min_tokens` tokens are left alone, and in lines with fewer than
-`min_variable` no field is variable. A null text has no lines and stays null; an empty one stays
+In lines with fewer than `min_variable` tokens no field is variable, and lines with fewer than
+`min_tokens` are their own template, digits included; blank lines have none. A null text has no lines and stays null; an empty one stays
 empty. Rows equal in key and text are one document, rows of one key with other texts too, as far as
 recurrence goes; a null key counts as a document of its own, before all others. Other columns stay
 as they are, whatever their names; temporary columns are wrapped in structs beside them.
@@ -49,25 +49,28 @@ def _document(key: str, text: str) -> list[Column]:
 
 
 def lines(df: DataFrame, key: str, text: str, tree: Tree) -> DataFrame:
-    """(doc, version, line, template, variable) of every line of `min_tokens` tokens or more.
+    """(doc, version, line, template, w0, w1...) of every line that is not blank.
 
-    `template` is the line without variable fields; `variable` the templates with one.
+    `template` is the line without variable fields; the others are the templates with one.
     """
     split = df.select(*_document(key, text), F.posexplode(F.split(f"`{text}`", "\n", -1)))
-    plain = F.regexp_replace(F.trim("col", F.lit(BLANKS)), "[0-9]+", "0")
-    tokens = split.select(
-        "doc", "version", F.col("pos").alias("line"), F.split(plain, r"[ \t\r\f\x0B]+").alias("t")
-    ).where(F.size("t") >= tree.min_tokens)
+    trimmed = split.select(
+        "doc", "version", F.col("pos").alias("line"), F.trim("col", F.lit(BLANKS)).alias("bare")
+    ).where("bare <> ''")
+    # nothing is filtered by its tokens: Spark would push that down and cut every line twice
+    plain = F.regexp_replace("bare", "[0-9]+", "0")
+    tokens = trimmed.select("*", F.split(plain, r"[ \t\r\f\x0B]+").alias("t"))
     n, k = F.size("t"), tree.leading
     leaf = F.xxhash64(n, F.slice("t", 1, k))
-    start = [F.lit(k) + F.floor((n - k) * i / tree.fields).cast("int") for i in range(tree.fields)]
-    start.append(n)
+    behind = F.greatest(n - k, F.lit(0))
+    start = [F.lit(k) + F.floor(behind * i / tree.fields).cast("int") for i in range(tree.fields)]
+    start.append(F.lit(k) + behind)
     rest = [
         F.xxhash64(F.slice("t", a + 1, b - a)).alias(f"f{i}")
         for i, (a, b) in enumerate(zip(start, start[1:]))
     ]
     hashed = tokens.select(
-        "doc", "version", "line", leaf.alias("leaf"), n.alias("n"), *rest
+        "doc", "version", "line", "bare", leaf.alias("leaf"), n.alias("n"), *rest
     )
     fields = [f"f{i}" for i in range(tree.fields)]
     wild = [
@@ -78,7 +81,9 @@ def lines(df: DataFrame, key: str, text: str, tree: Tree) -> DataFrame:
         "doc",
         "version",
         "line",
-        F.xxhash64("leaf", F.lit(-1), *fields).alias("template"),
+        F.when(F.col("n") < tree.min_tokens, F.xxhash64(F.lit(-2), "bare"))
+        .otherwise(F.xxhash64("leaf", F.lit(-1), *fields))
+        .alias("template"),
         *[F.when(F.col("n") >= tree.min_variable, w).alias(f"w{i}") for i, w in enumerate(wild)],
     )
 

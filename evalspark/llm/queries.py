@@ -110,12 +110,15 @@ _TEMPLATES = ", ".join(
       from documents),
     lines as (
       select rid, doc_id, unnest(ls) as line, generate_subscripts(ls, 1) - 1 as line_no from docs),
+    bared as (
+      select *, trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) as bare from lines),
     cut as (
-      select rid, doc_id, line_no, string_split_regex(
-        regexp_replace(trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))), '[0-9]+', '0', 'g'),
-        '[ 	
-]+') as t from lines),
-    counted as (select *, len(t) as n from cut where len(t) >= 5),
+      select *, string_split_regex(
+        regexp_replace(bare, '[0-9]+', '0', 'g'), '[ \t\x0B\f\r]+') as tokens
+      from bared where bare <> ''),
+    counted as (
+      select rid, doc_id, line_no, case when len(tokens) < 5 then [bare] else tokens end as t,
+             len(t) as n from cut),
     spread as (select rid, doc_id, line_no, unnest([{_TEMPLATES}]) as template from counted),
     firsts as (
       select *, min(doc_id) over (partition by template) as first from spread

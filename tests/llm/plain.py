@@ -62,11 +62,11 @@ def base_counts(text):
 
 def templates(line, leading=2, fields=4, min_tokens=5, min_variable=10):
     """The templates of a line: itself, and with one variable field."""
-    tokens = re.sub("[0-9]+", "0", line.strip(" \t\r\f\v"))
-    tokens = re.split(r"[ \t\r\f\v]+", tokens)
+    bare = line.strip(" \t\r\f\v")
+    tokens = re.split(r"[ \t\r\f\v]+", re.sub("[0-9]+", "0", bare))
     n = len(tokens)
     if n < min_tokens:
-        return []
+        return [("short", bare)] if bare else []
     head, rest = tuple(tokens[:leading]), []
     bounds = [leading + (n - leading) * i // fields for i in range(fields)] + [n]
     rest = [tuple(tokens[a:b]) for a, b in zip(bounds, bounds[1:])]
