@@ -10,8 +10,8 @@ the prefix sum of +1 where such a text starts and -1 where it ends.
 A turn is a row. Where it starts within its conversation is a prefix sum in two levels, over the
 turns of a block of consecutive turn numbers and over the blocks, so that a long conversation is
 split. Turns are ordered by number, a missing number first; turns of equal number by role and by a
-hash of the text. A null role or text is empty, null conversation ids are one conversation. Other
-columns are not read.
+hash of the text. A null role or text is empty, null conversation ids are one conversation; ids may
+be numbers or strings. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evalspark.llm.batches import map_texts
 from evalspark.llm.bpe import Encoder, Vocabulary
+from evalspark.session import fresh_path
 
 CONTROLS = ("<|im_start|>", "<|im_sep|>", "<|im_end|>")
 #: Consecutive turn numbers that are added up together.
@@ -112,7 +114,10 @@ def format_turns(
     )
     fields = {"ids": "array<int>", "loss_mask": "array<tinyint>", "n_chars": "bigint"}
     made = map_texts(source, "text", make, fields, ("conv", "turn", "role", "tie"), True)
-    turns = made.select("kept.*", "out.*").withColumn(
+    # written, as both the turns and the totals of their blocks are read from it: encoded once
+    path = fresh_path(df.sparkSession, "turns")
+    made.select("kept.*", "out.*").write.parquet(path)
+    turns = df.sparkSession.read.parquet(path).withColumn(
         "block", F.floor(F.col("turn") / block_turns)
     )
     sizes = {"place": F.lit(1), "token_start": F.size("ids"), "char_start": F.col("n_chars")}
@@ -152,8 +157,10 @@ def read_turns(turns: DataFrame, vocabulary: Broadcast) -> DataFrame:
 
     `conv`, `place`, `role`, `text` and `loss_text` (unescaped) and `rendered`, the text form.
     """
-    schema = "conv bigint, place bigint, role string, text string, loss_text string, rendered string"
-    source = turns.select(F.col("conv").cast("bigint"), "place", "ids", "loss_mask")
+    source = turns.select("conv", "place", "ids", "loss_mask")
+    schema = StructType([source.schema["conv"], *StructType.fromDDL(
+        "place bigint, role string, text string, loss_text string, rendered string"
+    )])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = dict(vocabulary.value.tokens)
@@ -187,16 +194,16 @@ def digests(turns: DataFrame) -> DataFrame:
     A digest depends on everything before, so a conversation is read in order, turn by turn, without
     being held.
     """
-    schema = (
-        "conv bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
+    schema = StructType([turns.schema["conv"], *StructType.fromDDL(
+        "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
         "formatted_chars bigint"
-    )
+    )])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, nothing = None, None, object()
+        state, nothing, kind = None, object(), None
         now = nothing
         for batch in batches:
-            ended = []
+            ended, kind = [], batch.schema.field(0).type
             columns = [c.to_pylist() for c in batch.columns]
             for conv, role, text, loss, size in zip(*columns):
                 if conv != now:
@@ -208,11 +215,12 @@ def digests(turns: DataFrame) -> DataFrame:
                 state[2] += len(loss)
                 state[3].update(loss.encode())
                 state[4] += size
-            yield _rows(ended)
-        yield _rows([(now, *state)] if now is not nothing else [])
+            yield _rows(ended, kind)
+        if now is not nothing:
+            yield _rows([(now, *state)], kind)
 
-    def _rows(ended: list) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    def _rows(ended: list, kind: pa.DataType) -> pa.RecordBatch:
+        kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         plain = [(c, n, a.hexdigest(), k, b.hexdigest(), f) for c, n, a, k, b, f in ended]
         names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         columns = list(zip(*plain)) if plain else [[]] * 6

@@ -71,3 +71,15 @@ def test_empty(spark, vocabulary):
     df = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     read = chat.read_turns(chat.format_turns(df, vocabulary), vocabulary)
     assert chat.digests(read).count() == 0
+
+
+def test_string_keys_and_one_encoding(spark, vocabulary):
+    df = spark.createDataFrame(
+        [("b", 0, "user", "hi"), ("b", 1, "assistant", "ok"), (None, 0, "assistant", "x")],
+        "conv_id string, turn bigint, role string, text string",
+    )
+    turns = chat.format_turns(df, vocabulary)
+    plan = turns._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan  # encoded once, in the job that writes the turns
+    found = {r.conv: r for r in chat.digests(chat.read_turns(turns, vocabulary)).collect()}
+    assert found["b"].loss_sha256 == digest("ok") and found[None].n_turns == 1
