@@ -338,6 +338,43 @@ def phase(cycle_num: ColumnOrName = "cycle_num") -> Column:
     return F.when(as_col(cycle_num) == 0, "init").otherwise("retry")
 
 
+def state_json(
+    agents: list[str], last_code: str, last_compile: str, last_execute: str, passed: Column
+) -> Column:
+    """A state as a JSON object, from ``phase``, the messages of each agent and the last results."""
+
+    def history(agent: str) -> Column:
+        return F.when(
+            F.size(F.col(agent)) > 0,
+            F.concat(F.lit(f'"{agent}":['), F.array_join(F.col(agent), ","), F.lit("]")),
+        )
+
+    def member(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f'"{name}":'), F.coalesce(value, F.lit("null")))
+
+    def quoted(value: Column) -> Column:
+        whole = F.to_json(F.struct(value.alias("v")))
+        return F.when(value.isNotNull(), whole.substr(F.lit(6), F.length(whole) - 6))
+
+    return F.concat(
+        F.lit("{"),
+        F.concat_ws(
+            ",",
+            member("phase", quoted(F.col("phase"))),
+            F.concat(
+                F.lit('"conversation_histories":{'),
+                F.concat_ws(",", *[history(a) for a in agents]),
+                F.lit("}"),
+            ),
+            member("last_attempted_solution_code", quoted(F.col(last_code))),
+            member("last_compile_result", F.col(last_compile)),
+            member("last_execute_result", F.col(last_execute)),
+            member("last_was_testbench_passed", passed.cast("string")),
+        ),
+        F.lit("}"),
+    )
+
+
 def state_snapshots(
     cycles: DataFrame,
     agents: list[str],
@@ -370,36 +407,8 @@ def state_snapshots(
         passed.alias("last_was_testbench_passed"),
     )
 
-    def history(agent: str) -> Column:
-        return F.when(
-            F.size(F.col(agent)) > 0,
-            F.concat(F.lit(f'"{agent}":['), F.array_join(F.col(agent), ","), F.lit("]")),
-        )
-
-    def member(name: str, value: Column) -> Column:
-        return F.concat(F.lit(f'"{name}":'), F.coalesce(value, F.lit("null")))
-
-    def quoted(value: Column) -> Column:
-        whole = F.to_json(F.struct(value.alias("v")))
-        return F.when(value.isNotNull(), whole.substr(F.lit(6), F.length(whole) - 6))
-
-    state = F.concat(
-        F.lit("{"),
-        F.concat_ws(
-            ",",
-            member("phase", quoted(F.col("phase"))),
-            F.concat(
-                F.lit('"conversation_histories":{'),
-                F.concat_ws(",", *[history(a) for a in agents]),
-                F.lit("}"),
-            ),
-            member("last_attempted_solution_code", quoted(F.col(last_code))),
-            member("last_compile_result", F.col(last_compile)),
-            member("last_execute_result", F.col(last_execute)),
-            member("last_was_testbench_passed", F.col("last_was_testbench_passed").cast("string")),
-        ),
-        F.lit("}"),
-    )
+    passed = F.col("last_was_testbench_passed")
+    state = state_json(agents, last_code, last_compile, last_execute, passed)
     in_order = Window.partitionBy(EXPERIMENT).orderBy("cycle_num")
     before = F.coalesce(F.lag("exit_state").over(in_order), F.lit(EMPTY_STATE))
     return grown.select(EXPERIMENT, "cycle_num", state.alias("exit_state")).withColumn(

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import extract, messages as msg, times, toolout
 from evalspark.functions.strings import int_div
-from evalspark.operators import history
+from evalspark.operators import history, states
 from evalspark.plans import inputs as src
 from evalspark.plans import oracle_text as ora
 from evalspark.plans.inputs import quoted
 from evalspark.plans.registry import query
+from evalspark.session import fresh_path
 
 
 def _per_document(name: str, function, sql: str) -> None:
@@ -370,9 +371,7 @@ _SNAP_STAGE = (
 )
 
 
-@query(
-    "json_state_snapshot",
-    f"""with {src.MESSAGES_SQL},
+_STATES_SQL = f"""with {src.MESSAGES_SQL},
     m as (select * replace (coalesce(agent_name, 'system_agent') as agent_name),
                  seq // 2 as cycle_num from messages),
     m2 as (select *, {ora.message_json()} as j from m),
@@ -403,12 +402,14 @@ _SNAP_STAGE = (
       || '}},"last_attempted_solution_code":' || {ora.js('code')}
       || ',"last_compile_result":{{"return_code":' || n || '}},"last_execute_result":null'
       || ',"last_was_testbench_passed":' || (exit_stage = '80_tb_passed') || '}}' as exit_state
-    from a)
-    select *, coalesce(lag(exit_state) over (partition by experiment_execution_uuid
-                                             order by cycle_num),
-                       {quoted(history.EMPTY_STATE)}) as entry_state from e""",
-)
-def state_snapshot(spark, sf_dir):
+    from a)"""
+
+
+_AGENTS = ["designer_agent", "debugger_agent", "system_agent"]
+
+
+def _state_cycles(spark, sf_dir):
+    """Per cycle the messages it added to each agent, its code and its results."""
     json = msg.message_json("role", "agent_name", "uuid", "timestamp", "text", "metadata")
     entry = F.struct("seq", json.alias("json"))
 
@@ -416,14 +417,13 @@ def state_snapshot(spark, sf_dir):
         said = F.collect_list(F.when(F.col("agent_name") == agent, entry))
         return F.transform(F.array_sort(said), lambda e: e["json"]).alias(agent)
 
-    agents = ["designer_agent", "debugger_agent", "system_agent"]
     cycle_rows = (
         src.messages(spark, sf_dir)
         .withColumn("agent_name", F.coalesce("agent_name", F.lit("system_agent")))
         .withColumn("cycle_num", int_div(F.col("seq"), 2))
         .groupBy("conv_id", "cycle_num")
         .agg(
-            *[of_agent(a) for a in agents],
+            *[of_agent(a) for a in _AGENTS],
             F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("code"),
             F.count(F.lit(1)).alias("n"),
         )
@@ -431,11 +431,37 @@ def state_snapshot(spark, sf_dir):
             F.concat(F.lit("x"), F.col("conv_id").cast("string")).alias(history.EXPERIMENT),
             "cycle_num",
             F.expr(_SNAP_STAGE).alias("exit_stage"),
-            *agents,
+            *_AGENTS,
             "code",
             F.to_json(F.struct(F.col("n").alias("return_code"))).alias("compiled"),
             F.lit(None).cast("string").alias("executed"),
         )
     )
-    kept = history.until_end(cycle_rows)
-    return history.state_snapshots(kept, agents, "code", "compiled", "executed")
+    return history.until_end(cycle_rows)
+
+
+@query(
+    "json_state_snapshot",
+    f"""{_STATES_SQL}
+    select *, coalesce(lag(exit_state) over (partition by experiment_execution_uuid
+                                             order by cycle_num),
+                       {quoted(history.EMPTY_STATE)}) as entry_state from e""",
+)
+def state_snapshot(spark, sf_dir):
+    cycles = _state_cycles(spark, sf_dir)
+    return history.state_snapshots(cycles, _AGENTS, "code", "compiled", "executed")
+
+
+@query(
+    "json_state_deltas",
+    f"""{_STATES_SQL}
+    select experiment_execution_uuid, cast(cycle_num as bigint) as cycle_num, exit_state from e
+    qualify cycle_num = max(cycle_num) over (partition by experiment_execution_uuid)""",
+)
+def state_deltas(spark, sf_dir):
+    """The last state of every experiment, restored from a log of changes in two batches."""
+    cycles = _state_cycles(spark, sf_dir)
+    log = states.StateLog(fresh_path(spark, "states"), _AGENTS)
+    log.append(cycles.where("cycle_num < 2"), 0, "code", "compiled", "executed")
+    log.append(cycles.where("cycle_num >= 2"), 1, "code", "compiled", "executed")
+    return log.as_json(log.restore(log.last_cycles(spark)))
