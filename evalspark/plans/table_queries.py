@@ -14,6 +14,7 @@ from evalspark.plans.registry import query
 from evalspark.schemas import AGENT_VARIANT_ROWS, AGENT_VARIANTS, CYCLE_STAGES, MODEL_CONFIGS
 from evalspark.session import fresh_path
 from evalspark.sources import readers
+from evalspark.sources.checked import write_checked
 
 # -- projections -----------------------------------------------------------------------------
 
@@ -253,6 +254,38 @@ def extract_ratio(spark, sf_dir):
     )
 
 
+@query(
+    "asr_checked_write",
+    f"""with {src.attempts_sql('doc_id', 'response')},
+    c as (select doc_id, length(response) as size, {ora.code('response')} as code from attempts),
+    f as (select *, coalesce(code <> '' and length(code) > 0.75 * size, false) as ok,
+                 coalesce(code <> '', false) as has_code from c)
+    select 'rows' as rule, count(*) as row_count, 0::bigint as failed_count, null::varchar as first_failed
+    from f
+    union all select 'written', count(*) filter (has_code), 0, null from f
+    union all select 'has_code', count(*), count(*) filter (not has_code),
+                     cast(min(doc_id) filter (not has_code) as varchar) from f
+    union all select 'extraction', count(*) filter (has_code), count(*) filter (has_code and not ok),
+                     cast(min(doc_id) filter (has_code and not ok) as varchar) from f""",
+)
+def checked_write(spark, sf_dir):
+    """Answers with code written out; what the checks found was counted by the same job."""
+    answers = src.attempts(spark, sf_dir).select(
+        "doc_id",
+        F.length("response").alias("size"),
+        extract.extract_code("response").alias("code"),
+    )
+    long_enough = F.length("code") > F.lit(0.75) * F.col("size")
+    return write_checked(
+        answers,
+        fresh_path(spark, "checked"),
+        {"extraction": (F.col("code") != "") & long_enough},
+        "doc_id",
+        keep={"has_code": F.col("code") != ""},
+        columns=["doc_id", "size", "code"],
+    )
+
+
 # -- joins and unions ------------------------------------------------------------------------
 
 
