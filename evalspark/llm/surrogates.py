@@ -4,13 +4,16 @@ Entities are found by patterns: e-mail addresses, IPv4 addresses, bank accounts
 security, card and phone numbers, and names behind a title. A surrogate is drawn with a secret key
 (HMAC) from the entity's type and value, so one entity has one surrogate wherever it occurs, in any
 notation: numbers keep their separators and country prefix, cards a valid check digit, letters keep case and
-script, names keep gender and script. Name parts are entities of their own, and a part found behind
-a title is replaced wherever it stands in that document.
+script, valid IBANs valid check digits, names keep gender and script, and e-mail addresses get a host
+that is reserved for examples. Name parts are entities of their own, and a part found behind
+a title, or several, is replaced wherever it stands in that document. Whether a part is a given name,
+and of which gender, is settled for the whole table, so that it has one surrogate in all roles. A name
+in a document without a title before it is not found.
 
 Collision checks: the distinct entities of the table are counted once; where two of a type draw the
 same surrogate, or one draws a value that occurs as an entity, all but the smallest draw again with
-the next number, until all differ. Only entities that drew again travel to the documents that have
-them.
+the next number, until all differ. Only entities that drew again or were settled otherwise travel to
+the documents that have them.
 
 A null text stays null and an empty one empty, with no entities. Rows equal in key and text are
 treated alike. Other columns stay as they are, in a struct of their own.
@@ -72,11 +75,24 @@ ALPHABETS = {
     "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя",
     "greek": "αβγδεζηθικλμνξοπρστυφχψω",
 }
+# Scripts without names of their own: first and last of the letters that stand for others.
+RANGES = {
+    "hebrew": "את",
+    "arabic": "بغ",
+    "devanagari": "कह",
+    "thai": "กฮ",
+    "hiragana": "あん",
+    "katakana": "アン",
+    "han": "一龥",
+    "hangul": "가힣",
+}
+ALPHABETS |= {s: "".join(map(chr, range(ord(a), ord(b) + 1))) for s, (a, b) in RANGES.items()}
 _titles = sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)
 NAME = re.compile(
-    r"(?<!\w)(?P<title>" + "|".join(map(re.escape, _titles)) + r")\.?[ \xa0]"
+    r"(?<!\w)(?P<titles>(?:(?:" + "|".join(map(re.escape, _titles)) + r")\.?[ \xa0])+)"
     r"(?P<name>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ \xa0-][^\W\d_a-zа-яα-ω][^\W\d_]+){0,2})"
 )
+TITLE = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, _titles)) + r")(?!\w)")
 ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 
@@ -85,7 +101,9 @@ def script_of(text: str) -> str:
     first = next((c for c in text if c.isalpha()), "a")
     if "Ѐ" <= first <= "ԯ":
         return "cyrillic"
-    return "greek" if "Ͱ" <= first <= "Ͽ" or "ἀ" <= first <= "῿" else "latin"
+    if "Ͱ" <= first <= "Ͽ" or "ἀ" <= first <= "῿":
+        return "greek"
+    return next((s for s, (a, b) in RANGES.items() if a <= first <= b), "latin")
 
 
 def luhn(digits: Sequence[int]) -> bool:
@@ -93,6 +111,12 @@ def luhn(digits: Sequence[int]) -> bool:
     return sum(doubled) % 10 == 0
 
 
+def check_digits(iban: str) -> str:
+    """The two digits that make the rest of an IBAN valid."""
+    moved = iban[4:] + iban[:2] + "00"
+    return f"{98 - int(''.join(str(int(c, 36)) for c in moved)) % 97:02}"
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of the entities of a text, in order, without overlap."""
     found = []
@@ -108,7 +132,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             found.append((m.start(), m.end(), kind, normal))
     parts: dict[str, str] = {}
     for m in NAME.finditer(text):
-        gender = GENDER[m["title"]]
+        # of several titles, one that states a gender
+        gender = max(GENDER[t] for t in TITLE.findall(m["titles"]))
         names = list(re.finditer(r"[^\W\d_]+", m["name"]))
         for i, part in enumerate(names):
             given = i < len(names) - 1
@@ -153,12 +178,15 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
     draws = Draws(key, kind, value, draw)
     if kind == "email":
         local, _, domain = value.rpartition("@")
-        host, _, top = domain.rpartition(".")
-        return f"{''.join(_alike(c, draws) for c in local)}@{''.join(_alike(c, draws) for c in host)}.{top}"
+        host, _, _ = domain.rpartition(".")
+        # the top-level domain is one that is reserved for examples, so that nobody is addressed
+        return f"{''.join(_alike(c, draws) for c in local)}@{''.join(_alike(c, draws) for c in host)}.example"
     if kind == "ip":
         return ".".join(str(1 + draws.below(254)) for _ in range(4))
     if kind == "iban":
-        return value[:2] + "".join(_alike(c, draws) for c in value[2:])
+        drawn = value[:2] + "".join(_alike(c, draws) for c in value[2:])
+        valid = check_digits(value) == value[2:4]
+        return drawn[:2] + check_digits(drawn) + drawn[4:] if valid else drawn
     if kind in ("ssn", "card", "phone"):
         # a number of phone length keeps what may be its country's prefix
         keep = max(len(value) - 10, 0) if kind == "phone" else 0
@@ -169,6 +197,8 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
             drawn = next(body + d for d in "0123456789" if luhn([*map(int, body + d)]))
         return drawn
     script = script_of(value)
+    if script in RANGES:
+        return "".join(_alike(c, draws) for c in value)
     gender = kind.partition("_")[2] or ("" if kind == "family" else "mf"[draws.below(2)])
     pool = NAMES[script, gender]
     name = pool[draws.below(len(pool))]
@@ -187,11 +217,17 @@ def render(kind: str, written: str, drawn: str) -> str:
     return drawn
 
 
-def replace(text: str, key: bytes, again: dict[tuple[str, str], int]) -> tuple[str, list]:
-    """The text with surrogates, and (start, end, type) of each in the new text."""
+def replace(
+    text: str, key: bytes, again: dict[tuple[str, str], tuple[str, int]]
+) -> tuple[str, list]:
+    """The text with surrogates, and (start, end, type) of each in the new text.
+
+    `again` has the type and the draw of entities for which they are not those of the text alone.
+    """
     out, spans, at, size = [], [], 0, 0
     for start, end, kind, value in find(text):
-        new = render(kind, text[start:end], surrogate(kind, value, key, again.get((kind, value), 0)))
+        settled, draw = again.get((kind, value), (kind, 0))
+        new = render(kind, text[start:end], surrogate(settled, value, key, draw))
         out += (text[at:start], new)
         size += start - at
         spans.append((size, size + len(new), kind))
@@ -280,18 +316,51 @@ def draw_again(entities: DataFrame, key: bytes) -> DataFrame:
     raise RuntimeError(f"some entities have no free surrogate after {MAX_DRAWS} draws")
 
 
+def settle(found: DataFrame) -> DataFrame:
+    """`found` with the type `settled` that each value has in the whole table.
+
+    A part of a name is a given name if at least half of its documents say so, else a family name;
+    its gender is the one that most documents state, if any does. Other types stay as they are.
+    """
+
+    def votes(kind: str) -> Column:
+        return F.count(F.when(F.col("kind") == kind, 1)).alias(kind)
+
+    names = found.where(_space() == "name").groupBy("value").agg(
+        *[votes(k) for k in ("given_m", "given_f", "given_", "family")]
+    )
+    given = F.col("given_m") + F.col("given_f") + F.col("given_") >= F.col("family")
+    gender = F.when(F.col("given_m") + F.col("given_f") == 0, "given_").otherwise(
+        F.when(F.col("given_m") > F.col("given_f"), "given_m").otherwise("given_f")
+    )
+    # written first, so that Spark knows its size when it chooses the join
+    names = _written(
+        names.select(
+            F.lit("name").alias("space"),
+            "value",
+            F.when(given, gender).otherwise("family").alias("settled"),
+        ),
+        "settled",
+    )
+    joined = found.withColumn("space", _space()).join(names, ["space", "value"], "left")
+    return joined.drop("space").withColumn("settled", F.coalesce("settled", "kind"))
+
+
 def pseudonymize(
     df: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """For every row struct `kept` of its columns and struct `out` of `text`, with surrogates,
     `n_entities` and `spans` (start:end:type of each surrogate, in code points)."""
-    found = _written(mentions(df, key, text), "mentions")
-    again = _written(draw_again(found.select("kind", "value"), secret), "again")
+    found = settle(_written(mentions(df, key, text), "mentions"))
+    entities = found.select(F.col("settled").alias("kind"), "value")
+    again = _written(draw_again(entities, secret), "again").withColumnRenamed("kind", "settled")
     # written first, so that Spark knows its size when it chooses the join
     exceptions = _written(
-        found.join(again, ["kind", "value"])
+        found.join(again, ["settled", "value"], "left")
+        .where("draw is not null or settled != kind")
+        .withColumn("draw", F.coalesce("draw", F.lit(0)))
         .groupBy("doc", "version")
-        .agg(F.collect_list(F.struct("kind", "value", "draw")).alias("again")),
+        .agg(F.collect_list(F.struct("kind", "value", "settled", "draw")).alias("again")),
         "exceptions",
     ).withColumnsRenamed({"doc": "of_doc", "version": "of_version"})
     rows = df.select(
@@ -307,7 +376,9 @@ def pseudonymize(
         def run(texts: list, kept: list) -> list:
             out = []
             for t, special in zip(texts, kept[1].to_pylist()):
-                draws = {(s["kind"], s["value"]): s["draw"] for s in special or ()}
+                draws = {
+                    (s["kind"], s["value"]): (s["settled"], s["draw"]) for s in special or ()
+                }
                 new, spans = replace(t or "", secret, draws)
                 written = ",".join(f"{a}:{b}:{k}" for a, b, k in spans)
                 out.append((None if t is None else new, len(spans), written))

@@ -98,3 +98,26 @@ def test_draws_until_all_differ(spark):
     drawn = [su.surrogate(k, v, KEY, again.get((k, v), 0)) for k, v in rows]
     assert len(set(drawn)) == len(rows) and not set(drawn) & {v for _, v in rows}
     assert su.draw_again(entities.limit(0), KEY).count() == 0
+
+
+def test_one_surrogate_in_all_roles(documents):
+    rows = [(1, "Dr Maria Lopez left."), (2, "Ms Maria Lopez left."), (3, "Ms Maria left. Maria!"),
+            (4, "Mr Lopez left."), (5, "Prof. Dr. Anna Schmidt left."), (6, "Frau Schmidt left.")]
+    new = {r.kept.doc_id: r.out.text for r in su.pseudonymize(documents(rows), KEY).collect()}
+    words = {i: t.replace(".", "").replace("!", "").split() for i, t in new.items()}
+    maria, lopez = words[1][1], words[1][2]
+    assert words[2] == ["Ms", maria, lopez, "left"] and words[3] == ["Ms", maria, "left", maria]
+    assert words[4] == ["Mr", lopez, "left"] and maria in su.NAMES["latin", "f"]
+    assert new[5].startswith("Prof. Dr. ") and words[5][3] == words[6][1] != "Schmidt"
+    assert len({maria, lopez, *words[5][2:4]}) == 4
+
+
+def test_check_digits_scripts_and_hosts():
+    assert su.check_digits("DE89370400440532013000") == "89"
+    for iban in ("DE89370400440532013000", "GB82WEST12345698765432"):
+        drawn = su.surrogate("iban", iban, KEY)
+        assert drawn != iban and drawn[:2] == iban[:2] and su.check_digits(drawn) == drawn[2:4]
+        assert [c.isdigit() for c in drawn] == [c.isdigit() for c in iban]
+    new, spans = su.replace("Dr 王小明 met Dr Мария Белова", KEY, {})
+    assert len(spans) == 3 and su.script_of(new[3]) == "han" and "王小明" not in new
+    assert su.surrogate("email", "a.b@mail.example.com", KEY).endswith(".example")
