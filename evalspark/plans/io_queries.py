@@ -12,7 +12,7 @@ from evalspark.operators.joins import join_on_same
 from evalspark.plans.registry import query
 from evalspark.schemas import AGENT_VARIANT_ROWS, AGENT_VARIANTS, CYCLE_STAGES
 from evalspark.session import fresh_path
-from evalspark.sources import compaction, readers, sinks
+from evalspark.sources import compaction, drift, readers, sinks
 from evalspark.streaming import live, rollup
 
 _DOCUMENT = T.StructType(
@@ -36,6 +36,56 @@ def jsonl(spark, sf_dir):
     return readers.read_jsonl(spark, path, _DOCUMENT)
 
 
+_EVENT_ID, _USER_ID = src.text_of("event_id"), src.text_of("user_id")
+#: Rows of a log whose writer changed over time, one of them broken.
+DRIFTED_LINE = f"""case event_id % 7
+    when 0 then concat('{{"event_id": ', {_EVENT_ID}, ', "user": {{"id": "', {_USER_ID}, '"}}, "extra": 1}}')
+    when 1 then concat('{{"event_id": ', {_EVENT_ID}, ', "user": {{"id": ', {_USER_ID}, ', "zone": [1]}}, "value": null}}')
+    when 2 then concat('{{"event_id": ', {_EVENT_ID}, '.5, "value": ', {_EVENT_ID}, '.25, "props": {{"k": true}}}}')
+    when 3 then case when event_id % 11 = 0 then concat('{{"event_id": ', {_EVENT_ID}) else '[]' end
+    else concat('{{"event_id": ', {_EVENT_ID}, ', "value": ', {_EVENT_ID}, '.75, "props": ', coalesce(props, 'null'),
+        ', "event_type": "', event_type, '"}}') end"""
+_DRIFT_SCHEMA = "event_id bigint, user struct<id: bigint>, value double, props map<string,bigint>, seen boolean"
+
+
+@query(
+    "src_jsonl_drift",
+    f"""with lines as (select event_id, {DRIFTED_LINE} as line from events),
+    parsed as (select event_id, case when json_valid(line) then line::json end as j from lines),
+    fields as (select event_id, j, unnest(json_keys(j)) as k from parsed where json_type(j) = 'OBJECT'),
+    inner_keys as (select event_id, k, json_extract(j, '$.' || k) as o from fields where k in ('user', 'props')),
+    inner_fields as (select event_id, k as outer_k, o, unnest(json_keys(o)) as k from inner_keys
+        where json_type(o) = 'OBJECT'),
+    seen as (
+        select event_id, '$' as path, coalesce(json_type(j), 'malformed') as t from parsed
+        union select event_id, k, json_type(json_extract(j, '$.' || k)) from fields
+        union select event_id, case outer_k when 'props' then 'props{{}}' else 'user.' || k end,
+            json_type(json_extract(o, '$.' || k)) from inner_fields),
+    kinds as (select event_id, path, case when t in ('BIGINT', 'UBIGINT') then 'integer' when t = 'DOUBLE' then 'number'
+        when t = 'VARCHAR' then 'string' else lower(t) end as found from seen),
+    counted as (select path, found, count(*) as row_count, min(event_id) as first_row from kinds group by all),
+    given as (select * from (values
+        ('$', 'struct<event_id:bigint,user:struct<id:bigint>,value:double,props:map<string,bigint>,seen:boolean>',
+            ['object', 'null']),
+        ('event_id', 'bigint', ['integer', 'null']), ('user', 'struct<id:bigint>', ['object', 'null']),
+        ('user.id', 'bigint', ['integer', 'null']), ('value', 'double', ['integer', 'number', 'null']),
+        ('props', 'map<string,bigint>', ['object', 'null']), ('props{{}}', 'bigint', ['integer', 'null']),
+        ('seen', 'boolean', ['boolean', 'null'])) as g(path, expected, accepted)),
+    status as (select coalesce(c.path, g.path) as path, expected, found,
+            case when found is null then 'absent' when found = 'malformed' then 'malformed'
+                when expected is null then 'new' when list_contains(accepted, found) then 'as given'
+                else 'conflict' end as status,
+            coalesce(row_count, 0) as row_count, first_row
+        from counted c full join given g on c.path = g.path)
+    select path, expected, found, status, row_count, first_row from status where status != 'as given'""",
+)
+def jsonl_drift(spark, sf_dir):
+    """Where a log of events departs from its schema."""
+    events = src.table(spark, sf_dir, "events")
+    lines = events.select("event_id", F.expr(DRIFTED_LINE).alias("line"))
+    return drift.schema_drift(lines, T.StructType.fromDDL(_DRIFT_SCHEMA), "event_id", "line")
+
+
 @query(
     "src_parquet",
     "select event_id, event_type, value from events",
