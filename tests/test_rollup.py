@@ -1,5 +1,6 @@
 """The live roll-up: closing, late cycles, restarts, expiry, and the batch roll-up of the same log."""
 
+import random
 import time
 
 import pytest
@@ -75,3 +76,48 @@ def test_equals_the_batch_rollup(drain, spark):
     assert [(e, s, u) for e, k, _, s, u, _ in found if k == "closed"] == sorted(
         (r[0], r["latest_exit_stage"], r["used_cycle_count"]) for r in ended
     )
+
+
+def model(batches, idle_ms):
+    """(batch, experiment, kind, cycle, stage) of batches of (time, rows), with a state per experiment."""
+    states, found = {}, []
+    for i, (now, rows) in enumerate(batches):
+        for e, c, s in sorted(rows, key=lambda r: (r[0], r[1], r[2] in (PASS, ODD), r[2])):
+            last, _ = states.get(e, (None, 0))
+            if last and last[1] in (PASS, ODD):
+                found.append((i, e, "late", c, s))
+            else:
+                last = max(last or (c, s), (c, s)) if s not in (PASS, ODD) else (c, s)
+                found += [(i, e, "closed", c, s)] if s in (PASS, ODD) else []
+            states[e] = (last, now)
+        for e, (last, seen) in list(states.items()):
+            if seen + idle_ms <= now:
+                found += [(i, e, "expired", *last)] if last[1] not in (PASS, ODD) else []
+                del states[e]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_batches_equal_a_model_with_a_state_per_experiment(spark, tmp_path, monkeypatch, seed):
+    monkeypatch.setattr(rollup, "WHOLE", 3)
+    chance, now, batches = random.Random(seed), 1_000_000, []
+    for i in range(8):
+        now += chance.choice([10, 60])
+        few = 0 if i == 4 else chance.randrange(4, 14)  # one batch is empty
+        rows = [(f"e{chance.randrange(9)}", chance.randrange(5), chance.choice([FAIL, FAIL, FAIL, PASS, ODD])) for _ in range(few)]
+        batches.append((now, rows + rows[:1]))  # a cycle that is logged twice
+    at = str(tmp_path / "cp"), str(tmp_path / "out")
+    for i, (now, rows) in enumerate(batches):
+        monkeypatch.setattr(rollup.time, "time", lambda now=now: now / 1000)
+        df = rollup.cycles_of(spark.createDataFrame([(e, "p", "m", c, s) for e, c, s in rows], ROW))
+        for _ in range(2 if i in (2, 3) else 1):  # a batch that is run again repeats nothing
+            rollup.take_batch(df, i, *at, 100)
+    found = spark.read.parquet(at[1]).select("batch", "experiment_execution_uuid", "kind", "cycle_num", "exit_stage")
+    assert sorted(tuple(r) for r in found.collect()) == model(batches, 100)
+
+
+def test_a_batch_is_one_shuffle_without_a_call_per_experiment(spark):
+    cycles = rollup.cycles_of(spark.createDataFrame([("a", "p", "m", 0, PASS)], ROW))
+    states = spark.createDataFrame([], f"{ROW}, ended boolean, seen_ms bigint")
+    plan = rollup.advance(states, cycles, 1, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Join" not in plan
