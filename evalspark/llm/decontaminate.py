@@ -10,6 +10,10 @@ stands for several do not count; windows that equal the item's always do.
 Windows that hold placeholders are joined a second time by their plain lower-cased words, so a
 verbatim copy matches however many numbers and names it has and in whatever case it is written.
 
+Most windows of a document are in no item. Those whose first and last tokens are not the ends of any
+window of the items are left out before they are hashed: a bitmap of the hashes of the ends, of a
+bounded size, has no false negatives, and the join decides about the rest.
+
 A document is contaminated by an item if it holds `min_windows` different windows of it, or, for
 a short item, half of them. An item shorter than a window is one window, and documents have plain
 windows of its length; if it has fewer than `min_words` words, all of scripts that put blanks
@@ -20,6 +24,7 @@ document is reported as null. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +43,9 @@ UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer
 #: some 100 bytes and there are fewer than one per two characters.
 BROADCAST_CHARS = 2_000_000
 
+#: Bits of the bitmap: eight per character of all items, within these limits.
+LEAST_BITS, MOST_BITS = 1 << 12, 1 << 20
+
 TYPED, PLAIN, INNER = range(3)
 SIGNS = NUMBER, UNIT, NAME = "#", "%", "@"
 #: A number with up to two separators inside is one value.
@@ -49,22 +57,36 @@ UNITS = (
 
 
 def _signed(word: Column) -> Column:
-    return F.array_contains(F.array(*[F.lit(s) for s in SIGNS]), F.left(word, F.lit(1)))
+    """Whether a lower-cased word starts with a sign: # and % come before the digits, @ behind them."""
+    return (word < "A") & ((word < "0") | (word >= "@"))
+
+
+def _bit(ends: Column) -> tuple[Column, Column]:
+    """The number of the bigint, in as many as there can be, and the bit in it."""
+    return F.shiftright(ends.bitwiseAND(MOST_BITS - 1), 6).cast("int"), ends.bitwiseAND(63).cast("int")
 
 
 def windows(
-    df: DataFrame, keep: dict[str, str], text: str, size: int, lengths: Sequence[int] = ()
+    df: DataFrame,
+    keep: dict[str, str],
+    text: str,
+    size: int,
+    lengths: Sequence[int] = (),
+    known: Sequence[int] | None = None,
 ) -> DataFrame:
-    """One row per window: columns `keep` (new name -> column), `at`, `n`, `kind`, `window`, `values`.
+    """One row per window: columns `keep` (new name -> column), `at`, `n`, `kind`, `ends`, `window`, `values`.
 
     A window of kind TYPED is the hash of its `n` typed tokens; `values` has the tokens behind its
     placeholders, in order, and is null if there are none. Those in which most tokens are
     placeholders are left out, as they would match anything. Windows with placeholders come again
     as PLAIN, the hash of their words. INNER windows are plain too, one of each of `lengths` at
-    every place of a text that is longer.
+    every place of a text that is longer. `ends` hashes the first and the last token; with the bitmap
+    `known` windows are left out whose ends are not in it.
     """
     kept = [F.col(f"`{c}`").alias(n) for n, c in keep.items()]
-    plain = F.translate(F.col(f"`{text}`"), "".join(SIGNS), " " * len(SIGNS))
+    given, n_signs = F.col(f"`{text}`"), len(SIGNS)
+    signed_text = F.greatest(*[F.contains(given, F.lit(s)) for s in SIGNS])
+    plain = F.when(signed_text, F.translate(given, "".join(SIGNS), " " * n_signs)).otherwise(given)
     # a sign before each capital inside a sentence, around each number and before its unit
     named = F.regexp_replace(plain, r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", NAME)
     counted = F.regexp_replace(named, NUMBERS, f" {NUMBER}$1$2$3 ")
@@ -76,44 +98,68 @@ def windows(
         *keep, F.array_remove(words, "").alias("words"), has_values.alias("has_values")
     )
     # each token is hashed once, and a window hashes these
-    sign = F.transform("words", _signed)
     types = F.transform(
         "words", lambda w: F.xxhash64(F.when(_signed(w), F.left(w, F.lit(1))).otherwise(w))
     )
-    bare = F.transform(
-        "words", lambda w: F.xxhash64(F.when(_signed(w), F.substr(w, F.lit(2))).otherwise(w))
-    )
     typed = split.select(
         "*",
-        F.when(F.col("has_values"), types).otherwise(F.transform("words", lambda w: F.xxhash64(w))).alias("types"),
-        F.when(F.col("has_values"), bare).alias("marked_bare"),
-        F.when(F.col("has_values"), sign).alias("signed"),
-    ).withColumn("bare", F.coalesce("marked_bare", "types"))
+        F.when(F.col("has_values"), types)
+        .otherwise(F.transform("words", lambda w: F.xxhash64(w)))
+        .alias("types"),
+    )
+    marks = [F.xxhash64(F.lit(s)) for s in SIGNS]
+
+    def bare(word: Column, i: Column) -> Column:
+        token = F.get("types", i)
+        return F.when(token.isin(*marks), F.xxhash64(F.substr(word, F.lit(2)))).otherwise(token)
+
+    typed = typed.withColumn(
+        "bare", F.when(F.col("has_values"), F.transform("words", bare)).otherwise(F.col("types"))
+    )
+    bits = None if known is None else F.from_json(F.lit(json.dumps(list(known))), "array<bigint>")
+
+    def ends(i: Column, tokens: str, n: Column) -> Column:
+        return F.xxhash64(F.get(tokens, i - 1), F.get(tokens, i + n - 2))
+
+    def may_match(places: Column, tokens: str, n: Column) -> Column:
+        if bits is None:
+            return places
+
+        def has(i: Column) -> Column:
+            at, bit = _bit(ends(i, tokens, n))
+            return F.getbit(F.get(bits, at.bitwiseAND(len(known) - 1)), bit) == 1
+
+        return F.filter(places, has)
 
     def window(i: Column, kind: int, tokens: str, n: Column, values: Column) -> Column:
         return F.struct(
             i.alias("at"),
             n.alias("n"),
             F.lit(kind).alias("kind"),
+            ends(i, tokens, n).alias("ends"),
             F.xxhash64(F.slice(tokens, i, n)).alias("window"),
             values.alias("values"),
         )
 
     def signs(i: Column) -> Column:
-        return F.array_contains(F.slice("signed", i, size), True)
+        return F.exists(F.slice("types", i, size), lambda token: token.isin(*marks))
 
     def values(i: Column) -> Column:
         """The values in a window; null, without a look at its words, if it has none."""
-        signed = F.coalesce(signs(i), F.lit(False))
+        signed = F.when(F.col("has_values"), signs(i)).otherwise(F.lit(False))
         return F.when(signed, F.filter(F.slice("words", i, size), _signed))
 
     no_values, no_places = F.lit(None).cast("array<string>"), F.array().cast("array<int>")
     n = F.least(F.size("words"), F.lit(size))
     some = F.size("words") > 0
     places = F.when(some, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(no_places)
-    valued = F.when(F.col("has_values"), F.filter(places, signs)).otherwise(no_places)
+    valued = F.when(
+        F.col("has_values"), F.filter(may_match(places, "bare", n), signs)
+    ).otherwise(no_places)
     cut = [
-        F.transform(places, lambda i: window(i, TYPED, "types", n, values(i))),
+        F.transform(
+            may_match(places, "types", n), lambda i: window(i, TYPED, "types", n, values(i))
+        ),
         F.transform(valued, lambda i: window(i, PLAIN, "bare", n, no_values)),
     ]
     for length in lengths:
@@ -121,13 +167,17 @@ def windows(
             F.size("words") > length, F.sequence(F.lit(1), F.size("words") - length + 1)
         ).otherwise(no_places)
         m = F.lit(length)
-        cut.append(F.transform(inner, lambda i: window(i, INNER, "bare", m, no_values)))
+        cut.append(
+            F.transform(
+                may_match(inner, "bare", m), lambda i: window(i, INNER, "bare", m, no_values)
+            )
+        )
     found = typed.select(*keep, F.inline(F.concat(*cut)))
     return found.where("values is null or 2 * size(values) <= " + str(size))
 
 
 def item_windows(benchmark: DataFrame, item: str, text: str, size: int, min_words: int) -> DataFrame:
-    """(item, item_at, n, window, item_values, id, inside, item_windows, item_typed) of the items.
+    """(item, item_at, n, ends, window, item_values, id, inside, item_windows, item_typed) of the items.
 
     Rows of one place share their `id`, the typed window, or the plain one where that is left out.
     """
@@ -137,6 +187,7 @@ def item_windows(benchmark: DataFrame, item: str, text: str, size: int, min_word
         "item",
         F.col("at").alias("item_at"),
         "n",
+        "ends",
         "window",
         F.col("values").alias("item_values"),
         ((F.col("n") < size) & enough).alias("inside"),
@@ -172,10 +223,26 @@ def leaks(
     `n_changed` counts the values of the item that stand for another value in the document.
     """
     asked = item_windows(benchmark, item, item_text, size, min_words)
-    lengths = sorted(r.n for r in asked.where("inside").select("n").distinct().collect())
-    asked = asked.drop("n")
     chars = benchmark.agg(F.sum(F.length(f"`{item_text}`"))).first()[0] or 0
-    held = windows(df, {"doc": key}, text, size, lengths).drop("n")
+    n_bits = min(max(1 << (8 * chars).bit_length(), LEAST_BITS), MOST_BITS)
+    at, bit = _bit(F.col("ends"))
+    one = F.lit(1).cast("bigint")
+    # not more rows than the bitmap has numbers, however large the benchmark is
+    summary = (
+        asked.groupBy(at.bitwiseAND(n_bits // 64 - 1).alias("at"))
+        .agg(
+            F.bit_or(F.call_function("shiftleft", one, bit)).alias("bits"),
+            F.collect_set(F.when(F.col("inside"), F.col("n"))).alias("lengths"),
+        )
+        .collect()
+    )
+    lengths = sorted({n for r in summary for n in r.lengths})
+    known = None
+    if chars <= broadcast_chars:
+        found_bits = {r["at"]: r.bits for r in summary}
+        known = [found_bits.get(i, 0) for i in range(n_bits // 64)]
+    asked = asked.drop("n", "ends")
+    held = windows(df, {"doc": key}, text, size, lengths, known).drop("n", "ends")
     hits = held.join(F.broadcast(asked) if chars <= broadcast_chars else asked, "window")
     hits = hits.where((F.col("kind") != INNER) | F.col("inside"))
 
